@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     if batch.num_rows == 0:
         return
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > limit:
