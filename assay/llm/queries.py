@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe_codec, token_count
+from assay.llm import bpe_codec, licenses, media, mixing, ngram_rules, token_count
 
 BPE = "byte_bpe_50k.json"
 
@@ -23,16 +23,42 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature media_type type_corrected"
+    return media.text_media(docs).select(*columns.split())
+
+
+def op5_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = ngram_rules.apply_rules(docs, ngram_rules.trusted_keys(table(spark, sf_dir, "labels")))
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept log_ratio"
+    return ruled.select(*columns.split())
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe_codec.round_trip(docs, public_tokenizers.path(BPE), drop=("text",))
     return bpe_codec.digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs, drop=("text",))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_count": op2_token_count,
+        "op4_media_sniffing": op4_media_sniffing,
+        "op5_ngram_rules": op5_ngram_rules,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op9_license_scan": op9_license_scan,
+        "op10_source_mix": op10_source_mix,
     }
 
 
