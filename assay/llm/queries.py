@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe_codec, licenses, media, mixing, ngram_rules, token_count
+from assay.llm import bpe_codec, licenses, media, mixing, ngram_rules, parity_join, token_count
 
 BPE = "byte_bpe_50k.json"
 
@@ -42,6 +42,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(both).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return parity_join.near_duplicates(docs, spark, parity_join.Similarity(k=4, num=85, den=100))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, drop=("text",))
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_media_sniffing": op4_media_sniffing,
         "op5_ngram_rules": op5_ngram_rules,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_parity_join": op7_parity_join,
         "op9_license_scan": op9_license_scan,
         "op10_source_mix": op10_source_mix,
     }
