@@ -290,7 +290,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
             total, least, most = n[at, None] + n, np.minimum(n[at, None], n), np.maximum(n[at, None], n)
             maybe = (comp[at, None] != comp) & (sim.den * least >= sim.num * most) & (cls[at, None] < cls)
             i, j = np.nonzero(maybe)
-            apart = np.bitwise_count(bits[i + start] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count((bits[i + start] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             ok = apart * (sim.den + sim.num) <= total[i, j] * (sim.den - sim.num)
             out.append(np.column_stack([cls[i[ok] + start], cls[j[ok]]]))
         return out
