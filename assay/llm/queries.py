@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe_codec, licenses, media, mixing, ngram_rules, parity_join, token_count
+from assay.llm import bpe_codec, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count
+from assay.llm.common import crc_bucket
 
 BPE = "byte_bpe_50k.json"
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = crc_bucket(F.col("doc_id"), 5)
+    trusted = ngram_rules.trusted_keys(table(spark, sf_dir, "labels")).where(crc_bucket(F.col("doc_id"), 5) != 0)
+    scored = pu_quality.score_texts(docs, trusted, remainder != 0, spark, threshold=0.3)
+    return scored.select("doc_id", F.coalesce(remainder == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.with_budget(docs, public_tokenizers.path(BPE), limit=512)
@@ -47,6 +56,14 @@ def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(docs, spark, parity_join.Similarity(k=4, num=85, den=100))
 
 
+def op8_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fitted = langmask.fit(docs.where(crc_bucket(F.col("doc_id"), 3) != 1).select("text", "lang"), spark)
+    found = langmask.identify(docs.select("doc_id", "text"), fitted, drop=("text",))
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs, drop=("text",))
@@ -58,11 +75,13 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pu_quality": op1_pu_quality,
         "op2_token_count": op2_token_count,
         "op4_media_sniffing": op4_media_sniffing,
         "op5_ngram_rules": op5_ngram_rules,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_parity_join": op7_parity_join,
+        "op8_language_masks": op8_language_masks,
         "op9_license_scan": op9_license_scan,
         "op10_source_mix": op10_source_mix,
     }
