@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,7 +194,14 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
     return Model(mean, scale, w, prior)
 
 
-def score_texts(df: DataFrame, positives: DataFrame, train: "F.Column", spark: SparkSession, threshold: float = 0.3) -> DataFrame:
+def fit_positives(x: DataFrame, positives: DataFrame, spark: SparkSession) -> Model | None:
+    """Fit on the rows (doc_id, x) with may_train; those of positives are trusted."""
+    keys = positives.select(F.col("doc_id").alias("key")).dropna().distinct()
+    marked = x.where("may_train").join(keys, F.col("doc_id") == F.col("key"), "left").select("x", F.col("key").isNotNull().alias("positive"))
+    return fit(materialise(marked, spark))
+
+
+def score_texts(df: DataFrame, positives: DataFrame, train: Column, spark: SparkSession, threshold: float = 0.3) -> DataFrame:
     """Rows (doc_id, text) become rows (doc_id, score, predicted): score is the probability of good quality.
 
     positives: the doc_ids of trusted texts; train: which rows may be learned from. Without trusted training
@@ -202,9 +209,7 @@ def score_texts(df: DataFrame, positives: DataFrame, train: "F.Column", spark: S
     doc_id are never positives.
     """
     x = materialise(with_features(df.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("may_train"))), spark)
-    keys = positives.select(F.col("doc_id").alias("key")).dropna().distinct()
-    marked = x.where("may_train").join(keys, F.col("doc_id") == F.col("key"), "left").select("x", F.col("key").isNotNull().alias("positive"))
-    model = fit(materialise(marked, spark))
+    model = fit_positives(x, positives, spark)
     if model is None:
         return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
     shared = spark.sparkContext.broadcast(model)
@@ -217,3 +222,22 @@ def score_texts(df: DataFrame, positives: DataFrame, train: "F.Column", spark: S
 
     out = x.select("doc_id", "x").mapInArrow(run, schema)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, positives: DataFrame, train: Column, spark: SparkSession, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose texts score at least `threshold`, fitted as in score_texts."""
+    x = materialise(with_features(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("may_train"))), spark)
+    model = fit_positives(x, positives, spark)
+    if model is None:
+        return docs if 0.5 >= threshold else docs.limit(0)
+    shared = spark.sparkContext.broadcast(model)
+
+    def make():
+        def kernel(texts):
+            f = np.concatenate([features(t) for t in texts.to_pylist()]).astype(np.float32).reshape(-1, FEATURES)
+            return [pa.array(shared.value.score(f.astype(np.float64)))]
+
+        return kernel
+
+    scored = map_column(docs, "text", make, [T.StructField("__score", T.DoubleType())])
+    return scored.where(F.col("__score") >= threshold).select(*docs.columns)

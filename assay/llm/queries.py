@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe_codec, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count
+import corpus_pipeline
+from assay.llm import bpe_codec, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count, warc
 from assay.llm.common import crc_bucket
 
 BPE = "byte_bpe_50k.json"
@@ -32,6 +33,16 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    made = warc.derivatives(warc.with_responses(pages), drop=("record",))
+    return made.select(
+        "page_id", "url", "error", "refers_to", "metadata_id", "conversion_id", "source_block_digest", "source_payload_digest",
+        "digest_ok", "title", "n_links", "text", F.sha2("metadata_record", 256).alias("metadata_sha256"),
+        F.sha2("conversion_record", 256).alias("conversion_sha256"),
+    )
+
+
 def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature media_type type_corrected"
@@ -73,10 +84,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), spark)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": op1_pu_quality,
         "op2_token_count": op2_token_count,
+        "op3_warc_derivatives": op3_warc_derivatives,
         "op4_media_sniffing": op4_media_sniffing,
         "op5_ngram_rules": op5_ngram_rules,
         "op6_bpe_round_trip": op6_bpe_round_trip,
@@ -84,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_masks": op8_language_masks,
         "op9_license_scan": op9_license_scan,
         "op10_source_mix": op10_source_mix,
+        "pipeline": pipeline,
     }
 
 
