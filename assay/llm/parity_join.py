@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -261,7 +262,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
 
     Rows (token, cls, comp) are dealt in blocks: the sets of a token's largest component meet the others, and
     the others meet each other, so that a task never holds more than two blocks, and no block of the largest
-    component meets another one of it.
+    component meets another one of it. A pair comes from the least of its common pieces only.
     """
     per = members.groupBy("token", "comp").agg(F.count("*").alias("c"))
     per = per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
@@ -269,6 +270,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     per = per.select("token", F.col("main.comp").alias("main"), "all", blocks(F.col("main.c")).alias("nm"), blocks(F.col("all") - F.col("main.c")).alias("nr"))
     facts = small(texts.select("cls", "n", "sketch"), 100_000)
     rows = members.select("token", "cls", "comp").join(per, "token")
+    own = members.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("own"))  # the pieces of one text
     kind, h = (lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))), F.xxhash64("cls")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     mine_m, mine_r = F.pmod(h, F.col("nm")).cast("int"), F.pmod(h, F.col("nr")).cast("int")
@@ -277,13 +279,13 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     to_rest = F.transform(upto(F.col("nr")), lambda j: kind(2, F.least(j, mine_r), F.greatest(j, mine_r)))
     whole = F.array(kind(0, F.lit(0), F.lit(0)))
     keys = F.when(F.col("all") <= BLOCK, whole).when(F.col("comp") == F.col("main"), of_main).otherwise(F.concat(to_main, to_rest))
-    dealt = rows.withColumn("key", F.explode(keys)).join(facts, "cls")
-    dealt = dealt.select("token", "key.kind", "key.x", "key.y", "cls", "comp", "n", "sketch")
+    dealt = rows.withColumn("key", F.explode(keys)).join(facts, "cls").join(own, "cls")
+    dealt = dealt.select("token", "key.kind", "key.x", "key.y", "cls", "comp", "n", "sketch", "own")
     dealt = dealt.repartition("token", "kind", "x", "y").sortWithinPartitions("token", "kind", "x", "y")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def near(group: list[np.ndarray]) -> list[np.ndarray]:
-        cls, comp, n, bits = group
+    def near(token: int, group: list[np.ndarray]) -> list[np.ndarray]:
+        cls, comp, n, bits, own = group
         out = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(cls), 64):
             at = slice(start, start + 64)
@@ -292,7 +294,9 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
             i, j = np.nonzero(maybe)
             apart = np.bitwise_count((bits[i + start] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             ok = apart * (sim.den + sim.num) <= total[i, j] * (sim.den - sim.num)
-            out.append(np.column_stack([cls[i[ok] + start], cls[j[ok]]]))
+            i, j = i[ok] + start, j[ok]
+            first = [np.intersect1d(own[x], own[y], assume_unique=True)[0] == token for x, y in zip(i, j)]
+            out.append(np.column_stack([cls[i], cls[j]])[np.array(first, bool)])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +306,11 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
             if batch is not None and batch.num_rows:
                 key = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
                 bits = batch.column(7).flatten().to_numpy().reshape(-1, SKETCH_BITS // 64)
-                parts = [key, *(batch.column(i).to_numpy() for i in (4, 5, 6)), bits]
+                own = np.empty(batch.num_rows, object)
+                ends = np.cumsum(pc.list_value_length(batch.column(8)).to_numpy())[:-1]
+                for i, tokens in enumerate(np.split(batch.column(8).flatten().to_numpy(), ends)):
+                    own[i] = tokens
+                parts = [key, *(batch.column(i).to_numpy() for i in (4, 5, 6)), bits, own]
                 held = parts if held is None else [np.concatenate(x) for x in zip(held, parts)]
             if held is not None:
                 key = held[0]
@@ -311,7 +319,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
                 open_group = batch is not None  # the last group may go on in the next batch
                 for start, end in list(zip(first, ends))[: len(first) - open_group]:
                     if end - start > 1:
-                        found += near([x[start:end] for x in held[1:]])
+                        found += near(key[start, 0], [x[start:end] for x in held[1:]])
                 held = [x[first[-1] :] for x in held] if open_group else None
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
