@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import SLICE_BYTES, map_column, materialise, slices
+from assay.llm.common import SLICE_BYTES, map_column, materialise, mix64, slices
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of the stored sketch, which rejects candidates before their texts are compared.
@@ -71,14 +71,6 @@ class Similarity:
         return a > 0 and b > 0 and self.den * both >= self.num * (a + b - both)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers."""
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Distinct hashed k-word shingles of texts, sorted."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import map_column, materialise
+from assay.llm.common import map_column, materialise, mix64
 
 CLASSES = [b"#*$%&|<>", b"!?", b".,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"\n", b"\t ", b"()[]{}\"'`", b"/\\@_=+~^"]
 FEATURES = len(CLASSES) + 14
@@ -90,6 +90,11 @@ def sums(train: DataFrame, body: Callable[[np.ndarray, np.ndarray], np.ndarray])
     return rows["v"].to_numpy()
 
 
+def half(x: np.ndarray) -> np.ndarray:
+    """Which rows are of the first half: equal rows fall alike."""
+    return mix64(np.floor(x.sum(axis=1) * 4096).astype(np.int64).view(np.uint64)) & np.uint64(1) == 0
+
+
 def softplus(f: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, f)
 
@@ -120,7 +125,12 @@ def estimate_prior(hist_p: np.ndarray, hist_u: np.ndarray, delta: float = 0.1) -
 
 
 def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
-    """Fit on all rows (x, positive) of train; None if there are no positives."""
+    """Fit on all rows (x, positive) of train; None if there are no positives.
+
+    The penalty has a part that falls with the number of positives: a few of them say little about rare shapes.
+    The score behind the estimate of the prior is fitted on one half of the rows, by a hash of their features,
+    and its tails are counted on the other half.
+    """
     size = FEATURES
 
     def moments(x, positive):
@@ -134,12 +144,14 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
     scale = np.where(scale > 1e-9, scale, 1.0)
     d = 3 * size + 1
     upper = np.triu_indices(d)
-    penalty = np.r_[np.full(d - 1, ridge), 0.0]
+    penalty = np.r_[np.full(d - 1, ridge + 4 / n_p), 0.0]
 
     def newton(w: np.ndarray, prior: float | None) -> np.ndarray:
         """The Newton direction of the logistic risk of positives against unlabelled rows, or of the PU risk."""
 
         def body(x, positive):
+            if prior is None:
+                x, positive = x[half(x)], positive[half(x)]
             e = expand(x, mean, scale)
             p = sigmoid(e @ w)
             h = (e * (p * (1 - p))[:, None]).T @ e
@@ -147,13 +159,14 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
             if prior is None:
                 q = p[positive]
                 parts += [(e[positive] * (1 - q)[:, None]).sum(0), ((e[positive] * (q * (1 - q))[:, None]).T @ e[positive])[upper]]
-            return np.concatenate(parts)
+            return np.concatenate([*parts, [len(x), positive.sum()]])
 
         s = sums(train, body)
-        g_u, g_p, h_u = s[:d] / n, s[d : 2 * d] / n_p, s[2 * d : 2 * d + len(upper[0])] / n
+        s, rows, trusted = s[:-2], max(s[-2], 1), max(s[-1], 1)
+        g_u, g_p, h_u = s[:d] / rows, s[d : 2 * d] / trusted, s[2 * d : 2 * d + len(upper[0])] / rows
         if prior is None:  # mean of l(-f) on unlabelled and l(f) on positive rows
             rest = s[2 * d + len(upper[0]) :]
-            g, h = g_u - rest[:d] / n_p, h_u + rest[d:] / n_p
+            g, h = g_u - rest[:d] / trusted, h_u + rest[d:] / trusted
         else:  # pi (l(f) - l(-f)) = -pi f for the logistic loss
             g, h = g_u - prior * g_p, h_u
         full = np.zeros((d, d))
@@ -175,11 +188,12 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
         w = w - newton(w, None)
 
     def histogram(x, positive):
+        x, positive = x[~half(x)], positive[~half(x)]
         at = np.minimum((sigmoid(expand(x, mean, scale) @ w) * BINS).astype(np.int64), BINS - 1)
         return np.concatenate([np.bincount(at[positive], minlength=BINS), np.bincount(at, minlength=BINS)]).astype(float)
 
     h = sums(train, histogram)
-    prior = estimate_prior(h[:BINS], h[BINS:])
+    prior = estimate_prior(h[:BINS], h[BINS:]) if h[:BINS].any() else 0.5
     w = np.r_[np.zeros(d - 1), np.log(prior / (1 - prior))]
     lengths, best = np.array([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]), np.inf
     for _ in range(steps):

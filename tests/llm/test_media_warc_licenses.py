@@ -1,0 +1,97 @@
+"""Sniffing, WARC derivatives and license rules against plain versions."""
+
+import gzip
+import hashlib
+import io
+import json
+import zipfile
+import zlib
+
+from pyspark.sql import functions as F
+
+from assay.llm import licenses, media, warc
+from assay.sources.images import png
+
+import numpy as np
+
+PNG = png(np.arange(48, dtype=np.uint8).reshape(4, 4, 3))
+GIF = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x2c" + bytes(9) + b"\x02\x02\x44\x01\x00\x3b"
+GZ = gzip.compress(b"hello" * 50, mtime=0)
+
+
+def archive() -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hello")
+    return out.getvalue()
+
+
+def test_formats_are_confirmed_and_carved(spark):
+    junk = b"BM RIFF PK\x03\x04 \xff\xd8\xff\xe0 %PDF-1.4 .snd GIF89a ftyp OggS " * 3
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nxref\nstartxref\n9\n%%EOF"
+    cases = {"image/png": PNG, "image/gif": GIF, "application/gzip": GZ, "application/zip": archive(), "application/pdf": pdf}
+    s = media.Sniffer()
+    for kind, data in cases.items():
+        assert s.spans(data)[1][0]["type"] == kind, kind
+        assert s.spans(data)[1][0]["length"] == len(data), kind
+        assert not [x for x in s.spans(data[:-3])[1] if x["type"] == kind], kind
+    assert s.spans(junk)[1] == [] and s.spans(junk)[0] > 10 and s.spans(None) == (0, [])
+    big = b"\0" * (media.WINDOW - 3) + PNG + b"x" * media.WINDOW + GIF  # a signature across two windows
+    assert [x["type"] for x in s.spans(big)[1]] == ["image/png", "image/gif"]
+    rows = [(1, junk + PNG + b"--" + GIF, "image/jpeg"), (2, PNG, "image/gif"), (3, None, "image/png"), (4, b"", None), (5, b"text", "text/plain"), (6, GIF, "image/gif")]
+    df = media.sniff(spark.createDataFrame(rows, "id int, media binary, declared string"), "media", "declared").cache()
+    got = {r["id"]: (r["media_type"], r["type_corrected"]) for r in df.collect()}
+    assert got == {1: (media.UNKNOWN, True), 2: ("image/png", True), 3: ("image/png", False), 4: (media.UNKNOWN, True), 5: ("text/plain", False), 6: ("image/gif", False)}
+    carved = [bytes(r["carved"]) for r in media.carve(df).where("id = 1").orderBy("span.start").collect()]
+    assert carved == [PNG, GIF]
+
+
+def test_text_media(spark, docs):
+    for r in media.text_media(docs.withColumn("lost", F.lit(1)).select("doc_id", "text", "lost")).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(payload) + 44)
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_type"] == "audio/wav" and r["type_corrected"]
+    assert media.text_media(docs.limit(0).select("doc_id", "text")).count() == 0
+
+
+def test_warc(spark):
+    html = "<html><head><title>A &amp; B</title><script>var x='<p>';</script></head><body><!-- gone --><p>One</p><p>Two <a href='/l?a=1&amp;b=2'>link</a><br>three</body>"
+    rows = [(1, "http://x/", html), (2, None, None), (3, "http://x/", ""), (3, "http://x/", ""), (4, "u", "<!-- " * 5000), (5, "u", "😀 café")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("title", F.lit("clash"))
+    out = warc.derivatives(warc.with_responses(pages)).cache()
+    one = out.where("page_id = 1").first()
+    assert one["text"] == "A & B\nOne\nTwo link\nthree" and one["title"] == "A & B" and one["n_links"] == 1 and one["digest_ok"]
+    meta, at = warc.head(bytes(one["metadata_record"]), "WARC/")
+    named = dict(meta)
+    assert named["WARC-Refers-To"] == one["refers_to"] == dict(warc.head(bytes(one["record"]), "WARC/")[0])["WARC-Record-ID"]
+    body = bytes(one["metadata_record"])[at : at + int(named["Content-Length"])]
+    assert json.loads(body)["Envelope"]["WARC-Header-Metadata"]["WARC-Payload-Digest"] == warc.digest(html.encode()) == one["source_payload_digest"]
+    conversion = dict(warc.head(bytes(one["conversion_record"]), "WARC/")[0])
+    assert conversion["WARC-Type"] == "conversion" and conversion["WARC-Refers-To"] == one["refers_to"] and conversion["WARC-Target-URI"] == "http://x/"
+    assert out.count() == 6 and out.where("error is null").count() == 6
+    twins = out.where("page_id = 3").select("metadata_id", "conversion_id").distinct()
+    assert twins.count() == 1
+    bad = [(1, None), (2, b""), (3, b"WARC/1.0\r\nWARC-Type: request\r\n\r\n"), (4, bytes(one["record"])[:-900]), (5, bytes(one["record"]).replace(b"One", b"Eno"))]
+    broken = {r["i"]: r for r in warc.derivatives(spark.createDataFrame(bad, "i int, record binary")).collect()}
+    assert all(broken[i]["error"] and broken[i]["text"] is None for i in (1, 2, 3, 4)) and broken[5]["digest_ok"] is False
+
+
+def test_licenses(spark, docs):
+    assert len(licenses.build_rules()) > 200
+    s = licenses.Scanner()
+    text = "Licensed under the GNU General Public License, version 3. CC BY-SA 4.0; All Rights Reserved! general public license cc by"
+    n, places, first, last, base, labels, score = s.scan(text)
+    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    want = [i for p in ("cc by", "general public license", "all rights reserved") for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    assert (n, places, first, last) == (len(words), len(want), min(want), max(want)) and base == "cc-by,gpl,reserved"
+    assert {"gpl-3", "cc-by-sa-4.0"} <= set(labels.split(",")) and 0 <= score <= 1
+    # an interval inside one of an earlier priority goes; equal ones leave the earlier rule
+    assert licenses.suppress([(3, 2, 5, 7), (1, 0, 9, 1), (3, 8, 12, 2), (3, 8, 12, 1), (3, 9, 11, 0)]) == [(1, 0, 9, 1), (3, 8, 12, 1)]
+    assert s.scan("SPDX-License-Identifier: Apache-2.0")[5] == "apache-2.0"
+    assert s.scan(None) == (0, 0, None, None, "", "", 0.0)
+    out = licenses.scan_licenses(docs.withColumn("labels", F.lit("clash"))).cache()
+    assert out.count() == docs.count()
+    row = out.where("doc_id = 11").first()
+    assert row["n_base"] == 3 and row["first_word"] == 0 and row["last_word"] == 7 and "reserved" in row["labels"]
