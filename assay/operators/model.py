@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TERMS = 4000
+ROWS_A_PARTITION = 2000
 WORDS = r"(?U)\b\w\w+\b"
 
 
@@ -140,6 +141,8 @@ def out_of_fold(
         z = z.select(*columns, "y", "oof_fold", "z").cache()
         fitting = z.where(F.col("oof_fold") != f)
         n = fitting.count()
+        # every step of the solver is a job: a small training set in many partitions pays for their scheduling
+        fitting = fitting.coalesce(max(1, n // ROWS_A_PARTITION))
         model = LogisticRegression(featuresCol="z", labelCol="y", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(fitting)
         held = model.transform(z.where(F.col("oof_fold") == f))
         proba = vector_to_array("probability")
