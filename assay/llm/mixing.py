@@ -154,12 +154,15 @@ def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks:
     """The mixed documents themselves: every row as often as it is drawn, in an order by hash within its shard.
 
     Of the document at which a source's quota ends, the last copy has the leading words that the quota still
-    allows. The columns of df stay; shard follows. Columns whose names the operator needs must be free.
+    allows. The columns of df stay, whatever their names, but for one named shard, which is replaced; shard
+    follows. An empty table gives an empty mix.
     """
     sizes = sized(df.select("doc_id", "source", "text")).drop("text")
     sizes = materialise(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), spark)
     targets, drawn = plan_mix(sizes, spark, shard_words, blocks, seed)
-    rows = sized(df).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
+    stay = [c for c in df.columns if c.lower() != "shard"]
+    others = F.struct(*[F.col(f"`{c}`") for c in stay if c != "text"]).alias("__row")
+    rows = sized(df.select("doc_id", "source", "text", others)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     rows = with_draws(placed(rows, targets), drawn)
     none = F.lit(None).cast("long")
     copies = F.transform("shards", lambda x: F.struct(x.alias("shard"), none.alias("words")))
@@ -169,4 +172,4 @@ def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks:
     leading = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("copy.words").cast("int")), " ")
     out = out.withColumns({"text": F.when(cut, leading).otherwise(F.col("text")), "shard": F.col("copy.shard")})
     out = out.repartition("shard", "block").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), "doc_id", "h"))
-    return out.select(*df.columns, "shard")
+    return out.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in stay], "shard")

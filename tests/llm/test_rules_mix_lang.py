@@ -103,6 +103,18 @@ def test_mix(spark):
     assert drawn.select("shard").distinct().count() > 3 and mixing.mix(df.limit(0), spark).count() == 0
 
 
+def test_mix_with_clashing_names(spark, docs):
+    names = ["size", "h", "block", "quota", "target", "words", "copy", "extra", "part", "shards", "a.b"]
+    clash = docs.withColumns({c: F.concat(F.lit(f"{c}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names}).withColumn("shard", F.lit("old"))
+    drawn = mixing.draw(clash, spark)
+    assert drawn.columns == [*docs.columns, *names, "shard"]
+    got = drawn.collect()
+    assert got and all(r[c] == f"{c}/{'' if r['doc_id'] is None else r['doc_id']}" for r in got for c in names)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in mixing.draw(docs, spark).collect())
+    assert mixing.mix(clash, spark).exceptAll(mixing.mix(docs, spark)).isEmpty()
+    assert mixing.draw(clash.limit(0), spark).count() == 0
+
+
 def test_shard_quotas_are_exact(spark):
     drawn = spark.range(500).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("source"))
     q = mixing.shard_quotas(drawn, 6, 1).collect()
