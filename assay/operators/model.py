@@ -63,6 +63,14 @@ def vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
     return per.orderBy(F.desc("n"), "term").limit(size)
 
 
+def row_vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
+    """vocabulary for rows that are a document each: occurrences and rows of a term are summed before the shuffle."""
+    both = F.element_at(F.transform(F.array(terms_of(F.col(f"`{column}`"))), lambda w: F.array(w, F.array_distinct(w))), 1)
+    terms = train.select(F.posexplode(both).alias("once", "terms")).select("once", F.explode("terms").alias("term"))
+    per = terms.groupBy("term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("df"))
+    return per.orderBy(F.desc("n"), "term").limit(size)
+
+
 def table_preprocessor(kinds: dict[str, list[str]]) -> Preprocessor:
     """Numbers: median for missing ones, then standardised. Categories: one slot a training level, none for others.
     Texts: tf-idf of words and pairs, of unit length."""

@@ -114,6 +114,11 @@ def tfidf_terms(spark, sf_dir):
     return model.vocabulary(docs.withColumnRenamed("doc_id", "source_index"), "text")
 
 
+def tfidf_terms_all(spark, sf_dir):
+    """The terms of all documents, labelled or not, as audit_text counts them; tfidf_terms keeps to the rows of its SQL."""
+    return model.row_vocabulary(table(spark, sf_dir, "documents"), "text")
+
+
 def _near(spark, sf_dir):
     df, names = _folds(spark, sf_dir)
     x = df.select("source_index", "oof_fold", "given_label", F.col("embedding").cast("array<double>").alias("x"))
@@ -289,7 +294,7 @@ def benchmark_lang(spark, sf_dir):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     class_dimension, class_counts_minority, infer_kinds_documents, infer_kinds_customer, prepare_customer, prepare_documents,
-    stratified_folds, fold_standardize, one_hot_fold, tfidf_terms, knn_neighbors, knn_disagreement, score_rows, class_thresholds,
+    stratified_folds, fold_standardize, one_hot_fold, tfidf_terms, tfidf_terms_all, knn_neighbors, knn_disagreement, score_rows, class_thresholds,
     confident_joint, ensemble_rank, audit_summary, noise_uniform, noise_class_conditional, precision_recall_at_k, auroc, ranking_report,
     review_budget, review_by_class, review_filter, review_page, review_topk, export_cleaned, export_log, export_counts, content_hash,
     audit_matrix, audit_table, audit_text, benchmark_lang,
