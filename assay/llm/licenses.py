@@ -21,20 +21,22 @@ BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 @dataclass(frozen=True)
 class Rule:
-    """priority: lower goes first. keywords: words that a text must have before the pattern is tried."""
+    """priority: lower goes first. keywords: sets of words; the pattern is tried on texts that have all words of one."""
 
     priority: int
     label: str
-    keywords: tuple[str, ...]
+    keywords: tuple[frozenset[str], ...]
     pattern: re.Pattern
     confidence: float
 
 
 def _rule(priority: int, label: str, keywords: str, pattern: str, confidence: float) -> Rule:
-    return Rule(priority, label, tuple(keywords.split()), re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), confidence)
+    """keywords: sets of words, split by |; every text that the pattern matches must have all words of one set."""
+    needs = tuple(frozenset(k.split()) for k in keywords.split("|"))
+    return Rule(priority, label, needs, re.compile(rf"(?<= )(?:{pattern})(?= )".encode()), confidence)
 
 
-#: label, keyword, how texts name the license (words), its identifier (words)
+#: label, keywords (as in _rule), how texts name the license (words), its identifier (words)
 NAMED = [
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version )?1 1", "apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:version |v)?2(?: 0)?", "apache 2 0"),
@@ -48,7 +50,7 @@ NAMED = [
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:version |v)?2(?: 0)?", "mpl 2 0"),
     ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:version |v)?1(?: 0)?", "epl 1 0"),
     ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:version |v)?2(?: 0)?", "epl 2 0"),
-    ("cddl-1.0", "cddl", r"common development and distribution licen[sc]e(?: version 1(?: 0)?)?", "cddl 1 0"),
+    ("cddl-1.0", "development distribution", r"common development and distribution licen[sc]e(?: version 1(?: 0)?)?", "cddl 1 0"),
     ("cpl-1.0", "common", r"common public licen[sc]e(?: version 1(?: 0)?)?", "cpl 1 0"),
     ("artistic-1.0", "artistic", r"artistic licen[sc]e (?:version )?1(?: 0)?", "artistic 1 0"),
     ("artistic-2.0", "artistic", r"artistic licen[sc]e (?:version )?2(?: 0)?", "artistic 2 0"),
@@ -61,7 +63,7 @@ NAMED = [
     ("php-3.01", "php", r"php licen[sc]e (?:version )?3 01", "php 3 01"),
     ("ruby", "ruby", r"ruby licen[sc]e|same terms as ruby", "ruby"),
     ("perl", "perl", r"same terms as perl(?: itself)?", "artistic 1 0 perl"),
-    ("eupl-1.2", "eupl", r"european union public licen[sc]e(?: v(?:ersion )?1 2)?|eupl(?: v1 2)?", "eupl 1 2"),
+    ("eupl-1.2", "eupl|european union public", r"european union public licen[sc]e(?: v(?:ersion )?1 2)?|eupl(?: v1 2)?", "eupl 1 2"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e", "ms pl"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e", "ms rl"),
     ("ncsa", "illinois", r"university of illinois ncsa open source licen[sc]e", "ncsa"),
@@ -84,7 +86,7 @@ NAMED = [
     ("sspl-1.0", "server", r"server side public licen[sc]e", "sspl 1 0"),
     ("busl-1.1", "business", r"business source licen[sc]e(?: 1 1)?", "busl 1 1"),
     ("elastic-2.0", "elastic", r"elastic licen[sc]e (?:v)?2 0", "elastic 2 0"),
-    ("openrail", "rail", r"(?:open|big ?science|bigcode) ?rail(?: m)? licen[sc]e", "openrail"),
+    ("openrail", "rail|openrail|bigsciencerail|sciencerail|bigcoderail", r"(?:open|big ?science|bigcode) ?rail(?: m)? licen[sc]e", "openrail"),
 ]
 
 GNU = {"gpl": ("", ("1", "2", "3")), "lgpl": ("(?:lesser|library) ", ("2", "2 1", "3")), "agpl": ("affero ", ("1", "3"))}
@@ -100,13 +102,13 @@ TEXTS = [
     (2, "mpl-2.0", "source mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e", 1.0),
     (2, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
     (3, "public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain|is in the public domain", 0.8),
-    (3, "gpl-or-later", "gnu later", r"either version [123](?: 1)? of the licen[sc]e or at your option any later version", 0.9),
+    (3, "gpl-or-later", "option later version", r"either version [123](?: 1)? of the licen[sc]e or at your option any later version", 0.9),
     (3, "warranty-disclaimer", "warranty", r"(?:is )?(?:provided|distributed) (?:as is )?without (?:any )?warranty(?: of any kind)?", 0.4),
     (3, "proprietary", "confidential", r"confidential and proprietary|proprietary and confidential", 0.8),
-    (3, "proprietary", "redistribute", r"(?:may|must|do) not (?:copy|redistribute|reproduce|be copied|be redistributed)(?: [^ ]+){0,6} without (?:prior )?(?:written )?permission", 0.7),
+    (3, "proprietary", "not without permission", r"(?:may|must|do) not (?:copy|redistribute|reproduce|be copied|be redistributed)(?: [^ ]+){0,6} without (?:prior )?(?:written )?permission", 0.7),
     (4, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 0.5),
     (5, "licensed", "licensed", r"(?:is |are )?licensed under(?: the)?(?: terms of(?: the)?)?", 0.3),
-    (5, "licensed", "license", r"under the terms of the licen[sc]e|see the licen[sc]e(?: file)?", 0.3),
+    (5, "licensed", "license|licence", r"under the terms of the licen[sc]e|see the licen[sc]e(?: file)?", 0.3),
 ]
 
 
@@ -160,11 +162,9 @@ def suppress(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
 class Scanner:
     def __init__(self):
         self.rules = build_rules()
-        self.keywords = frozenset(k for r in self.rules for k in r.keywords)
-        self.byte_keywords = frozenset(k.encode() for k in self.keywords)
-        self.needs = [frozenset(k.encode() for k in r.keywords) for r in self.rules]
+        self.needs = [tuple(frozenset(k.encode() for k in n) for n in r.keywords) for r in self.rules]
         self.base = [(f" {p} ".encode(), label, frozenset(p.encode().split())) for p, label in BASE]
-        self.watched = self.byte_keywords.union(*(n for _, _, n in self.base))
+        self.watched = frozenset().union(*(n for needs in self.needs for n in needs), *(n for _, _, n in self.base))
 
     def scan(self, text: str | None) -> tuple:
         words = (text or "").encode("utf-8").translate(FOLD).split()
@@ -182,7 +182,7 @@ class Scanner:
         found = [
             (rule.priority, m.start(), m.end(), k)
             for k, rule in enumerate(self.rules)
-            if self.needs[k] <= present
+            if any(n <= present for n in self.needs[k])
             for m in rule.pattern.finditer(joined)
         ]
         own = {f[3] for f in suppress(found)}
@@ -203,7 +203,7 @@ FIELDS = [
 def scan_licenses(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score for each whole text.
 
-    Rules run only where all their keywords occur; of overlapping detections those inside one of an earlier
+    Rules run only where all words of one of their keyword sets occur, as they do in every text that they match; of overlapping detections those inside one of an earlier
     priority go. The labels of the base phrases always stay. score is the highest confidence of what stays.
     A null or empty text has no words, empty labels and score 0.
     """

@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import zipfile
 import zlib
+from re import _parser
 
 from pyspark.sql import functions as F
 
@@ -95,3 +97,38 @@ def test_licenses(spark, docs):
     assert out.count() == docs.count()
     row = out.where("doc_id = 11").first()
     assert row["n_base"] == 3 and row["first_word"] == 0 and row["last_word"] == 7 and "reserved" in row["labels"]
+
+
+def phrases(parsed) -> list[str]:
+    """Texts for every alternative of a parsed pattern; repeats as often as they must and as they may."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "MAX_REPEAT":
+            each, counts = phrases(arg[2]), {arg[0], min(arg[1], 12)}
+            parts = ["".join(x) for n in counts for x in (itertools.product(each, repeat=n) if n < 3 else [(e,) * n for e in each])]
+        elif kind == "BRANCH":
+            parts = [x for b in arg[1] for x in phrases(b)]
+        elif kind == "IN":
+            parts = [c for o, a in arg for c in ([chr(a)] if str(o) == "LITERAL" else [chr(a[0]), chr(a[1])])]
+        else:
+            parts = {"LITERAL": lambda: [chr(arg)], "NOT_LITERAL": lambda: ["x"], "SUBPATTERN": lambda: phrases(arg[-1]), "ASSERT": lambda: [""]}[kind]()
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_keywords_skip_no_rule_that_matches():
+    gated, free = licenses.Scanner(), licenses.Scanner()
+    free.needs, free.watched = [(frozenset(),)] * len(free.rules), frozenset([b"the"]) | gated.watched
+    for rule, needs in zip(gated.rules, gated.needs):
+        for text in phrases(_parser.parse(rule.pattern.pattern.decode())):
+            assert rule.pattern.search(f" {text} ".encode()), text
+            assert any(n <= set(text.encode().split()) for n in needs), (rule.label, text)
+            assert gated.scan(f"the {text}") == free.scan(f"the {text}")
+    expected = {
+        "May not be redistributed without permission.": "proprietary", "must not reproduce any part of it without permission": "proprietary",
+        "may not be copied, in whole or in part, without prior written permission": "proprietary", "OpenRAIL-M License": "openrail",
+        "Common Development and Distribution License version 1.0": "cddl-1.0", "European Union Public Licence v1.2": "eupl-1.2",
+        "either version 3 of the License, or (at your option) any later version": "gpl-or-later", "See the LICENCE file": "licensed",
+    }
+    assert {t: gated.scan(t)[5] for t in expected} == expected
