@@ -112,25 +112,34 @@ def placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return both.select("d.*", "source_size", "target", "quota", F.pmod("h", "n_blocks").alias("block"))
 
 
-def with_draws(rows: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Add shards (of the whole passes), passes, last_shard and extra: the words taken of a block drawn in part."""
+def with_draws(rows: DataFrame, drawn: DataFrame, entire: bool = False) -> DataFrame:
+    """Add shards (of the whole passes), passes, last_shard and extra: the words taken of a block drawn in part.
+
+    With `entire`, the document at which the quota ends is taken or left as a whole, whichever comes nearer to the
+    quota; where the source has nothing else in the mix, it is taken.
+    """
     whole = F.col("want") == F.col("words")
     per = drawn.groupBy("source", "block").agg(
         F.sort_array(F.collect_list(F.when(whole, F.col("shard")))).alias("shards"),
         F.max(F.when(~whole, F.col("shard"))).alias("last_shard"),
         F.coalesce(F.sum(F.when(~whole, F.col("want"))), F.lit(0)).alias("part"),
+        (F.max(F.when(~whole, F.col("rank"))) == 0).alias("only"),
     )
     # bounded by the parameter `blocks` and the number of sources
     per = F.broadcast(per) if per.count() <= 200_000 else per
     both = rows.alias("d").join(per.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")), "left")
     none = F.array().cast("array<int>")
-    both = both.select("d.*", F.coalesce("shards", none).alias("shards"), "last_shard", F.coalesce("part", F.lit(0)).alias("part"))
+    both = both.select("d.*", F.coalesce("shards", none).alias("shards"), "last_shard", F.coalesce("part", F.lit(0)).alias("part"), "only")
     # only blocks drawn in part, one a source at most, are put in order
     order = Window.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.greatest(F.col("part") - F.coalesce(F.sum("size").over(order), F.lit(0)), F.lit(0))
-    partly = both.where("part > 0").withColumn("extra", F.least(F.col("size"), room))
+    before = F.coalesce(F.sum("size").over(order), F.lit(0))
+    room = F.greatest(F.col("part") - before, F.lit(0))
+    taken = F.least(F.col("size"), room)
+    if entire:
+        taken = F.when((room > 0) & ((room * 2 >= F.col("size")) | (F.col("only") & (before == 0))), F.col("size")).otherwise(F.lit(0).cast("long"))
+    partly = both.where("part > 0").withColumn("extra", taken)
     rest = both.where("part = 0").withColumn("extra", F.lit(0).cast("long"))
-    return rest.unionByName(partly).withColumn("passes", F.size("shards"))
+    return rest.unionByName(partly).drop("only").withColumn("passes", F.size("shards"))
 
 
 def mix(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17) -> DataFrame:
@@ -150,12 +159,13 @@ def mix(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks:
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
-def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17) -> DataFrame:
+def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17, entire: bool = False) -> DataFrame:
     """The mixed documents themselves: every row as often as it is drawn, in an order by hash within its shard.
 
     Of the document at which a source's quota ends, the last copy has the leading words that the quota still
-    allows. The columns of df stay, whatever their names, but for one named shard, which is replaced; shard
-    follows. An empty table gives an empty mix.
+    allows; with `entire`, every copy is the whole text (see with_draws), and a source misses its quota by half a
+    document at most, or by less than one where that is all it has in the mix. The columns of df stay, whatever their
+    names, but for one named shard, which is replaced; shard follows. An empty table gives an empty mix.
     """
     sizes = sized(df.select("doc_id", "source", "text")).drop("text")
     sizes = materialise(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), spark)
@@ -163,7 +173,7 @@ def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks:
     stay = [c for c in df.columns if c.lower() != "shard"]
     others = F.struct(*[F.col(f"`{c}`") for c in stay if c != "text"]).alias("__row")
     rows = sized(df.select("doc_id", "source", "text", others)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
-    rows = with_draws(placed(rows, targets), drawn)
+    rows = with_draws(placed(rows, targets), drawn, entire)
     none = F.lit(None).cast("long")
     copies = F.transform("shards", lambda x: F.struct(x.alias("shard"), none.alias("words")))
     last = F.array(F.struct(F.col("last_shard").alias("shard"), F.col("extra").alias("words")))

@@ -47,8 +47,8 @@ def one_row_a_document(docs: DataFrame) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by their target weights; a document comes as often as the mix draws it."""
-    return mixing.draw(docs, spark).select(*docs.columns)
+    """Sources by their target weights; a document comes as often as the mix draws it, each time as a whole."""
+    return mixing.draw(docs, spark, entire=True).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assay.llm import langmask, mixing, ngram_rules, pu_quality
 from tests.llm.conftest import DOCS, prose
 
@@ -103,6 +104,28 @@ def test_mix(spark):
     assert drawn.select("shard").distinct().count() > 3 and mixing.mix(df.limit(0), spark).count() == 0
 
 
+def test_mix_of_entire_texts(spark):
+    many = [(i, "\n".join([prose(i, 20 + i % 90)] * 2), "en", f"m{i % 4}", 1) for i in range(400)]
+    rows = [*many, *((1000 + i, prose(i, 40), "en", f"one{i:03d}", 1) for i in range(60)), (2000, "", "en", "empty", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    per, largest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in rows:
+        n = len(r[1].split())
+        per[r[3]] += n
+        largest[r[3]] = max(largest[r[3]], n)
+    want, given = targets(per), Counter((r[0], r[1]) for r in rows)
+    got = corpus_pipeline.source_mix(spark, df, "").collect()
+    for r in got:
+        assert (r["doc_id"], r["text"]) in given
+        taken[r["source"]] += len(r["text"].split())
+    assert max(Counter(r["doc_id"] for r in got).values()) <= 3
+    for s, n in per.items():
+        assert abs(taken[s] - want[s]) <= largest[s] * (1 if s.startswith("one") else 0.5) + 1
+        assert taken[s] > 0 or n == 0
+    again = mixing.draw(df.repartition(7), spark, shard_words=4000, blocks=16, entire=True).collect()
+    assert {(r["doc_id"], r["text"]) for r in again} <= set(given)
+
+
 def test_mix_with_clashing_names(spark, docs):
     names = ["size", "h", "block", "quota", "target", "words", "copy", "extra", "part", "shards", "a.b"]
     clash = docs.withColumns({c: F.concat(F.lit(f"{c}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names}).withColumn("shard", F.lit("old"))
