@@ -31,9 +31,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
-    path = f"{scratch_dir(spark)}/assay-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(spark).table(df)
+
+
+class Scratch:
+    """The tables that an operator writes between its steps; those that later steps have superseded can be removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/assay-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing still to be computed reads, in whatever file system they are."""
+        context = self.spark.sparkContext
+        for path in [p for df, p in self.paths if any(df is t for t in tables)]:
+            file = context._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(context._jsc.hadoopConfiguration()).delete(file, True)
+        self.paths = [(df, p) for df, p in self.paths if not any(df is t for t in tables)]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,17 +74,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def map_column(
     df: DataFrame,
     column: str,
-    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    make: Callable[[], Callable[..., list[pa.Array]]],
     fields: list[T.StructField],
     drop: tuple[str, ...] = (),
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add `fields`, computed slice by slice from `column` by the kernel that `make` builds once per task.
+    """Add `fields`, computed slice by slice from `column` (and those of `also`) by the kernel that `make` builds once
+    per task.
 
     Other columns pass through, but for those of `drop` and those whose names the new fields take.
     """
     taken = {f.name.lower() for f in fields} | {d.lower() for d in drop}
     keep = [f for f in df.schema.fields if f.name.lower() not in taken]
-    needed = keep if any(f.name == column for f in keep) else [*keep, df.schema[column]]
+    needed = [*keep, *(df.schema[c] for c in (column, *also) if not any(f.name == c for f in keep))]
     schema = T.StructType([*keep, *fields])
     names, new = [f.name for f in keep], [f.name for f in fields]
 
@@ -73,7 +95,7 @@ def map_column(
         for batch in batches:
             for part in slices(batch, column):
                 old = [part.column(part.schema.get_field_index(n)) for n in names]
-                made = kernel(part.column(part.schema.get_field_index(column)))
+                made = kernel(*(part.column(part.schema.get_field_index(c)) for c in (column, *also)))
                 yield pa.RecordBatch.from_arrays([*old, *made], names=[*names, *new])
 
     return df.select(*[F.col(f"`{f.name}`") for f in needed]).mapInArrow(run, schema)

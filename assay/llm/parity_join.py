@@ -22,13 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import SLICE_BYTES, map_column, materialise, mix64, slices
+from assay.llm.common import Scratch, map_column, mix64, slices
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of the stored sketch, which rejects candidates before their texts are compared.
 SKETCH_BITS = 1024
+#: The bits of a token above this one hold its band.
+LEVEL_SHIFT = 58
 #: Sets that meet in one task at a time are two blocks at most.
 BLOCK = 512
+#: Pairs of one text that are verified in a task.
+FAN = 256
 #: Hashes of words that a worker remembers; at the limit it forgets them and goes on.
 REMEMBERED = 200_000
 
@@ -61,11 +65,14 @@ class Similarity:
         both = [own, own + 1] if n * self.den >= self.num * self.bounds[own + 1] else [own]
         return [j for j in both if self.most(j) > 0]
 
-    def shared_by_linked(self, level: Column) -> Column:
+    def agree(self, level: int) -> int:
         """Pieces in which linked documents of a band agree at least."""
+        return self.pieces(level) - self.most(level)
+
+    def shared_by_linked(self, level: Column) -> Column:
         # the table covers sets of up to 10^9 shingles, more than a text can have
         top = bisect.bisect_right(self.bounds, 10**9)
-        return F.element_at(F.array(*[F.lit(self.pieces(j) - self.most(j)) for j in range(top)]), level + 1)
+        return F.element_at(F.array(*[F.lit(self.agree(j)) for j in range(top)]), level + 1)
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return a > 0 and b > 0 and self.den * both >= self.num * (a + b - both)
@@ -109,106 +116,129 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
-def piece_tokens(shingles: np.ndarray, level: int, pieces: int) -> np.ndarray:
-    """One token for each piece: band, number of the piece, and the XOR of its shingles' bit hashes."""
+def piece_tokens(shingles: np.ndarray, level: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """One token for each piece, and which pieces are empty: band, and a hash of the number of the piece and of the
+    XOR of its shingles' bit hashes."""
     part = ((shingles >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
-    xor = np.zeros(pieces, np.uint64)
+    xor, empty = np.zeros(pieces, np.uint64), np.ones(pieces, bool)
     first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    xor[part[first].astype(np.int64)] = np.bitwise_xor.reduceat(mix64(shingles + np.uint64(0x5851F42D4C957F2D)), first)
+    at = part[first].astype(np.int64)
+    xor[at], empty[at] = np.bitwise_xor.reduceat(mix64(shingles + np.uint64(0x5851F42D4C957F2D)), first), False
     place = np.arange(pieces, dtype=np.uint64) + (np.uint64(level + 1) << np.uint64(40))
-    return mix64(xor ^ mix64(place)).view(np.int64)
+    token = mix64(xor ^ mix64(place)) >> np.uint64(64 - LEVEL_SHIFT) | np.uint64(level) << np.uint64(LEVEL_SHIFT)
+    return token.view(np.int64), empty
 
 
 def described(df: DataFrame, sim: Similarity) -> DataFrame:
-    """Add n_shingles and cls to rows with text, and drop the text: cls names the shingle set, equal sets alike."""
+    """Rows with text become rows with n_shingles, cls, sketch and tokens instead: one pass over the texts.
 
-    def make():
-        shingler = Shingler(sim.k)
+    cls names the shingle set (0: empty), equal sets alike. tokens are its sketch pieces; where a task has met the
+    set before, they are left out (see shared_pieces), as they are for rows that do not take part.
+    """
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("sketch", longs), T.StructField("tokens", longs)]
 
-        def kernel(texts):
-            sets = [shingler(t) for t in texts.to_pylist()]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64())]
+    def make():
+        shingler, seen, none = Shingler(sim.k), set(), np.zeros(0, np.int64)
+
+        def kernel(texts, takes_part):
+            sizes, names, bits, tokens = [], [], [], []
+            for text, wanted in zip(texts.to_pylist(), takes_part.to_pylist()):
+                shingles = shingler(text)
+                name = identity(shingles)
+                sizes.append(len(shingles))
+                names.append(name)
+                if wanted and name and name not in seen:
+                    seen.add(name)
+                    bits.append(sketch(shingles))
+                    tokens.append(all_tokens(shingles, sim))
+                else:
+                    bits.append(none)
+                    tokens.append(none)
+            return [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists_of(bits), lists_of(tokens)]
 
         return kernel
 
-    return map_column(df, "text", make, [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType())], drop=("text",))
-
-
-def sketched(df: DataFrame, sim: Similarity) -> DataFrame:
-    """Add n, sketch and own (the name of the text's set) to rows with text."""
+    return map_column(df, "text", make, fields, drop=("text",), also=("takes_part",))
 
-    def make():
-        shingler = Shingler(sim.k)
 
-        def kernel(texts):
-            sets = [shingler(t) for t in texts.to_pylist()]
-            bits = np.concatenate([sketch(s) for s in sets])
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH_BITS // 64))
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(bits)), pa.array([identity(s) for s in sets], pa.int64())]
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
-        return kernel
 
-    return map_column(df, "text", make, [T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("own", T.LongType())])
+def all_tokens(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
+    """The pieces of a set at all of its levels.
 
+    Linked sets agree in sim.agree(level) pieces of a level at least. A set with fewer empty pieces than that
+    leaves those out, as they cannot be all that it has in common with another one.
+    """
+    out = [np.zeros(0, np.int64)]
+    for level in sim.levels(len(shingles)):
+        tokens, empty = piece_tokens(shingles, level, sim.pieces(level))
+        out.append(tokens if empty.sum() >= sim.agree(level) else tokens[~empty])
+    return np.concatenate(out)
 
-def pieces(df: DataFrame, sim: Similarity) -> DataFrame:
-    """(token, cls, level): the sketch pieces of every set, once a task for equal sets."""
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("level", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(sim.k), set()
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
-                tokens, cls, level = [], [], []
-                for text in part.column(0).to_pylist():
-                    shingles = shingler(text)
-                    name = identity(shingles)
-                    if not name or name in seen:
-                        continue
-                    seen.add(name)
-                    for j in sim.levels(len(shingles)):
-                        tokens.append(piece_tokens(shingles, j, sim.pieces(j)))
-                        cls.append(np.full(len(tokens[-1]), name, np.int64))
-                        level.append(np.full(len(tokens[-1]), j, np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, cls, level)], names=schema.names)
+def hot_tokens(pieces: DataFrame, share: int = 64, least: int = 64, most: int = 100_000) -> DataFrame:
+    """(token, freq, pivot): the most frequent tokens, as the sets of one hash class in `share` show them.
 
-    # rows without an id are no vertices
-    return df.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, schema)
+    This only says which rows need not meet in one task, as their token is known to be shared: it holds what
+    many sets share and what a few don't, and no result depends on it.
+    """
+    some = pieces.where(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).groupBy("token")
+    counted = some.agg(F.count("*").alias("n"), F.min("cls").alias("pivot"), F.max("cls").alias("last")).where((F.col("n") >= least) & (F.col("pivot") < F.col("last")))
+    return counted.orderBy(F.desc("n"), "token").limit(most).select("token", (F.col("n") * share).alias("freq"), "pivot")
 
 
-def shared_pieces(df: DataFrame, sim: Similarity) -> DataFrame:
-    """(cls, level, token): pieces by which sets can be found, those that many sets share left out where they may be.
+def shared_pieces(pieces: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """(cls, token, pivot): pieces by which sets can be found, those that many sets share left out where they may be.
 
-    Linked sets agree in o pieces of a band at least. A set with fewer pieces that other sets have too is
+    Linked sets agree in o pieces of a level at least. A set with fewer pieces that other sets have too is
     linked with none there; of the others, the o - 1 most frequent pieces can be left out, as two linked sets
-    then still have one in common (the order by frequency is the same for all sets). So pieces that are empty
-    or lie wholly in a passage of many documents lead to no candidates, and no link is lost.
+    then still have one in common (the order by frequency is the same for all sets). So pieces that lie wholly
+    in a passage of many documents lead to no candidates, and no link is lost. pivot is one set with that piece.
     """
+    hot = scratch.table(hot_tokens(pieces))
+    marked = pieces.join(F.broadcast(hot), "token", "left")
+    frequent = marked.where("freq is not null").select("token", "cls", "freq", "pivot")
     token, own = Window.partitionBy("token"), Window.partitionBy("cls", "level")
-    counted = pieces(df, sim).withColumns({"freq": F.count("*").over(token), "least": F.min("cls").over(token), "most": F.max("cls").over(token)})
-    shared = counted.where("least <> most").select("cls", "level", "token", "freq")
-    shared = shared.repartition("cls", "level").dropDuplicates(["cls", "level", "token"])
+    rare = marked.where("freq is null").select("token", "cls")
+    rare = rare.withColumns({"freq": F.count("*").over(token), "pivot": F.min("cls").over(token), "last": F.max("cls").over(token)})
+    shared = rare.where("pivot < last").select("token", "cls", "freq", "pivot").union(frequent)
+    shared = shared.withColumn("level", F.shiftrightunsigned("token", LEVEL_SHIFT).cast("int"))
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("freq"), "token")))
-    return ranked.where(F.col("rank") >= sim.shared_by_linked(F.col("level"))).select("cls", "level", "token")
+    return ranked.where(F.col("rank") >= sim.shared_by_linked(F.col("level"))).select("cls", "token", "pivot")
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df with a broadcast hint if it has few rows; a join by shuffle is the way beyond."""
+def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows, of numbers and arrays of one sketch's length, fit in most_bytes; a join
+    by shuffle is the way beyond."""
+    width = sum(8 * SKETCH_BITS // 64 if isinstance(f.dataType, T.ArrayType) else 8 for f in df.schema.fields)
+    rows = most_bytes // width
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The linked ones of pairs (a, b): first by sizes and sketches, then by the shingles of the whole texts."""
-    facts = small(texts.select("cls", "n", "sketch"), 100_000)
-    left, right = (facts.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+def verified(pairs: DataFrame, facts: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """The linked ones of pairs (a, b): first by sizes and sketches, then by the shingles of the whole texts.
+
+    Only texts of pairs that the sketches leave over travel. A text that stands on the left of many pairs
+    is sent to as many tasks as it has FAN pairs.
+    """
+    few = small(facts)
+    left, right = (few.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
     near = sim.den * F.least("n_a", "n_b") >= sim.num * F.greatest("n_a", "n_b")
     left_over = both.where(near).where(apart * (sim.den + sim.num) <= total * (sim.den - sim.num)).select("a", "b")
-    with_b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).join(small(left_over), "b")
-    whole = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
+    left_over = scratch.table(left_over.distinct())
+    parts = scratch.table(left_over.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")))
+    keyed = left_over.join(small(parts), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    with_b = texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")).join(small(keyed), "b")
+    with_a = texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")).join(small(parts), "a")
+    with_a = with_a.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    whole = with_b.join(with_a.hint("merge"), ["a", "part"])
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +257,15 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def smallest_reachable(edges: DataFrame, spark: SparkSession) -> DataFrame:
+def smallest_reachable(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) for all vertices of edges (a, b): root is the smallest vertex of the component.
 
     Alternating stars: each vertex hands its larger neighbours to its smallest one, then its smaller ones.
-    Every round is a few aggregations and joins; nothing but the number of changes comes to the driver.
+    Every round is a few aggregations and joins; only the number and a checksum of the rows come to the driver.
     """
-    tree = materialise(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct(), spark)
+    mark = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first())
+    tree = scratch.table(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct())
+    before = mark(tree)
     while True:
         both = tree.select("v", "u").union(tree.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -241,15 +273,17 @@ def smallest_reachable(edges: DataFrame, spark: SparkSession) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         down = large.join(least, "v")
         hung = down.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
-        new = materialise(hung.where("u < v").distinct(), spark)
-        if not new.exceptAll(tree).limit(1).count() and not tree.exceptAll(new).limit(1).count():
+        new = scratch.table(hung.where("u < v").distinct())
+        scratch.drop(tree)
+        tree, now = new, mark(new)
+        if now == before:
             break
-        tree = new
+        before = now
     roots = tree.select(F.col("u").alias("v")).distinct().join(tree.select("v"), "v", "left_anti")
     return tree.select("v", F.col("u").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
-def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
+def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of sets in different components that share a piece and may be linked by sizes and sketches.
 
     Rows (token, cls, comp) are dealt in blocks: the sets of a token's largest component meet the others, and
@@ -260,7 +294,6 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     per = per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"))
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
     per = per.select("token", F.col("main.comp").alias("main"), "all", blocks(F.col("main.c")).alias("nm"), blocks(F.col("all") - F.col("main.c")).alias("nr"))
-    facts = small(texts.select("cls", "n", "sketch"), 100_000)
     rows = members.select("token", "cls", "comp").join(per, "token")
     own = members.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("own"))  # the pieces of one text
     kind, h = (lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))), F.xxhash64("cls")
@@ -271,7 +304,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     to_rest = F.transform(upto(F.col("nr")), lambda j: kind(2, F.least(j, mine_r), F.greatest(j, mine_r)))
     whole = F.array(kind(0, F.lit(0), F.lit(0)))
     keys = F.when(F.col("all") <= BLOCK, whole).when(F.col("comp") == F.col("main"), of_main).otherwise(F.concat(to_main, to_rest))
-    dealt = rows.withColumn("key", F.explode(keys)).join(facts, "cls").join(own, "cls")
+    dealt = rows.withColumn("key", F.explode(keys)).join(small(facts), "cls").join(own, "cls")
     dealt = dealt.select("token", "key.kind", "key.x", "key.y", "cls", "comp", "n", "sketch", "own")
     dealt = dealt.repartition("token", "kind", "x", "y").sortWithinPartitions("token", "kind", "x", "y")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -319,61 +352,130 @@ def cross_pairs(members: DataFrame, texts: DataFrame, sim: Similarity) -> DataFr
     return dealt.mapInArrow(run, schema).distinct()
 
 
-def joined_sets(shared: DataFrame, texts: DataFrame, sim: Similarity, spark: SparkSession, pivots: int = 2) -> DataFrame:
-    """(cls, comp) of all sets that share a piece: comp is the least name in the component.
+def joined_sets(shared: DataFrame, facts: DataFrame, texts: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """(cls, comp) of all sets in facts: comp is the least name in the component.
 
-    In each of the first rounds, the sets that share a piece are compared with one pivot of theirs, which joins
-    most of a group of near copies. What then is in different components and shares a piece is compared pair
-    by pair, so that components come out whole without all pairs of a group.
+    First every set is compared with the pivots of its pieces, then with other ones, which joins most of a group of
+    near copies. What then is in different components and shares a piece is compared pair by pair, so that
+    components come out whole without all pairs of a group.
     """
-    names = materialise(shared.select("cls").distinct(), spark)
-    comp, links, tested = names.withColumn("comp", F.col("cls")), None, None
-    for turn in range(pivots + 1):
-        members = shared.join(comp, "cls").select("token", "cls", "comp")
-        mixed = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        members = materialise(members.join(mixed.select("token"), "token"), spark)
-        if members.isEmpty():
-            break
-        if turn < pivots:
-            order = F.xxhash64("cls", F.lit(turn)) if turn else F.col("cls")
-            pivot = members.groupBy("token").agg(F.min_by(F.struct("cls", "comp"), order).alias("p"))
-            found = members.join(pivot, "token").where("comp <> p.comp")
-            pairs = found.select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        else:
-            pairs = cross_pairs(members, texts, sim)
-        if tested is not None:
+    pairs = scratch.table(shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+    names, tested, links = facts.select("cls"), pairs, None
+    for turn in range(3):
+        if turn:
+            members = shared.select("cls", "token").join(small(comp), "cls").select("token", "cls", "comp")
+            mixed = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            members = scratch.table(members.join(small(mixed.select("token")), "token"))
+            if members.isEmpty():
+                break
+            if turn == 1:
+                pivot = members.groupBy("token").agg(F.min_by(F.struct("cls", "comp"), F.xxhash64("cls")).alias("p"))
+                pairs = members.join(pivot, "token").where("comp <> p.comp").select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
+            else:
+                pairs = cross_pairs(members, facts, sim)
             turned = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
-            pairs = pairs.join(tested.union(turned).distinct(), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, spark)
-        new = materialise(verified(pairs, texts, sim).distinct(), spark)
-        tested = pairs if tested is None else tested.union(pairs)
+            pairs = scratch.table(pairs.join(tested.union(turned), ["a", "b"], "left_anti"))
+            scratch.drop(members)
+            tested = tested.union(pairs)
+        new = scratch.table(verified(pairs, facts, texts, sim, scratch).distinct())
         links = new if links is None else links.union(new)
-        root = smallest_reachable(links, spark)
-        both = names.join(root, F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("root", "cls").alias("comp"))
-        comp = materialise(both, spark)
+        root = smallest_reachable(links, scratch)
+        comp = scratch.table(names.join(small(scratch.table(root)), F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("root", "cls").alias("comp")))
     return comp
 
 
+def text_components(df: DataFrame, sim: Similarity, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, comp, repeats) of rows (doc_id, text, takes_part).
+
+    base: doc_id, th (a hash of the text), n_shingles and cls of every row. comp: cls and comp of the sets that links
+    of rows that take part join, but for those with comp = cls. repeats: (doc_id, th) of more than one row.
+    """
+    marked = df.withColumns({"th": F.xxhash64("text"), "uid": F.monotonically_increasing_id()})
+    base = scratch.table(described(marked, sim))
+    repeats = scratch.table(base.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "th"))
+    # of equal sets the pieces of one row count
+    with_tokens = base.where(F.size("tokens") > 0)
+    again = with_tokens.groupBy("cls").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("cls", "first")
+    one = with_tokens.join(small(scratch.table(again)), "cls", "left").where("first is null or uid = first")
+    shared = scratch.table(shared_pieces(one.select(F.explode("tokens").alias("token"), "cls"), sim, scratch))
+    named = scratch.table(shared.select("cls").distinct())
+    facts = scratch.table(one.join(small(named), "cls").select("cls", "doc_id", "th", F.col("n_shingles").alias("n"), "sketch"))
+    slim = scratch.table(base.select("doc_id", "th", "n_shingles", "cls"))
+    scratch.drop(base)
+    key = small(facts.select("cls", F.col("doc_id").alias("key"), F.col("th").alias("key_th")))
+    same = (F.xxhash64("text") == F.col("key_th")) & F.col("doc_id").eqNullSafe(F.col("key"))
+    texts = df.select("doc_id", "text").join(key, same).select("cls", "text")
+    if not repeats.isEmpty():
+        texts = texts.groupBy("cls").agg(F.first("text").alias("text"))
+    texts = scratch.table(texts)
+    comp = joined_sets(shared, facts.select("cls", "n", "sketch"), texts, sim, scratch)
+    comp = scratch.table(comp.where("cls <> comp"))
+    for used in (shared, facts, texts):
+        scratch.drop(used)
+    return slim, comp, repeats
+
+
 def near_duplicates(df: DataFrame, spark: SparkSession, sim: Similarity | None = None) -> DataFrame:
     """Rows (doc_id, text) become rows (doc_id, n_shingles, component_id), one for one.
 
     component_id is the smallest doc_id that links reach. Equal sets are linked; empty ones (a null or empty
-    text, or one without words) are linked with nothing. Rows that repeat a doc_id are one vertex. A row
-    without doc_id is no vertex: its component_id is null.
+    text, or one without words) are linked with nothing. Rows that repeat a doc_id are one vertex with the links of all
+    their texts. A row without doc_id is no vertex: its component_id is null, and nothing is linked through it. Other
+    columns of df play no part; an empty table gives an empty one. A text is held in one task as a whole, with its words.
+    """
+    sim, scratch = sim or Similarity(), Scratch(spark)
+    base, comp, _ = text_components(df.select("doc_id", "text", F.col("doc_id").isNotNull().alias("takes_part")), sim, scratch)
+    texts = F.when(F.col("cls") != 0, F.col("cls"))
+    split = base.where("doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min(texts).alias("a"))
+    split = scratch.table(split.where("lo < hi").select("doc_id", "a"))
+    if not split.isEmpty():  # one id stands on rows with different texts
+        joined = base.join(small(split), "doc_id", "left")
+        edges = joined.where("cls <> 0 and a <> cls").select("a", F.col("cls").alias("b"))
+        edges = edges.union(comp.select(F.col("comp").alias("a"), F.col("cls").alias("b")))
+        comp = smallest_reachable(edges.distinct(), scratch)
+        comp = scratch.table(comp.where("v <> root").select(F.col("v").alias("cls"), F.col("root").alias("comp")))
+        base = scratch.table(joined.withColumn("cls", F.when(F.col("cls") == 0, F.coalesce("a", F.lit(0))).otherwise(F.col("cls"))).drop("a"))
+    whole = with_group(base, comp)
+    vertices = whole.where("group <> 0 and doc_id is not null")
+    roots = vertices.groupBy("group").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("last")).where("root < last").select("group", "root")
+    out = whole.join(small(scratch.table(roots)), "group", "left")
+    root = F.when(F.col("doc_id").isNotNull() & (F.col("group") != 0), F.col("root"))
+    return out.select("doc_id", "n_shingles", F.coalesce(root, F.col("doc_id")).alias("component_id"))
+
+
+def with_group(base: DataFrame, comp: DataFrame) -> DataFrame:
+    """Add group: the component of the set of a row, 0 for an empty one."""
+    return base.join(small(comp), "cls", "left").withColumn("group", F.coalesce("comp", "cls")).drop("comp")
+
+
+def one_of_each_group(df: DataFrame, spark: SparkSession, sim: Similarity | None = None) -> DataFrame:
+    """The rows of df (doc_id, text, ...) without near duplicates: of all rows that links of their texts join, the one
+    with the smallest doc_id stays.
+
+    Only texts link here: rows that share nothing but a doc_id are all kept, so that every text that goes has one that
+    stays and that links reach. Rows without doc_id take part, and stay only where no other row of their group has
+    one. Of rows that repeat doc_id and text one stays. Rows without words all stay. All columns of df are kept.
     """
-    sim = sim or Similarity()
-    df = df.select("doc_id", "text")
-    base = materialise(described(df, sim), spark)
-    vertices = base.where("cls <> 0 and doc_id is not null")
-    classes = vertices.groupBy("cls").agg(F.min("doc_id").alias("node"))
-    shared = materialise(shared_pieces(df, sim), spark)
-    named = materialise(shared.select("cls").distinct().join(classes, "cls"), spark)
-    texts = df.join(small(named), F.col("doc_id") == F.col("node")).select("cls", "text")
-    texts = materialise(sketched(texts, sim).where("cls = own").select("cls", "n", "sketch", "text"), spark)
-    comp = joined_sets(shared, texts, sim, spark)
-    least = comp.join(named, "cls").groupBy("comp").agg(F.min("node").alias("root"))
-    roots = comp.join(least, "comp").select("cls", "root")
-    target = classes.join(roots, "cls", "left").select("cls", F.coalesce("root", "node").alias("component_id"))
-    linked = vertices.join(small(target, 200_000), "cls").select("doc_id", "n_shingles", "component_id")
-    alone = base.where("cls = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone)
+    sim, scratch = sim or Similarity(), Scratch(spark)
+    base, comp, repeats = text_components(df.select("doc_id", "text", F.lit(True).alias("takes_part")), sim, scratch)
+    whole = with_group(base, comp).where("group <> 0").select("group", "doc_id", "th")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best")
+    groups = scratch.table(whole.groupBy("group").agg(best, F.count("*").alias("n")).where("n > 1").select("group", F.col("best.doc_id").alias("b"), F.col("best.th").alias("t")))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("b")) & (F.col("th") == F.col("t")))
+    gone = scratch.table(whole.join(small(groups), "group").where(other).select("doc_id", "th").distinct())
+    kept = without(df, gone, "left_anti")
+    twice = repeats.join(base.where("cls <> 0").select("th").distinct(), "th", "left_semi")
+    twice = scratch.table(twice)
+    if twice.isEmpty():
+        return kept
+    nth = next(c for c in (f"nth{i}" for i in itertools.count()) if c not in {x.lower() for x in df.columns})
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    once = without(kept, twice, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    return without(kept, twice, "left_anti").union(once)
+
+
+def without(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Anti or semi join of rows (doc_id, text) with keys (doc_id, th); a null doc_id is a value like others."""
+    keys = small(keys.select(F.col("doc_id").alias("key"), F.col("th").alias("key_th")))
+    rows, k = df.alias("d"), keys.alias("k")
+    return rows.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.key")) & (F.xxhash64("d.text") == F.col("k.key_th")), how)

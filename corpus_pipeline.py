@@ -7,7 +7,7 @@ Parquet in the shared folder and read again.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import bpe_codec, mixing, ngram_rules, parity_join, pu_quality
@@ -30,20 +30,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
-    found = parity_join.near_duplicates(docs, spark, parity_join.Similarity(k=5, num=80, den=100))
-    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), spark)
-    kept = docs.join(parity_join.small(gone), "doc_id", "left_anti").select(*docs.columns)
-    return one_row_a_document(kept)
-
-
-def one_row_a_document(docs: DataFrame) -> DataFrame:
-    """Of rows that repeat a doc_id one stays; rows without doc_id all stay."""
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    again = parity_join.small(again)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    repeated = docs.join(again, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-    return docs.join(again, "doc_id", "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more.
+
+    Every text that goes has one that stays and that links reach (see parity_join.one_of_each_group); documents
+    without words, and rows that share a doc_id but no text, stay.
+    """
+    return parity_join.one_of_each_group(docs, spark, parity_join.Similarity(k=5, num=80, den=100))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
