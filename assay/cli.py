@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import SparkSession
 
+from assay.functions.scratch import shared_folder
+from assay.operators import review
 from assay.plans import audit, benchmark, export, provenance
-from assay.sources import images, sinks, tables
+from assay.sources import images, sinks, store, tables
 
 
 def session() -> SparkSession:
@@ -27,13 +30,23 @@ def parser() -> argparse.ArgumentParser:
     for name, value in (("seed", 42), ("folds", 5), ("neighbors", 5)):
         a.add_argument(f"--{name}", type=int, default=value)
     a.add_argument("--out", required=True)
+    a.add_argument("--findings", help="a path for the findings as Parquet")
+    v = commands.add_parser("preview")
+    v.add_argument("--csv", required=True)
+    v.add_argument("--out", required=True)
+    d = commands.add_parser("decide")
+    d.add_argument("--decisions-log", required=True)
+    d.add_argument("--row", type=int, required=True)
+    d.add_argument("--action", default="keep")
+    d.add_argument("--new-label")
     b = commands.add_parser("benchmark")
     b.add_argument("--seed", type=int, default=42)
     b.add_argument("--output")
     b.add_argument("--markdown")
     e = commands.add_parser("export")
-    for name in ("source", "label", "decisions", "out", "log"):
+    for name in ("source", "label", "decisions", "out"):
         e.add_argument(f"--{name}", required=True)
+    e.add_argument("--log", help="the log's file; without it, --out is a folder of parts for tables of any size")
     return p
 
 
@@ -49,9 +62,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             found = audit.audit_table(df, label, args.features, **options)
             source = provenance.table_source(df, args.csv)
         else:
-            found = audit.audit_images(images.image_features(spark, args.images), **options)
-            source = provenance.image_source(images.read_images(spark, args.images))
-        sinks.write_json(args.out, provenance.report(found, source))
+            root = args.images
+            if root.lower().endswith(".zip"):  # executors read the files as well
+                root = sinks.extract_zip(root, f"{shared_folder(spark).removeprefix('file:')}/images-{uuid.uuid4().hex}")
+            records = tables.image_records(spark, root)
+            found = audit.audit_images(images.image_features(spark, records), **options)
+            source = provenance.image_source(images.read_images(spark, records))
+        sinks.write_json(args.out, provenance.report(found, source, args.findings))
+    elif args.command == "preview":
+        sinks.write_json(args.out, store.describe(tables.read_csv(spark, args.csv)))
+    elif args.command == "decide":
+        review.record_decision(spark, args.decisions_log, args.row, args.action, args.new_label)
     elif args.command == "benchmark":
         report = benchmark.run_benchmark(spark, args.seed, progress=lambda s: print(s, file=sys.stderr))
         if args.output:
@@ -63,8 +84,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(text)
     else:
         df = tables.read_csv(spark, args.source)
-        counts = export.export_review(df, args.label, tables.read_decisions(spark, args.decisions), args.out, args.log, args.source)
-        print(counts)
+        decisions = review.last_decisions(spark.read.parquet(args.decisions)) if not args.decisions.endswith(".json") else tables.read_decisions(spark, args.decisions)
+        if args.log:
+            print(export.export_review(df, args.label, decisions, args.out, args.log, args.source))
+        else:
+            print(export.export_parts(df, args.label, decisions, args.out))
     return 0
 
 

@@ -57,20 +57,28 @@ def terms_of(text: Column) -> Column:
 
 
 def vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
-    """(term, n, df): the most frequent terms, ties by term."""
-    terms = train.select(F.col("source_index"), F.explode(terms_of(F.col(f"`{column}`"))).alias("term"))
-    per = terms.groupBy("term", "source_index").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("df"))
-    return per.orderBy(F.desc("n"), "term").limit(size)
-
-
-def row_vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
-    """vocabulary for rows that are a document each: occurrences and rows of a term are summed before the shuffle."""
+    """(term, n, df) of rows that are a document each: the most frequent terms, ties by term. Occurrences and rows of a
+    term are summed before the shuffle."""
     both = F.element_at(F.transform(F.array(terms_of(F.col(f"`{column}`"))), lambda w: F.array(w, F.array_distinct(w))), 1)
     terms = train.select(F.posexplode(both).alias("once", "terms")).select("once", F.explode("terms").alias("term"))
     per = terms.groupBy("term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("df"))
     return per.orderBy(F.desc("n"), "term").limit(size)
 
 
+def numeric_statistics(train: DataFrame, columns: list[str]) -> list[tuple[str, float | None, float | None, float | None]]:
+    """(column, median, mean, population deviation) of training rows; mean and deviation count missing values as the
+    median, and a column without values has none of them."""
+    medians = train.agg(*[F.percentile(filled(c, None), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    parts = [f(filled(c, medians[i])).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.avg, F.stddev_pop)]
+    s = train.agg(*parts).first()
+    return [(c, medians[i], s[f"avg{i}"], s[f"stddev_pop{i}"]) for i, c in enumerate(columns)]
+
+
+def filled(column: str, median: float | None) -> Column:
+    value = F.col(f"`{column}`").cast("double")
+    return F.coalesce(F.when(~F.isnan(value), value), F.lit(median).cast("double"))
+
+
 def table_preprocessor(kinds: dict[str, list[str]]) -> Preprocessor:
     """Numbers: median for missing ones, then standardised. Categories: one slot a training level, none for others.
     Texts: tf-idf of words and pairs, of unit length."""
@@ -80,12 +88,9 @@ def table_preprocessor(kinds: dict[str, list[str]]) -> Preprocessor:
         parts: list[str] = []
         numeric = kinds["numeric"]
         if numeric:
-            medians = train.agg(*[F.percentile(F.col(f"`{c}`"), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
-            known = [(c, medians[i]) for i, c in enumerate(numeric) if medians[i] is not None]  # a column without values goes
-            filled = {c: F.coalesce(F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")), F.lit(m)) for c, m in known}
+            known = [x for x in numeric_statistics(train, numeric) if x[1] is not None]  # a column without values goes
             if known:
-                s = train.agg(*[f(filled[c]).alias(f"{f.__name__}{i}") for i, (c, _) in enumerate(known) for f in (F.avg, F.stddev_pop)]).first()
-                scaled = [(filled[c] - s[f"avg{i}"]) / (s[f"stddev_pop{i}"] or 1.0) for i, (c, _) in enumerate(known)]
+                scaled = [(filled(c, median) - mean) / (deviation or 1.0) for c, median, mean, deviation in known]
                 stages.append(lambda df: df.withColumn("__num", array_to_vector(F.array(*scaled))))
                 parts.append("__num")
         if kinds["categorical"]:

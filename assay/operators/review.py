@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ACTIONS = ("keep", "relabel", "drop")
@@ -21,11 +23,12 @@ def filter_findings(findings: DataFrame, given_label: str | None = None, status:
 
 
 def page(findings: DataFrame, number: int, size: int = PAGE) -> DataFrame:
-    """A page of the filtered findings by rank; a number beyond the last page gives the last one."""
-    placed = findings.withColumn("__place", F.row_number().over(Window.orderBy("rank")) - 1)
-    last = F.greatest(F.ceil(F.count("*").over(Window.partitionBy()) / size) - 1, F.lit(0))
-    placed = placed.withColumn("__page", F.least(F.lit(max(number, 0)), last))
-    return placed.where(F.floor(F.col("__place") / size) == F.col("__page")).drop("__place", "__page")
+    """A page of the filtered findings by rank; a number beyond the last page gives the last one.
+
+    A top-k that keeps as many rows as the page is deep: nothing is numbered.
+    """
+    last = max(-(-findings.count() // size) - 1, 0)
+    return findings.orderBy("rank").offset(size * min(max(number, 0), last)).limit(size)
 
 
 def top(findings: DataFrame, n: int) -> DataFrame:
@@ -36,6 +39,39 @@ def finding(findings: DataFrame, source_index: int) -> DataFrame:
     return findings.where(F.col("source_index") == source_index).limit(1)
 
 
+DECISION_LOG = "source_index long, action string, new_label string, seq long"
+
+
+def record_decision(spark: SparkSession, log: str, source_index: int, action: str = "keep", new_label: str | None = None) -> DataFrame:
+    """Append a decision to the Parquet log at a path, and return the log; the last decision on a row holds.
+
+    An unknown action, or a relabel without a label, is an error, and nothing is written. Of the label, blanks at its
+    ends go; other actions have none. seq is the time in nanoseconds, so that several reviewers may append.
+    """
+    new_label = (new_label or "").strip() if action == "relabel" else None
+    row = spark.createDataFrame([(int(source_index), action, new_label, time.time_ns())], DECISION_LOG)
+    check_decisions(row)
+    row.coalesce(1).write.mode("append").parquet(log)
+    return spark.read.schema(DECISION_LOG).parquet(log)
+
+
+def export_label(kind: str, columns: list[str], stored: str | None) -> tuple[str, dict]:
+    """The label column that an export of a saved audit writes to, and how it was found.
+
+    An audit of a table needs the column that it has stored. The label of image audits is always named label: another
+    stored name is put right, and said so.
+    """
+    if kind != "images":
+        if not stored or stored not in columns:
+            raise ValueError("the audit has no label column to export")
+        return stored, {"status": "stored", "effective_label_column": stored}
+    if "label" not in columns:
+        raise ValueError("the label of the image audit is not available")
+    if stored == "label":
+        return "label", {"status": "stored", "effective_label_column": "label"}
+    return "label", {"status": "normalized_legacy_image_audit", "stored_label_column": stored or "", "effective_label_column": "label"}
+
+
 def last_decisions(log: DataFrame) -> DataFrame:
     """The last decision on every row of a log (source_index, action, new_label, seq)."""
     best = F.max_by(F.struct("action", "new_label"), "seq").alias("d")

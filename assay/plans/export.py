@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-import shutil
-import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from assay.functions.scratch import settled
 from assay.operators import review
 from assay.sources.sinks import publish_together, write_json
 
@@ -18,6 +20,11 @@ STAMP = re.compile(r"\d{8}-\d{6}(?:-\d+)?")
 EXPORT_FILES = {"cleaned.csv", "audit-log.json"}
 
 
+#: Rows of which single files are made on the driver.
+MOST_ROWS = 1_000_000
+CSV = {"escape": '"', "emptyValue": "", "nullValue": ""}
+
+
 class OverwriteRefused(ValueError):
     """An output would take the place of a source."""
 
@@ -46,32 +53,38 @@ def refuse_overwrite(outputs: list[str], original: str | None) -> None:
             raise OverwriteRefused(f"{out} lies inside the source folder")
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """One column of CSV lines, quoted where need be; a null is an empty field."""
+    return df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), CSV).alias("line"))
+
+
+def header_line(columns: list[str]) -> str:
+    return ",".join('"' + c.replace('"', '""') + '"' if re.search(r'[",\n]', c) else c for c in columns)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file in the order of source_index. Spark writes parts in that order; they are then joined."""
-    folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".csv-")
-    try:
-        ordered = df.orderBy("source_index").drop("source_index")
-        ordered.write.mode("overwrite").option("header", False).option("escape", '"').option("emptyValue", "").csv(f"{folder}/parts")
-        with open(path, "wb") as out:
-            out.write((",".join(f'"{c}"' if re.search(r'[",\n]', c) else c for c in ordered.columns) + "\n").encode())
-            for part in sorted(n for n in os.listdir(f"{folder}/parts") if n.startswith("part-")):
-                with open(f"{folder}/parts/{part}", "rb") as f:
-                    shutil.copyfileobj(f, out)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-
-
-def export_review(df: DataFrame, label: str, decisions: DataFrame, cleaned_path: str, log_path: str, original_path: str | None = None, meta: dict | None = None) -> dict:
+    """One CSV file in the order of source_index: partition by partition, lines that Spark has made pass the driver."""
+    ordered = df.orderBy("source_index").drop("source_index")
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        out.write(header_line(ordered.columns) + "\n")
+        for row in csv_lines(ordered).toLocalIterator():
+            out.write(row["line"] + "\n")
+
+
+def export_review(df: DataFrame, label: str, decisions: DataFrame, cleaned_path: str, log_path: str, original_path: str | None = None, meta: dict | None = None, most_rows: int = MOST_ROWS) -> dict:
     """Apply decisions to df (with source_index) and publish the cleaned CSV file and the log, or neither.
 
-    Decisions are checked before anything is written; the source file must be the same before and after.
+    Decisions are checked before anything is written; the source file must be the same before and after. This form
+    makes single files on the driver, for up to most_rows rows; export_parts has no such limit.
     """
     refuse_overwrite([cleaned_path, log_path], original_path)
     review.check_decisions(decisions)
     is_file = bool(original_path) and os.path.isfile(original_path)
     before = file_sha256(original_path) if is_file else None
-    rows = review.decided(df, decisions).cache()
+    rows = settled(review.decided(df, decisions))
     counts = review.export_counts(rows).first().asDict()
+    if counts["n_in"] > most_rows:
+        raise ValueError(f"more than {most_rows} rows: export them as parts")
     entries = (r.asDict() for r in review.audit_log(rows, label).orderBy("source_index").toLocalIterator())
     log = {"label": label, "counts": counts, "source_sha256": before, "meta": meta or {}, "entries": list(entries)}
 
@@ -80,10 +93,29 @@ def export_review(df: DataFrame, label: str, decisions: DataFrame, cleaned_path:
             raise RuntimeError("the source changed during the export")
         write_json(path, log)
 
-    try:
-        publish_together({cleaned_path: lambda p: write_csv(review.cleaned(rows, label), p), log_path: put_log})
-    finally:
-        rows.unpersist()
+    publish_together({cleaned_path: lambda p: write_csv(review.cleaned(rows, label), p), log_path: put_log})
+    return counts
+
+
+def export_parts(df: DataFrame, label: str, decisions: DataFrame, folder: str, meta: dict | None = None) -> dict:
+    """The same for tables of any size: Spark writes cleaned (CSV with headers), audit-log (JSON lines) and summary to a
+    new folder of any file system, which gets its name once all is written. Within them rows are sorted by
+    source_index from part to part."""
+    review.check_decisions(decisions)
+    spark, staged = df.sparkSession, f"{folder.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    rows = settled(review.decided(df, decisions))
+    counts = review.export_counts(rows).first().asDict()
+    review.cleaned(rows, label).orderBy("source_index").drop("source_index").write.options(header=True, **CSV).csv(f"{staged}/cleaned")
+    review.audit_log(rows, label).orderBy("source_index").write.option("ignoreNullFields", False).json(f"{staged}/audit-log")
+    summary = json.dumps({"label": label, "counts": counts, "meta": meta or {}})
+    spark.createDataFrame([(summary,)], "value string").coalesce(1).write.text(f"{staged}/summary")
+    context = spark.sparkContext
+    at = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(staged).getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(at(folder)):
+        files.delete(at(staged), True)
+        raise OverwriteRefused(f"{folder} exists")
+    files.rename(at(staged), at(folder))
     return counts
 
 

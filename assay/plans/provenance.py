@@ -12,7 +12,8 @@ import subprocess
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.plans.export import file_sha256
+from assay.operators.labels import in_order
+from assay.plans.export import MOST_ROWS, file_sha256
 
 SCHEMA = "assay.oof-provenance/v1"
 
@@ -43,10 +44,8 @@ def table_source(df: DataFrame, path: str | None = None) -> dict:
 
 def image_source(files: DataFrame) -> dict:
     """Of rows (image_path, label, content): names, labels and bytes in order of label and name."""
-    from assay.operators.labels import with_source_index
-
     named = files.select(F.element_at(F.split("image_path", "/"), -1).alias("name"), "label", F.sha2("content", 256).alias("sha256"))
-    numbered = with_source_index(named.orderBy("label", "name"))
+    numbered = in_order(named, [F.asc("label"), F.asc("name")], "source_index")
     return {"kind": "images", "n_rows": numbered.count(), "content_sha256": content_hash(numbered).first()[0]}
 
 
@@ -82,8 +81,14 @@ def manifest(audit, source: dict) -> dict:
     }
 
 
-def report(audit, source: dict) -> dict:
-    """The whole report of an audit of moderate size, for a JSON file; large ones are written as Parquet."""
+def report(audit, source: dict, findings: str | None = None, most_rows: int = MOST_ROWS) -> dict:
+    """The report of an audit, for a JSON file. More than most_rows findings don't go through the driver: Spark writes
+    them as Parquet to the path `findings`, and the report names it."""
+    many = audit.findings.count() > most_rows
+    if many and not findings:
+        raise ValueError(f"more than {most_rows} findings: a path for them is needed")
+    if findings:
+        audit.findings.write.mode("overwrite").parquet(findings)
     stats = [r.asDict() for r in audit.class_stats.orderBy("class_index").collect()]
     cells = {(r["given_label"], r["confident_label"]): r["n"] for r in audit.joint.collect()}
     return {
@@ -96,5 +101,6 @@ def report(audit, source: dict) -> dict:
         "seed": audit.seed,
         "summary": audit.summary().first().asDict(),
         "provenance": manifest(audit, source),
-        "rows": [r.asDict(recursive=True) for r in audit.findings.orderBy("rank").toLocalIterator()],
+        "findings": findings,
+        "rows": [] if many else [r.asDict(recursive=True) for r in audit.findings.orderBy("rank").toLocalIterator()],
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def with_proba(df: DataFrame) -> DataFrame:
-    """Probabilities made of the first elements of the vector: the same arithmetic in every engine."""
+    """Probabilities made of the first elements of the vector, for the queries on scores: the same arithmetic in every
+    engine, which a fitted model has not. audit_matrix and audit_text score probabilities of a model."""
     parts = [F.get("embedding", F.lit(j)).cast("double") + 1.0 for j in range(CLASSES)]
     total = parts[0]
     for p in parts[1:]:
@@ -93,30 +95,53 @@ def _customer_folds(spark, sf_dir):
 
 
 def fold_standardize(spark, sf_dir):
-    """Statistics of the training rows of every fold."""
-    train = _customer_folds(spark, sf_dir).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(FOLDS)))).where("fold <> oof_fold")
-    x = F.col("c_acctbal")
-    stats = train.groupBy("fold").agg(F.percentile(x, F.lit(0.5)).alias("median"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.count("*").alias("n"))
-    return rounded(stats)
+    """The statistics by which the preprocessor of tables fills and scales a number, from the training rows of each fold."""
+    df, stats = _customer_folds(spark, sf_dir), []
+    for f in range(1, FOLDS + 1):
+        train = df.where(F.col("oof_fold") != f)
+        _, median, mean, deviation = model.numeric_statistics(train, ["c_acctbal"])[0]
+        stats.append((f, median, mean, deviation, train.count()))
+    return rounded(spark.createDataFrame(stats, "fold int, median double, mean double, deviation double, n long"))
 
 
-def one_hot_fold(spark, sf_dir):
-    """The slot of each held-out row's category among the levels of its fold's training rows; -1 for a new one."""
+def standardized_fold(spark, sf_dir):
+    """Every row's number, scaled by the preprocessor that was fitted without the row's fold."""
+    z = F.element_at(model.vector_to_array("z"), 1)
+    return rounded(_held_out(spark, sf_dir, {"numeric": ["c_acctbal"], "categorical": [], "text": []}, z.alias("z")))
+
+
+def _held_out(spark, sf_dir, kinds, *columns):
     df = _customer_folds(spark, sf_dir)
-    train = df.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(FOLDS)))).where("fold <> oof_fold")
-    levels = train.groupBy("fold").agg(F.sort_array(F.collect_set("given_label")).alias("levels"))
-    joined = df.join(F.broadcast(levels), df["oof_fold"] == levels["fold"])
-    return joined.select("source_index", "oof_fold", (F.array_position("levels", F.col("given_label")) - 1).cast("int").alias("slot"))
+    each = []
+    for f in range(1, FOLDS + 1):
+        transform = model.table_preprocessor(kinds)(df.where(F.col("oof_fold") != f))
+        each.append(transform(df.where(F.col("oof_fold") == f)).select("source_index", "oof_fold", *columns))
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def one_hot_fold(spark, sf_dir):
+    """The slot of each held-out row's category in the preprocessor of its fold; -1 for a category it has not seen."""
+    slot = F.array_position(model.vector_to_array("z"), 1.0) - 1
+    return _held_out(spark, sf_dir, {"numeric": [], "categorical": ["given_label"], "text": []}, slot.cast("int").alias("slot"))
 
 
 def tfidf_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
-    return model.vocabulary(docs.withColumnRenamed("doc_id", "source_index"), "text")
+    return model.vocabulary(table(spark, sf_dir, "documents"), "text")
 
 
 def tfidf_terms_all(spark, sf_dir):
-    """The terms of all documents, labelled or not, as audit_text counts them; tfidf_terms keeps to the rows of its SQL."""
-    return model.row_vocabulary(table(spark, sf_dir, "documents"), "text")
+    """tfidf_terms under the name that it had while that counted labelled documents only."""
+    return tfidf_terms(spark, sf_dir)
+
+
+def tfidf_weights(spark, sf_dir):
+    """What the preprocessor makes of every document: how many terms weigh, their sum, and the largest weight."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    z = model.vector_to_array("z")
+    rows = model.table_preprocessor({"numeric": [], "categorical": [], "text": ["text"]})(docs)(docs)
+    some = F.filter(z, lambda x: x > 0)
+    total = F.aggregate(some, F.lit(0.0), lambda a, x: a + x)
+    return rounded(rows.select("doc_id", F.size(some).cast("long").alias("n_terms"), total.alias("total"), F.coalesce(F.array_max(some), F.lit(0.0)).alias("largest")))
 
 
 def _near(spark, sf_dir):
@@ -163,7 +188,8 @@ def _ensemble(spark, sf_dir):
     rows = scoring.with_ensemble(scored.rows.join(near, "source_index"), names)
     # scores are rounded before they are ranked, so that the last bits of a sum don't decide
     rows = rows.withColumns({"ensemble_score": F.round("ensemble_score", 6), "cl_score": F.round("cl_score", 6)})
-    return scoring.ranked_by_window(rows.withColumn("row_id", F.concat(F.lit("row-"), "source_index"))), names
+    ranked = scoring.ranked(rows.withColumn("row_id", F.concat(F.lit("row-"), "source_index")))
+    return ranked.withColumn("rank", F.col("rank").cast("int")), names
 
 
 def ensemble_rank(spark, sf_dir):
@@ -294,7 +320,7 @@ def benchmark_lang(spark, sf_dir):
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     class_dimension, class_counts_minority, infer_kinds_documents, infer_kinds_customer, prepare_customer, prepare_documents,
-    stratified_folds, fold_standardize, one_hot_fold, tfidf_terms, tfidf_terms_all, knn_neighbors, knn_disagreement, score_rows, class_thresholds,
+    stratified_folds, fold_standardize, standardized_fold, one_hot_fold, tfidf_terms, tfidf_terms_all, tfidf_weights, knn_neighbors, knn_disagreement, score_rows, class_thresholds,
     confident_joint, ensemble_rank, audit_summary, noise_uniform, noise_class_conditional, precision_recall_at_k, auroc, ranking_report,
     review_budget, review_by_class, review_filter, review_page, review_topk, export_cleaned, export_log, export_counts, content_hash,
     audit_matrix, audit_table, audit_text, benchmark_lang,
@@ -371,6 +397,12 @@ _PR = "round(CASE WHEN n_reviewed > 0 THEN true_positives / n_reviewed ELSE 0.0
 _D = f"""WITH src AS ({_E}), dc AS (SELECT source_index, given_label, CASE WHEN source_index % 10 = 0 THEN 'drop' WHEN source_index % 7 = 0 THEN 'relabel' ELSE 'keep' END AS action FROM src)"""
 
 
+_TERMS = f"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS term FROM d UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM d),
+    tc AS (SELECT term, doc_id, count(*) AS c FROM t GROUP BY ALL),
+    voc AS (SELECT term, CAST(sum(c) AS BIGINT) AS n, count(*) AS df FROM tc GROUP BY term ORDER BY n DESC, term LIMIT {model.TERMS})"""
+
+
 def _kind_sql(name: str, columns: dict[str, bool]) -> str:
     parts = []
     for c, text in columns.items():
@@ -395,9 +427,13 @@ def oracle_sql() -> dict[str, str]:
         "stratified_folds": f"WITH {_F} SELECT source_index, given_label, oof_fold FROM fold",
         "fold_standardize": f"WITH {_FC} SELECT CAST(k AS INTEGER) AS fold, round(median(c_acctbal), 6) AS median, round(avg(c_acctbal), 6) AS mean, round(stddev_pop(c_acctbal), 6) AS deviation, count(*) AS n FROM fold, range(1, {FOLDS + 1}) r(k) WHERE k <> oof_fold GROUP BY k",
         "one_hot_fold": f"WITH {_FC}, lv AS (SELECT k, list(DISTINCT given_label ORDER BY given_label) AS levels FROM fold, range(1, {FOLDS + 1}) r(k) WHERE k <> oof_fold GROUP BY k) SELECT source_index, oof_fold, CAST(coalesce(list_position(levels, given_label), 0) - 1 AS INTEGER) AS slot FROM fold JOIN lv ON k = oof_fold",
-        "tfidf_terms": f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM documents JOIN labels USING (doc_id)),
-            t AS (SELECT doc_id, unnest(w) AS term FROM d UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM d)
-            SELECT term, CAST(sum(c) AS BIGINT) AS n, count(*) AS df FROM (SELECT term, doc_id, count(*) AS c FROM t GROUP BY ALL) GROUP BY term ORDER BY n DESC, term LIMIT {model.TERMS}""",
+        "standardized_fold": f"WITH {_FC}, st2 AS (SELECT CAST(k AS INTEGER) AS k, avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd FROM fold, range(1, {FOLDS + 1}) r(k) WHERE k <> oof_fold GROUP BY k) SELECT source_index, oof_fold, round((c_acctbal - m) / sd, 6) AS z FROM fold JOIN st2 ON k = oof_fold",
+        "tfidf_terms": f"WITH {_TERMS} SELECT term, n, df FROM voc",
+        "tfidf_terms_all": f"WITH {_TERMS} SELECT term, n, df FROM voc",
+        "tfidf_weights": f"""WITH {_TERMS},
+            wt AS (SELECT doc_id, c * (ln((1 + nd) / (1 + df)) + 1) AS x FROM tc JOIN voc USING (term), (SELECT count(*) AS nd FROM documents)),
+            nm AS (SELECT doc_id, count(*) AS k, sum(x) AS s, max(x) AS m, sqrt(sum(x * x)) AS norm FROM wt GROUP BY doc_id)
+            SELECT doc_id, coalesce(k, 0) AS n_terms, round(coalesce(s / norm, 0.0), 6) AS total, round(coalesce(m / norm, 0.0), 6) AS largest FROM documents LEFT JOIN nm USING (doc_id)""",
         "knn_neighbors": f"WITH {_N} SELECT source_index, neighbors, labels FROM nn",
         "knn_disagreement": f"WITH {_N} SELECT source_index, round(knn, 6) AS knn_score FROM nn",
         "score_rows": f"WITH {_F}, {_S} SELECT source_index, round(sc, 6) AS self_confidence, round(margin, 6) AS normalized_margin, cp AS confident_pred, pred AS predicted, round(list_max(p), 6) AS confidence, off AS off_diagonal, round(cl, 6) AS cl_score FROM s3",

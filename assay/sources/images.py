@@ -7,8 +7,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,32 +88,111 @@ def glyph_png(values: list[float], side: int = 8, scale: int = 12) -> bytes:
     return png(np.kron(np.rint(255 * grid / max(grid.max(), 1e-9)), np.ones((scale, scale))))
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """(image_path, label, content) of a folder of class folders."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,bmp,gif,PNG,JPG,JPEG,BMP,GIF}").load(f"{root}/*/*")
-    parts = F.split("path", "/")
-    return files.where(~F.element_at(parts, -1).startswith(".")).select(F.col("path").alias("image_path"), F.element_at(parts, -2).alias("label"), "content")
-
-
-def image_features(spark: SparkSession, root: str) -> DataFrame:
-    """(image_path, label, features) of a folder of class folders, decoded by Spark's image source."""
-    df = spark.read.format("image").option("dropInvalid", True).load(f"{root}/*/*").select("image.*")
+def orientation(data: bytes) -> int:
+    """The EXIF orientation (1 to 8) of a JPEG or PNG file, 1 where it states none."""
+    if data[:2] == b"\xff\xd8":
+        pos = 2
+        while pos + 4 <= len(data) and data[pos] == 0xFF and data[pos + 1] != 0xDA:
+            size = int.from_bytes(data[pos + 2 : pos + 4], "big")
+            if data[pos + 1] == 0xE1 and data[pos + 4 : pos + 10] == b"Exif\0\0":
+                return _tiff_orientation(data[pos + 10 : pos + 2 + size])
+            pos += 2 + max(size, 2)
+    elif data[:8] == b"\x89PNG\r\n\x1a\n":
+        pos = 8
+        while pos + 12 <= len(data):
+            size = int.from_bytes(data[pos : pos + 4], "big")
+            if data[pos + 4 : pos + 8] == b"eXIf":
+                return _tiff_orientation(data[pos + 8 : pos + 8 + size])
+            pos += 12 + size
+    return 1
+
+
+def _tiff_orientation(tiff: bytes) -> int:
+    order = {b"II": "little", b"MM": "big"}.get(tiff[:2])
+    if order is None or len(tiff) < 8:
+        return 1
+    at = int.from_bytes(tiff[4:8], order)
+    for k in range(int.from_bytes(tiff[at : at + 2], order)):
+        entry = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
+        if int.from_bytes(entry[:2], order) == 0x0112:
+            value = int.from_bytes(entry[8:10], order)
+            return value if 1 <= value <= 8 else 1
+    return 1
+
+
+def upright(rgb: np.ndarray, how: int) -> np.ndarray:
+    """The picture as its EXIF orientation says that it is to be seen."""
+    if how >= 5:  # stored on its side
+        rgb, how = rgb.transpose(1, 0, 2), {5: 1, 6: 2, 7: 3, 8: 4}[how]
+    return {1: rgb, 2: rgb[:, ::-1], 3: rgb[::-1, ::-1], 4: rgb[::-1]}[how]
+
+
+SUFFIXES = ("png", "jpg", "jpeg", "bmp", "gif")
+PATTERN = "*.{" + ",".join([*SUFFIXES, *(s.upper() for s in SUFFIXES)]) + "}"
+
+
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of local files, of which Spark's sources write two forms."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def files_of(spark: SparkSession, kind: str, source: str | list[tuple[str, str]]) -> DataFrame:
+    """Files read by a source of Spark, from a folder of class folders (those without a leading dot, by suffix), or as
+    listed with their labels."""
+    if isinstance(source, str):
+        return spark.read.format(kind).option("pathGlobFilter", PATTERN).load(f"{source}/*/*")
+    return spark.read.format(kind).load(sorted({p for p, _ in source}))
+
+
+def with_labels(files: DataFrame, source: str | list[tuple[str, str]]) -> DataFrame:
+    """Rows (image_path, ...) with their labels: the folder, or what the list says; a path that is listed twice comes twice."""
+    if isinstance(source, str):
+        parts = F.split("image_path", "/")
+        shown = ~F.element_at(parts, -1).startswith(".") & ~F.element_at(parts, -2).startswith(".")
+        return files.where(shown).withColumn("label", F.element_at(parts, -2))
+    listed = files.sparkSession.createDataFrame(source, "image_path string, label string")
+    return listed.withColumn("image_path", plain_path(F.col("image_path"))).join(files, "image_path")
+
+
+def read_images(spark: SparkSession, source: str | list[tuple[str, str]]) -> DataFrame:
+    """(image_path, label, content) of a folder of class folders, or of a list of (path, label)."""
+    files = files_of(spark, "binaryFile", source).select(plain_path(F.col("path")).alias("image_path"), "content")
+    return with_labels(files, source).select("image_path", "label", "content")
+
+
+def image_features(spark: SparkSession, source: str | list[tuple[str, str]]) -> DataFrame:
+    """(image_path, label, features) of a folder of class folders or of a list of (path, label).
+
+    Spark's image source decodes the files, and their EXIF orientation is applied. A file that cannot be decoded is an
+    error that names it: no row is lost.
+    """
+    pixels = files_of(spark, "image", source).select("image.*").withColumn("image_path", plain_path(F.col("origin")))
+    turn = read_images(spark, source).select("image_path", "content").dropDuplicates(["image_path"])
+    turn = turn.select("image_path", _orientations("content").alias("turn"))
+    df = with_labels(pixels.join(turn, "image_path"), source).select("image_path", "label", "height", "width", "nChannels", "data", "turn")
     schema = T.StructType([T.StructField("image_path", T.StringType()), T.StructField("label", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
             for r in b.to_pylist():
-                pixels = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
-                rgb = np.repeat(pixels, 3, axis=2) if r["nChannels"] == 1 else pixels[..., 2::-1]  # stored as BGR
-                out[0].append(r["origin"])
-                out[1].append(r["origin"].split("/")[-2])
-                out[2].append(classic_features(rgb).tolist())
+                if r["height"] <= 0 or r["width"] <= 0:
+                    raise ValueError(f"{r['image_path']} is no image that can be decoded")
+                stored = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                rgb = np.repeat(stored, 3, axis=2) if r["nChannels"] == 1 else stored[..., 2::-1]  # stored as BGR
+                out[0].append(r["image_path"])
+                out[1].append(r["label"])
+                out[2].append(classic_features(upright(rgb, r["turn"])).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.float64()))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+@F.pandas_udf(T.IntegerType())
+def _orientations(contents: pd.Series) -> pd.Series:
+    return contents.map(orientation)
+
+
 def materialize_shapes(folder: str, n_per_class: int = 24, seed: int = 42) -> str:
     """Write pictures of discs on plain ground, and of checkered tiles, in a folder for each class."""
     import os

@@ -2,16 +2,18 @@
 
 import json
 import os
+import struct
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assay import cli
-from assay.operators import labels, preparation, review
+from assay.operators import labels, preparation, review, scoring
 from assay.plans import audit, export, provenance
-from assay.sources import images, sinks, tables
+from assay.sources import images, sinks, store, tables
 
 
 def test_kinds(spark):
@@ -40,21 +42,73 @@ def test_source_index_over_partitions(spark):
 
 
 def frame(spark):
-    return spark.createDataFrame([(0, "a.png", "sun", "one"), (1, "b.png", "sun", "two"), (2, "c.png", "tile", "three"), (3, "d.png", "tile", "four")], "source_index long, path string, label string, note string")
+    """Five shells of a beach survey; the third one's label has a comma, the last one's remark a quote."""
+    rows = [(10, "north", "cockle", None), (11, "north", "whelk", "chipped"), (12, "cove", "razor, long", "pair"), (13, "cove", "whelk", ""), (14, "spit", "cockle", 'a "blue" one')]
+    return spark.createDataFrame(rows, "source_index long, beach string, shell string, remark string").repartition(3)
 
 
-DECISIONS = {"1": {"action": "relabel", "new_label": " tile "}, "2": {"action": "drop"}, "3": {"action": "keep"}, "99": {"action": "drop"}}
+DECISIONS = {"10": {"action": "keep"}, "12": {"action": "drop"}, "13": {"action": "relabel", "new_label": "  limpet"}, "14": {"action": "relabel", "new_label": "top, shell "}, "700": {"action": "drop"}}
+CLEANED = ["beach,shell,remark", "north,cockle,", "north,whelk,chipped", "cove,limpet,", 'spit,"top, shell","a ""blue"" one"']
 
 
 def test_export(spark, tmp_path):
     d = tables.decisions_frame(spark, DECISIONS)
-    out, log = str(tmp_path / "cleaned.csv"), str(tmp_path / "log.json")
-    counts = export.export_review(frame(spark), "label", d, out, log)
-    assert counts == {"n_in": 4, "n_out": 3, "n_dropped": 1, "n_relabeled": 1, "n_kept": 2}
-    assert open(out).read().splitlines() == ["path,label,note", "a.png,sun,one", "b.png,tile,two", "d.png,tile,four"]
-    entries = json.load(open(log))["entries"]
-    assert len(entries) == 4 and entries[2]["exported_label"] is None and entries[1]["exported_label"] == "tile"
-    assert sorted(os.listdir(tmp_path)) == ["cleaned.csv", "log.json"]
+    out, log = str(tmp_path / "shells.csv"), str(tmp_path / "shells.json")
+    counts = export.export_review(frame(spark), "shell", d, out, log, meta={"by": "ann"})
+    assert counts == {"n_in": 5, "n_out": 4, "n_dropped": 1, "n_relabeled": 2, "n_kept": 2}
+    assert open(out).read().splitlines() == CLEANED
+    told = json.load(open(log))
+    assert [(e["source_index"], e["action"], e["exported_label"]) for e in told["entries"]] == [
+        (10, "keep", "cockle"), (11, "keep", "whelk"), (12, "drop", None), (13, "relabel", "limpet"), (14, "relabel", "top, shell")
+    ]
+    assert told["meta"] == {"by": "ann"} and sorted(os.listdir(tmp_path)) == ["shells.csv", "shells.json"]
+    with pytest.raises(ValueError, match="parts"):
+        export.export_review(frame(spark), "shell", d, out, log, most_rows=4)
+
+
+def test_export_in_parts(spark, tmp_path):
+    d = tables.decisions_frame(spark, DECISIONS)
+    folder = str(tmp_path / "parts")
+    assert export.export_parts(frame(spark), "shell", d, folder)["n_out"] == 4
+    names = sorted(n for n in os.listdir(f"{folder}/cleaned") if n.endswith(".csv"))
+    lines = [line for n in names for line in open(f"{folder}/cleaned/{n}").read().splitlines() if line != CLEANED[0]]
+    assert lines == CLEANED[1:]
+    assert spark.read.json(f"{folder}/audit-log").where("exported_label is null").first()["source_index"] == 12
+    with pytest.raises(export.OverwriteRefused):
+        export.export_parts(frame(spark), "shell", d, folder)
+    assert os.listdir(tmp_path) == ["parts"]
+
+
+def test_decisions_are_appended(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for action, label in (("drop", None), ("relabel", " conch "), ("keep", "unused")):
+        review.record_decision(spark, log, 4, action, label)
+    review.record_decision(spark, log, 9, "relabel", "conch ")
+    with pytest.raises(ValueError):
+        review.record_decision(spark, log, 4, "relabel", "  ")
+    with pytest.raises(ValueError):
+        review.record_decision(spark, log, 4, "burn")
+    last = review.last_decisions(spark.read.parquet(log)).orderBy("source_index").collect()
+    assert [tuple(r) for r in last] == [(4, "keep", None), (9, "relabel", "conch")]
+
+
+def test_label_of_an_export():
+    assert review.export_label("table", ["a", "b"], "b")[0] == "b" and review.export_label("images", ["path", "label"], "label")[1]["status"] == "stored"
+    assert review.export_label("images", ["path", "label"], None)[1]["stored_label_column"] == ""
+    for kind, columns, stored in (("table", ["a"], "b"), ("table", ["a"], None), ("images", ["path"], "label")):
+        with pytest.raises(ValueError):
+            review.export_label(kind, columns, stored)
+
+
+def test_stored_dataset(spark, tmp_path):
+    df = spark.createDataFrame([(f"p{i}", float(i), "ab"[i % 2] if i else None) for i in range(9)], "file string, size double, class string")
+    meta = store.store_table(df, str(tmp_path))
+    assert meta["suggested_label"] == "class" and meta["suggested_features"] == ["size"] and len(meta["preview"]) == 6 and meta["n_rows"] == 9
+    assert [c["sample"] for c in meta["columns"]] == [["p0", "p1", "p2"], ["0.0", "1.0", "2.0"], ["", "b", "a"]] and meta["class_sample"] == ["a", "b"]
+    rows, again = store.load_dataset(spark, str(tmp_path), meta["dataset_id"])
+    assert again == json.loads(json.dumps(meta)) and [r["file"] for r in rows.orderBy("source_index").collect()] == [f"p{i}" for i in range(9)]
+    with pytest.raises(ValueError):
+        store.load_dataset(spark, str(tmp_path), "../x")
 
 
 def test_export_refuses_and_rolls_back(spark, tmp_path):
@@ -64,9 +118,9 @@ def test_export_refuses_and_rolls_back(spark, tmp_path):
     d = tables.decisions_frame(spark, DECISIONS)
     for a, b in ((src, "l.json"), ("same.csv", "l.json"), ("o.csv", "o.csv")):
         with pytest.raises(export.OverwriteRefused):
-            export.export_review(frame(spark), "label", d, str(tmp_path / a), str(tmp_path / b), str(src))
+            export.export_review(frame(spark), "shell", d, str(tmp_path / a), str(tmp_path / b), str(src))
     with pytest.raises(ValueError):
-        export.export_review(frame(spark), "label", tables.decisions_frame(spark, {"0": {"action": "relabel", "new_label": " "}}), str(tmp_path / "o.csv"), str(tmp_path / "l.json"))
+        export.export_review(frame(spark), "shell", tables.decisions_frame(spark, {"10": {"action": "relabel", "new_label": " "}}), str(tmp_path / "o.csv"), str(tmp_path / "l.json"))
     old = tmp_path / "old.txt"
     old.write_text("old")
 
@@ -96,14 +150,47 @@ def test_unsafe_archive(tmp_path):
         sinks.extract_zip(str(tmp_path / "a.zip"), str(tmp_path / "out"))
 
 
+def turned(png_data: bytes, how: int) -> bytes:
+    """The PNG file with an EXIF chunk that states an orientation."""
+    tiff = b"II*\0" + struct.pack("<IHHHIHHI", 8, 1, 0x0112, 3, 1, how, 0, 0)
+    chunk = struct.pack(">I", len(tiff)) + b"eXIf" + tiff + struct.pack(">I", zlib.crc32(b"eXIf" + tiff))
+    return png_data[:33] + chunk + png_data[33:]
+
+
 def test_images(spark, tmp_path):
     root = images.materialize_shapes(str(tmp_path / "pics"), 6)
+    (tmp_path / "pics" / "disc" / "notes.txt").write_text("no image")
+    (tmp_path / "pics" / "disc" / ".hidden.png").write_bytes(b"?")
     df = images.image_features(spark, root).cache()
     assert df.count() == 12 and images.LENGTH == 2044 and df.where(F.size("features") != 2044).isEmpty()
-    assert len(tables.image_records(spark, root)) == 12
-    found = audit.audit_images(df, n_splits=3)
-    assert found.findings.count() == 12 and found.findings.first()["image_path"].endswith(".png")
-    assert provenance.image_source(images.read_images(spark, root))["n_rows"] == 12
+    records = tables.image_records(spark, root)
+    assert len(records) == 12
+    found = audit.audit_images(images.image_features(spark, records), n_splits=3)
+    rows = found.findings.orderBy("source_index").collect()
+    assert [r["source_index"] for r in rows] == list(range(12)) and rows[0]["image_path"].endswith("disc/disc-000.png")
+    assert provenance.image_source(images.read_images(spark, root))["content_sha256"] == provenance.image_source(images.read_images(spark, records))["content_sha256"]
+    (tmp_path / "pics" / "disc" / "broken.png").write_bytes(b"\x89PNG nothing")
+    with pytest.raises(Exception, match="broken.png"):
+        images.image_features(spark, root).count()
+
+
+def test_images_are_upright(spark, tmp_path):
+    picture = np.random.default_rng(4).integers(0, 255, (40, 64, 3), np.uint8)
+    ways = {
+        1: picture, 2: np.fliplr(picture), 3: np.rot90(picture, 2), 4: np.flipud(picture), 5: picture.transpose(1, 0, 2),
+        6: np.rot90(picture, -1), 7: np.rot90(picture, 2).transpose(1, 0, 2), 8: np.rot90(picture),
+    }
+    for how, seen in ways.items():
+        assert (images.upright(picture, how) == seen).all() and images.orientation(turned(images.png(picture), how)) == how
+        (tmp_path / f"{how}.png").write_bytes(turned(images.png(picture), how))
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 34) + b"Exif\0\0MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, 6, 0, 0) + b"\xff\xda"
+    assert images.orientation(jpeg) == 6 and images.orientation(b"") == images.orientation(images.png(picture)) == images.orientation(b"\xff\xd8\xff\xe1\0\2") == 1
+    (tmp_path / "list.csv").write_text("Path,Class\n" + "".join(f"{how}.png,{'ab'[how % 2]}\n" for how in ways) + "1.png,b\n")
+    records = tables.image_records(spark, str(tmp_path / "list.csv"))
+    got = images.image_features(spark, records).collect()
+    assert len(got) == 9 and sorted(r["label"] for r in got if r["image_path"].endswith("/1.png")) == ["b", "b"]
+    for r in got:
+        assert np.allclose(r["features"], images.classic_features(ways[int(r["image_path"][-5])]))
 
 
 def test_command_line(spark, tmp_path):
@@ -118,3 +205,39 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps({"rows": [{"source_index": 0, "action": "drop"}]}))
     cli.main(["export", "--source", str(tmp_path / "in.csv"), "--label", "label", "--decisions", str(tmp_path / "d.json"), "--out", str(tmp_path / "c.csv"), "--log", str(tmp_path / "l.json")], spark)
     assert len(open(tmp_path / "c.csv").read().splitlines()) == 12
+
+
+def test_audit_of_an_archive_of_images(spark, tmp_path):
+    root = images.materialize_shapes(str(tmp_path / "pics"), 4)
+    with zipfile.ZipFile(tmp_path / "pics.zip", "w") as z:
+        for label in ("disc", "tile"):
+            for n in os.listdir(f"{root}/{label}"):
+                z.write(f"{root}/{label}/{n}", f"top/{label}/{n}")
+    out, rows = str(tmp_path / "r.json"), str(tmp_path / "findings")
+    assert cli.main(["audit", "--images", str(tmp_path / "pics.zip"), "--folds", "2", "--out", out, "--findings", rows], spark) == 0
+    assert len(json.load(open(out))["rows"]) == spark.read.parquet(rows).count() == 8
+
+
+def test_large_tables_are_numbered_whole(spark):
+    """Sorted tables of some MB, which adaptive plans cut by what a job reads."""
+    wide = spark.range(60_000).select(
+        F.col("id").alias("source_index"), F.floor(F.rand(3) * 500).alias("ensemble_score"), F.lit(0.0).alias("cl_score"), F.array_repeat(F.rand(5), 40).alias("more")
+    )
+    ranked = scoring.ranked(wide).select("rank", "ensemble_score", "source_index").toPandas().sort_values("rank")
+    assert list(ranked["rank"]) == list(range(1, 60_001))
+    assert list(ranked.sort_values(["ensemble_score", "source_index"], ascending=[False, True])["rank"]) == list(range(1, 60_001))
+    vectors = spark.range(2000).select(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("image_path"), (F.col("id") % 3).cast("string").alias("label"), F.array_repeat(F.rand(1), 2044).alias("features"))
+    numbered = labels.in_order(vectors, [F.asc("label"), F.asc("image_path")], "source_index").select("source_index").collect()
+    assert sorted(r[0] for r in numbered) == list(range(2000))
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, -0.0, 1.0, -2.5, 1e7, 12345678.9, 123456789012345.6, 9007199254740993.0, 1e16, 1.5e16, -1.5e22, 1e-3, 1e-4, 1.5e-4, 1e-5, 2.5e-7, 1e100, 5e-324, float("inf"), float("-inf"), float("nan"), 0.1]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["t"] for r in df.select("i", labels.python_number(F.col("v")).alias("t")).orderBy("i").collect()]
+    # Java may write more digits than the shortest decimal has
+    assert [g for g, v in zip(got, values) if v != 5e-324] == [str(v) for v in values if v != 5e-324]
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "b boolean")
+    assert labels.class_names(flags, "b") == ["False", "True", "nan"]
+    with pytest.raises(ValueError, match="classes"):
+        labels.class_names(spark.range(labels.MOST_CLASSES + 1), "id")
