@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm import bpe
-from assay.llm.common import map_column
+from assay.llm.common import fresh, map_column
 
 #: Pre-tokens whose ids a worker remembers; at the limit it keeps those of the current slice.
 REMEMBERED = 300_000
@@ -94,7 +94,11 @@ def _broadcast(df: DataFrame, vocabulary_path: str):
 
 
 def encode(df: DataFrame, vocabulary_path: str, text: str = "text", output: str = "ids") -> DataFrame:
-    """Add `output`, the ids of each whole text; a null or empty text has an empty array."""
+    """Add `output`, the ids of each whole text; a null or empty text has an empty array.
+
+    Equal texts have equal ids. Other columns stay, but for one named like `output`; an empty table gives an empty one. A
+    text of any length is cut as a stream, and its ids are held in one task.
+    """
     shared = _broadcast(df, vocabulary_path)
 
     def make():
@@ -113,12 +117,12 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", output: str =
         codec = Codec(bpe.Vocabulary.of(shared.value))
         return lambda values: [codec.decode_all(values.cast(pa.list_(pa.int32())))]
 
-    sized = df.withColumn("__raw", F.col(ids))
-    return _map_lists(sized, "__raw", make, output)
+    raw = fresh(df, "raw")
+    return _map_lists(df.withColumn(raw, F.col(ids)), raw, make, output)
 
 
 def _map_lists(df: DataFrame, column: str, make, output: str) -> DataFrame:
-    keep = [f for f in df.schema.fields if f.name not in (column, output)]
+    keep = [f for f in df.schema.fields if f.name.lower() not in (column.lower(), output.lower())]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(output, T.StringType())])
 
@@ -134,7 +138,10 @@ def _map_lists(df: DataFrame, column: str, make, output: str) -> DataFrame:
 
 
 def round_trip(df: DataFrame, vocabulary_path: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add ids and decoded (the text that the ids stand for) in one pass over the texts."""
+    """Add ids and decoded (the text that the ids stand for; empty for a null or empty one) in one pass over the texts.
+
+    What encode says of odd rows holds here as well; columns named ids or decoded are replaced.
+    """
     shared = _broadcast(df, vocabulary_path)
 
     def make():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,6 +57,12 @@ class Scratch:
         self.paths = [(df, p) for df, p in self.paths if not any(df is t for t in tables)]
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"{stem}{i or ''}" for i in itertools.count()) if n.lower() not in taken)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no cut holds much more than `limit` bytes of `column` (one long value is a cut)."""
     if batch.num_rows == 0:

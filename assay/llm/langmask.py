@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from assay.llm.common import map_column, materialise, slices
 
 PROBES = 3
+#: Characters whose trigrams are taken at a time.
+PIECE = 1 << 19
 _FOLD: list[np.ndarray] = []
 
 
@@ -46,6 +48,29 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code[good].view(np.int64), np.bincount(owner[:-2][good], minlength=len(texts))
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts in batches of about PIECE characters: which text each piece is of, and the pieces.
+
+    A longer text is cut behind its last character of a piece that is no letter, which changes no trigram; only a word
+    of more than PIECE letters is counted in parts.
+    """
+    owners, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while text and start < len(text):
+            end = min(len(text), start + PIECE)
+            if end < len(text):
+                end = next((j for j in range(end, start, -1) if not text[j - 1].isalpha()), end)
+            if held and size + end - start > PIECE:
+                yield owners, held
+                owners, held, size = [], [], 0
+            owners.append(i)
+            held.append(text[start:end])
+            size, start = size + end - start, end
+    if held:
+        yield owners, held
+
+
 def slots_of(codes: np.ndarray, slots: int) -> list[np.ndarray]:
     x = codes.view(np.uint64)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -71,13 +96,13 @@ def gram_counts(df: DataFrame) -> DataFrame:
                 langs = np.array(part.column(1).to_pylist(), object)
                 texts = part.column(0).to_pylist()
                 for lang in set(langs):
-                    codes, _ = trigrams([t for t, x in zip(texts, langs) if x == lang])
-                    grams, n = np.unique(codes, return_counts=True)
-                    if lang in held:
-                        both = np.concatenate([held[lang][0], grams])
-                        grams, at = np.unique(both, return_inverse=True)
-                        n = np.bincount(at, np.concatenate([held[lang][1], n]), len(grams)).astype(np.int64)
-                    held[lang] = grams, n.astype(np.int64)
+                    for _, some in pieces([t for t, x in zip(texts, langs) if x == lang]):
+                        grams, n = np.unique(trigrams(some)[0], return_counts=True)
+                        if lang in held:
+                            both = np.concatenate([held[lang][0], grams])
+                            grams, at = np.unique(both, return_inverse=True)
+                            n = np.bincount(at, np.concatenate([held[lang][1], n]), len(grams)).astype(np.int64)
+                        held[lang] = grams, n.astype(np.int64)
                 if sum(len(g) for g, _ in held.values()) > 1_000_000:
                     yield from flush()
         yield from flush()
@@ -94,20 +119,26 @@ class Filter:
         fill = np.array([((planes[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
         self.false = fill**PROBES
 
-    def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        codes, counts = trigrams(texts)
-        start = np.cumsum(counts) - counts
-        some = np.flatnonzero(counts)
-        hits = np.zeros((len(texts), len(self.langs)))
+    def hits_of(self, codes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """For stretches of trigrams, each from one start to the next: how many each language has."""
+        out = np.zeros((len(start), len(self.langs)))
         at = slots_of(codes, self.slots)
         for p in range(len(self.planes)):
             mask = self.planes[p][at[0]]
             for a in at[1:]:
                 mask &= self.planes[p][a]
             for i in range(64 * p, min(64 * (p + 1), len(self.langs))):
-                bit = ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64)
-                if len(some):
-                    hits[some, i] = np.add.reduceat(bit, start[some])
+                out[:, i] = np.add.reduceat(((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int64), start)
+        return out
+
+    def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        hits, counts = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for owners, held in pieces(texts):
+            codes, n = trigrams(held)
+            np.add.at(counts, owners, n)
+            some = np.flatnonzero(n)
+            if len(some) and self.langs:
+                np.add.at(hits, np.array(owners)[some], self.hits_of(codes, (np.cumsum(n) - n)[some]))
         fixed = np.maximum(hits - counts[:, None] * self.false, 0) / np.maximum(1 - self.false, 1e-9)
         total = fixed.sum(axis=1)
         best = np.where(total > 0, fixed.argmax(axis=1) if self.langs else 0, self.common)
@@ -154,7 +185,9 @@ def identify(df: DataFrame, fitted: Filter, text: str = "text", drop: tuple[str,
     """Add lang_pred and score (the winner's share of all corrected counts) for each whole text.
 
     `und` with score 0 stands for a null text and one without letters, or if nothing was learned. A text whose
-    trigrams no language has gets the most common language, with score 0. Ties go to the first language.
+    trigrams no language has gets the most common language, with score 0. Ties go to the first language. Equal texts get
+    equal results. Columns named like a new one are replaced, others stay; an empty table gives an empty one. Long texts
+    are counted a stretch at a time.
     """
     shared = df.sparkSession.sparkContext.broadcast(fitted)
 

@@ -203,9 +203,11 @@ FIELDS = [
 def scan_licenses(df: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score for each whole text.
 
-    Rules run only where all words of one of their keyword sets occur, as they do in every text that they match; of overlapping detections those inside one of an earlier
-    priority go. The labels of the base phrases always stay. score is the highest confidence of what stays.
-    A null or empty text has no words, empty labels and score 0.
+    Rules run only where all words of one of their keyword sets occur, as they do in every text that they match; of
+    overlapping detections those inside one of an earlier priority go, and of equal ones of one priority the earlier rule
+    stays. The labels of the base phrases always stay. score is the highest confidence of what stays.
+    A null or empty text has no words, empty labels and score 0. Equal texts get equal results. Columns named like a new
+    one are replaced, others stay; an empty table gives an empty one. A text is held in one task with its words.
     """
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 
 import ahocorasick
@@ -25,7 +26,42 @@ UNKNOWN = "application/octet-stream"
 Found = tuple[int, str, int, int]
 
 
-def png(d: bytes, at: int) -> Found | None:
+class Marks:
+    """Where the strings that end or order a format stand in a value: found once, so that no validator searches the rest
+    of a value from each of its candidates."""
+
+    def __init__(self, data: bytes, places: dict[bytes, list[int]]):
+        self.data, self.places, self.zips, self.last = data, places, None, {}
+
+    def next(self, mark: bytes, start: int) -> int:
+        """The first place of a mark at or after start, or -1. Of marks that the automaton doesn't know, the last answer
+        is remembered, which holds for all starts up to it."""
+        if mark in self.places:
+            found = self.places[mark]
+            k = bisect_left(found, start)
+            return found[k] if k < len(found) else -1
+        asked, found = self.last.get(mark, (0, -2))
+        if found == -2 or not (asked <= start and (found == -1 or start <= found)):
+            found = self.data.find(mark, start)
+            self.last[mark] = start, found
+        return found
+
+    def zip_ends(self) -> dict[int, int]:
+        """The last archive that begins at a place: place of its first local header to that of its end record."""
+        if self.zips is None:
+            d, self.zips = self.data, {}
+            for end in self.places[b"PK\x05\x06"]:
+                if end + 22 > len(d):
+                    break
+                size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
+                start = end - size - offset
+                whole = start >= 0 and end + 22 + comment <= len(d)
+                if whole and (not size or d[start + offset : start + offset + 4] == b"PK\x01\x02"):
+                    self.zips.setdefault(start, end)
+        return self.zips
+
+
+def png(d: bytes, at: int, marks: Marks) -> Found | None:
     """Chunks with right checksums from IHDR to IEND."""
     pos, first = at + 8, True
     while pos + 12 <= len(d):
@@ -41,7 +77,7 @@ def png(d: bytes, at: int) -> Found | None:
     return None
 
 
-def jpeg(d: bytes, at: int) -> Found | None:
+def jpeg(d: bytes, at: int, marks: Marks) -> Found | None:
     """Marker segments with lengths up to a scan, with a frame header before it, then the end marker."""
     pos, frame = at + 2, False
     while pos + 4 <= len(d) and d[pos] == 0xFF:
@@ -51,12 +87,12 @@ def jpeg(d: bytes, at: int) -> Found | None:
         frame |= 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
         pos += 2 + size
         if marker == 0xDA:
-            end = d.find(b"\xff\xd9", pos) + 2
+            end = marks.next(b"\xff\xd9", pos) + 2
             return (end, "image/jpeg", pos, end - pos) if frame and end > 1 else None
     return None
 
 
-def gif(d: bytes, at: int) -> Found | None:
+def gif(d: bytes, at: int, marks: Marks) -> Found | None:
     """Screen descriptor, colour tables and blocks up to the trailer."""
     if at + 13 > len(d):
         return None
@@ -80,7 +116,7 @@ def gif(d: bytes, at: int) -> Found | None:
     return None
 
 
-def bmp(d: bytes, at: int) -> Found | None:
+def bmp(d: bytes, at: int, marks: Marks) -> Found | None:
     """File size, offset of the pixels, header size, planes and depth agree."""
     if at + 30 > len(d):
         return None
@@ -93,7 +129,7 @@ def bmp(d: bytes, at: int) -> Found | None:
     return at + size, "image/bmp", at + offset, size - offset
 
 
-def riff(d: bytes, at: int) -> Found | None:
+def riff(d: bytes, at: int, marks: Marks) -> Found | None:
     """RIFF chunks that fill the stated size: wave audio with format and data, or a WebP picture."""
     if at + 12 > len(d):
         return None
@@ -120,7 +156,7 @@ def riff(d: bytes, at: int) -> Found | None:
     return (end, "audio/wav", *chunks[b"data"]) if chunks[b"data"][1] % block == 0 else None
 
 
-def au(d: bytes, at: int) -> Found | None:
+def au(d: bytes, at: int, marks: Marks) -> Found | None:
     if at + 24 > len(d):
         return None
     offset, size, encoding, rate, channels = struct.unpack_from(">IIIII", d, at + 4)
@@ -129,31 +165,48 @@ def au(d: bytes, at: int) -> Found | None:
     return at + offset + size, "audio/basic", at + offset, size
 
 
-def pdf(d: bytes, at: int) -> Found | None:
-    """A version, and the next end marker after a stated cross-reference offset."""
+def pdf(d: bytes, at: int, marks: Marks) -> Found | None:
+    """A version, and the last end marker before the next header (or the first one after it, if there is none) that
+    follows a cross-reference offset within the file: linearised files and updated ones have several."""
     if not (d[at + 5 : at + 6].isdigit() and d[at + 6 : at + 7] == b"." and d[at + 7 : at + 8].isdigit()):
         return None
-    ref = d.find(b"startxref", at + 8)
-    end = d.find(b"%%EOF", ref) if ref > 0 else -1
-    if end < 0 or not d[ref + 9 : end].strip().isdigit() or int(d[ref + 9 : end]) > ref - at:
-        return None
-    return end + 5, "application/pdf", at, end + 5 - at
+    ends, refs = marks.places[b"%%EOF"], marks.places[b"startxref"]
+    following = marks.next(b"%PDF-", at + 1)
+    low, high = bisect_left(ends, at), bisect_left(ends, following) if following >= 0 else len(ends)
+    for k in [*range(high - 1, low - 1, -1), *range(high, min(high + 1, len(ends)))]:
+        r = bisect_left(refs, ends[k]) - 1
+        if r < 0 or refs[r] <= at or ends[k] - refs[r] > 64:
+            continue
+        stated = d[refs[r] + 9 : ends[k]].strip()
+        if stated.isdigit() and int(stated) <= refs[r] - at:
+            return ends[k] + 5, "application/pdf", at, ends[k] + 5 - at
+    return None
 
 
-def zip_archive(d: bytes, at: int) -> Found | None:
+def zip_archive(d: bytes, at: int, marks: Marks) -> Found | None:
     """An end record whose central directory lies where it says, seen from this local header."""
-    end = d.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(d) - 22:
-        size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
-        if at + offset + size == end and end + 22 + comment <= len(d) and (not size or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return end + 22 + comment, "application/zip", at, end - at
-        end = d.find(b"PK\x05\x06", end + 4)
-    return None
+    end = marks.zip_ends().get(at)
+    if end is None:
+        return None
+    return end + 22 + struct.unpack_from("<H", d, end + 20)[0], "application/zip", at, end - at
 
 
-def gzip(d: bytes, at: int) -> Found | None:
-    """Inflates, in pieces of bounded size, with the right checksum and length."""
-    inflate, pos, left = zlib.decompressobj(31), at, b""
+def gzip(d: bytes, at: int, marks: Marks) -> Found | None:
+    """A header, a body that inflates, in pieces of bounded size, and the right checksum and length."""
+    if at + 18 > len(d) or d[at + 3] & 0xE0:
+        return None
+    flags, body = d[at + 3], at + 10
+    if flags & 4:
+        body += 2 + int.from_bytes(d[body : body + 2], "little")
+    for bit in (8, 16):  # name and comment
+        if flags & bit:
+            end = marks.next(b"\0", body)
+            if end < 0:
+                return None
+            body = end + 1
+    if flags & 2:
+        body += 2
+    inflate, pos, crc, size, left = zlib.decompressobj(-15), body, 0, 0, b""
     try:
         while not inflate.eof:
             left = inflate.unconsumed_tail
@@ -161,14 +214,17 @@ def gzip(d: bytes, at: int) -> Found | None:
                 left, pos = d[pos : pos + 65536], pos + 65536
                 if not left:
                     return None
-            inflate.decompress(left, 1 << 20)
+            out = inflate.decompress(left, 1 << 20)
+            crc, size = zlib.crc32(out, crc), size + len(out)
     except zlib.error:
         return None
     end = min(pos, len(d)) - len(inflate.unused_data)
-    return end, "application/gzip", at + 10, end - at - 18
+    if d[end : end + 8] != struct.pack("<II", crc, size & 0xFFFFFFFF):
+        return None
+    return end + 8, "application/gzip", body, end - body
 
 
-def ogg(d: bytes, at: int) -> Found | None:
+def ogg(d: bytes, at: int, marks: Marks) -> Found | None:
     """Pages in a chain, the first one marked as a beginning."""
     pos, pages = at, 0
     while d[pos : pos + 4] == b"OggS" and pos + 27 <= len(d) and d[pos + 4] == 0:
@@ -180,20 +236,26 @@ def ogg(d: bytes, at: int) -> Found | None:
     return (pos, "application/ogg", at, pos - at) if pages else None
 
 
-def mp4(d: bytes, at: int) -> Found | None:
-    """Boxes in a chain from ftyp, among them moov or moof."""
-    pos, kinds = at, []
+def mp4(d: bytes, at: int, marks: Marks) -> Found | None:
+    """Boxes in a chain from ftyp up to the next ftyp, among them moov or moof. A box states its size in 32 or 64 bits;
+    size 0 runs to the end of the value."""
+    pos, kinds = at, set()
     while pos + 8 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, pos)
-        if size < 8 or pos + size > len(d) or not kind.isalnum():
+        if size == 1 and pos + 16 <= len(d):
+            size = struct.unpack_from(">Q", d, pos + 8)[0]
+            size = size if size >= 16 else -1
+        elif size == 0 and kinds:
+            size = len(d) - pos
+        if size < 8 or pos + size > len(d) or not kind.isalnum() or (kind == b"ftyp" and kinds):
             break
-        kinds.append(kind)
+        kinds.add(kind)
         pos += size
-    return (pos, "video/mp4", at, pos - at) if {b"moov", b"moof"} & {*kinds} else None
+    return (pos, "video/mp4", at, pos - at) if {b"moov", b"moof"} & kinds else None
 
 
 #: Magic string, its offset in the file, validator. Fixed values of the formats.
-SIGNATURES: list[tuple[bytes, int, Callable[[bytes, int], Found | None]]] = [
+SIGNATURES: list[tuple[bytes, int, Callable[[bytes, int, Marks], Found | None]]] = [
     (b"\x89PNG\r\n\x1a\n", 0, png),
     (b"\xff\xd8\xff", 0, jpeg),
     (b"GIF87a", 0, gif),
@@ -207,39 +269,49 @@ SIGNATURES: list[tuple[bytes, int, Callable[[bytes, int], Found | None]]] = [
     (b"OggS", 0, ogg),
     (b"ftyp", 4, mp4),
 ]
-LONGEST = max(len(m) for m, _, _ in SIGNATURES)
+#: Strings inside files whose places the same pass collects.
+INNER = (b"%%EOF", b"startxref", b"PK\x05\x06", b"%PDF-")
+LONGEST = max(len(m) for m in [*INNER, *(m for m, _, _ in SIGNATURES)])
 
 
 class Sniffer:
     def __init__(self):
         self.search = ahocorasick.Automaton()
+        words = {m: [] for m in [*INNER, *(m for m, _, _ in SIGNATURES)]}
         for k, (magic, _, _) in enumerate(SIGNATURES):
-            self.search.add_word(magic.decode("latin-1"), k)
+            words[magic].append(k)
+        for magic, which in words.items():
+            self.search.add_word(magic.decode("latin-1"), (magic, which))
         self.search.make_automaton()
 
-    def candidates(self, data: bytes):
-        """(start of the file, signature) for every place of a magic string, in windows of bounded size."""
+    def candidates(self, data: bytes) -> tuple[list[tuple[int, int]], Marks]:
+        """(start of the file, signature) for every place of a magic string, and the places of the inner strings, found
+        in windows of bounded size."""
+        found, places = [], {m: [] for m in INNER}
         for start in range(0, len(data), WINDOW):
             back = min(start, LONGEST - 1)
             window = data[start - back : start + WINDOW].decode("latin-1")
-            for end, k in self.search.iter(window):
-                magic, offset, _ = SIGNATURES[k]
-                at = start - back + end + 1 - len(magic) - offset
-                if end >= back and at >= 0:
-                    yield at, k
+            for end, (magic, which) in self.search.iter(window):
+                at = start - back + end + 1 - len(magic)
+                if end < back:
+                    continue
+                if magic in places:
+                    places[magic].append(at)
+                found += [(at - SIGNATURES[k][1], k) for k in which if at >= SIGNATURES[k][1]]
+        return found, Marks(data, places)
 
     def spans(self, data: bytes | None) -> tuple[int, list[dict]]:
         """The number of candidates, and the confirmed media in order of place, outer before inner."""
-        tried, found, pages = 0, [], 0
-        for at, k in self.candidates(data or b""):
-            tried += 1
+        found, pages = [], 0
+        tried, marks = self.candidates(data or b"")
+        for at, k in tried:
             if SIGNATURES[k][2] is ogg and at < pages:
                 continue  # a later page of a stream that is known already
-            if hit := SIGNATURES[k][2](data, at):
+            if hit := SIGNATURES[k][2](data, at, marks):
                 end, kind, body, size = hit
                 pages = end if kind == "application/ogg" else pages
                 found.append({"type": kind, "start": at, "length": end - at, "body_start": body, "body_length": size})
-        return tried, sorted(found, key=lambda x: (x["start"], -x["length"], x["type"]))
+        return len(tried), sorted(found, key=lambda x: (x["start"], -x["length"], x["type"]))
 
 
 SPAN = T.StructType(
@@ -302,25 +374,36 @@ def wave(payload: Column, rate: int = 8000) -> Column:
     return F.concat(*parts, F.when(n % 2 == 1, F.lit(b"\x00")).otherwise(F.lit(b"")))
 
 
+#: What text_media adds.
+TEXT_MEDIA = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "media_type", "type_corrected", "n_candidates", "feature"]
+
+
 def text_media(df: DataFrame, text: str = "text") -> DataFrame:
     """Store each text as a wave file, sniff that, and read the payload back from where the sniffer found it.
 
-    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256 and
-    feature: the corrected type, place and length of the samples, and the media embedded in them.
+    Adds n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, media_type,
+    type_corrected, n_candidates and feature: the corrected type, place and length of the samples, and the media embedded
+    in them. The text goes; other columns stay, but for those named like a new one. A null or empty text is 64 zero
+    bytes; equal texts get equal values; a text is held in one task as a whole, in time that grows with its length; an
+    empty table gives an empty one.
     """
-    stored = df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    stored = stored.withColumn("media", wave(padded_payload(F.col(text)))).withColumn("declared", F.lit("text/plain")).drop(text)
-    seen = sniff(stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}), "media", "declared")
+    stay = [c for c in df.columns if c != text and c.lower() not in TEXT_MEDIA]
+    others = F.struct(*[F.col(f"`{c}`") for c in stay] or [F.lit(None).alias("none")]).alias("others")
+    stored = df.select(others, F.col(f"`{text}`").alias("t"))
+    stored = stored.select("others", F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n_bytes"), wave(padded_payload(F.col("t"))).alias("media"))
+    stored = stored.withColumns({"declared": F.lit("text/plain"), "media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    seen = sniff(stored, "media", "declared")
     own = F.get("spans", F.lit(0))
     back = F.col("media").substr(own["body_start"].cast("int") + 1, own["body_length"].cast("int"))
     seen = seen.withColumn("payload", F.when(F.col("media_type") == "audio/wav", back))
     inner = F.transform(F.slice("spans", 2, 1 << 30), lambda s: F.format_string("%s@%d+%d", s["type"], s["start"] - own["body_start"], s["length"]))
     feature = F.concat_ws(";", F.format_string("%s>%s@%d+%d", "declared", "media_type", own["body_start"], own["body_length"]), F.array_join(inner, ";"))
-    return seen.withColumns(
+    seen = seen.withColumns(
         {
             "payload_bytes": F.octet_length("payload").cast("long"),
             "payload_sha256": F.sha2("payload", 256),
             "tail_crc32": F.crc32(F.substring("payload", -64, 64)),
             "feature": feature,
         }
-    ).drop("media", "payload", "spans", "declared")
+    )
+    return seen.select(*[F.col("others").getField(c).alias(c) for c in stay], *TEXT_MEDIA)

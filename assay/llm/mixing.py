@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import WORD, materialise
+from assay.llm.common import WORD, Scratch
 
 #: Weights by the rank of a source, repeating. Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
+#: Words of a shard, the least number of shards, and blocks of a shard.
+SHARD_WORDS, LEAST_SHARDS, SHARD_BLOCKS = 1 << 24, 8, 64
+#: in_order cuts the order of 64-bit hashes into 64 stretches, which are the hashes shifted by this many bits.
+PART_SHIFT = 58
 
 
 def sized(df: DataFrame, text: str = "text") -> DataFrame:
@@ -47,63 +51,101 @@ def block_count(total_words: Column, blocks: int) -> Column:
     return F.greatest(F.least(share, F.col("n_docs")), F.lit(1)).cast("long")
 
 
-def shard_quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Split the number of drawn blocks of every source among output shards: rows (source, shard, offset, n).
+def in_order(df: DataFrame, by: list[str], order: Column, ties: list[str], scratch: Scratch, words: str | None = None) -> DataFrame:
+    """Add nth, the 0-based place of a row among those equal in `by`, in the order of a hash and then of ties, and with
+    `words` also end, the sum of that column up to the row.
 
-    At each node of the tree the blocks of all sources, in an order by hash, are dealt to the two halves in
+    Rows of a group are dealt by their hash to 64 stretches of the order, which are numbered apart and put after
+    one another, so that no task sorts a whole group.
+    """
+    rows = df.withColumn("__order", order).withColumn("__part", F.shiftright("__order", PART_SHIFT))
+    if words is None:
+        rows = rows.withColumn("__one", F.lit(1).cast("long"))
+    value = words or "__one"
+    sums = rows.groupBy(*by, "__part").agg(F.count("*").alias("__n"), F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    starts = sums.select(*by, "__part", F.coalesce(F.sum("__n").over(earlier), none).alias("__first"), F.coalesce(F.sum("__sum").over(earlier), none).alias("__before"))
+    starts = scratch.table(starts)
+    here = Window.partitionBy(*by, "__part").orderBy("__order", *[F.col(t).asc_nulls_last() for t in ties])
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"nth": F.row_number().over(here).cast("long") - 1, "end": F.sum(value).over(upto)})
+    left, right = rows.alias("l"), starts.alias("r")
+    same = F.col("l.__part") == F.col("r.__part")
+    for c in by:
+        same &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    both = left.join(right, same).select("l.*", "__first", "__before")
+    both = both.withColumns({"nth": F.col("nth") + F.col("__first"), "end": F.col("end") + F.col("__before")})
+    both = both.drop("__order", "__part", "__one", "__first", "__before")
+    return both if words else both.drop("end")
+
+
+def shard_quotas(needed: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Split the block quota of every source, its rows in needed, among output shards: rows (source, shard, offset, n).
+
+    At each node of the tree its blocks, of all sources, are put in an order by hash and dealt to the two halves in
     proportion to their shards: the counts of the left half are a draw from the multivariate hypergeometric
     distribution, and the counts of a source over all shards sum to what it had.
     """
-    node = drawn.groupBy("source").agg(F.count("*").alias("n"))
-    unit = node.select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(shards))
+    scratch = Scratch(needed.sparkSession)
+    quotas = needed.groupBy("source").agg(F.count("*").alias("n"))
+    blocks = quotas.select("source", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    unit = scratch.table(blocks.withColumns({"lo": F.lit(0), "hi": F.lit(shards)}))
     width, level = shards, 0
     while width > 1:
-        order = Window.partitionBy("lo").orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "i"), F.col("source").asc_nulls_last(), "i")
+        before = unit
+        sizes = unit.groupBy("lo").agg(F.count("*").alias("all"))
+        placed = in_order(unit, ["lo"], F.xxhash64(F.lit(seed), F.lit(level), "source", "i"), ["source", "i"], scratch)
+        placed = placed.join(sizes, "lo")
         mid = F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2).cast("int")
-        room = F.floor(F.count("*").over(Window.partitionBy("lo")) * (mid - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-        left = (F.row_number().over(order) <= room) & (F.col("hi") - F.col("lo") > 1)
+        room = F.floor(F.col("all") * (mid - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
         single = F.col("hi") - F.col("lo") == 1
-        unit = unit.withColumn("__left", left).withColumn("__mid", mid).withColumn("__one", single)
-        unit = unit.select(
-            "source",
-            "i",
-            F.when(F.col("__left") | F.col("__one"), F.col("lo")).otherwise(F.col("__mid")).alias("lo"),
-            F.when(F.col("__left"), F.col("__mid")).otherwise(F.col("hi")).alias("hi"),
+        left = (F.col("nth") < room) & ~single
+        unit = scratch.table(
+            placed.select("source", "i", F.when(left | single, F.col("lo")).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(F.col("hi")).alias("hi"))
         )
+        scratch.drop(before)
         width, level = (width + 1) // 2, level + 1
     per = unit.groupBy("source", F.col("lo").alias("shard")).agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return per.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def plan_mix(sizes: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def plan_mix(sizes: DataFrame, scratch: Scratch, shard_words: int, blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """For rows with source, size and a hash h: the targets of the sources, and the drawn blocks.
 
-    Documents fall into blocks by hash, and a pass over a source is a permutation of its blocks. Blocks are drawn
-    pass after pass until the quota of the source is met; the last block is drawn in part. Blocks number
-    about `blocks` in all, whatever the size of the input, and one a source at least. The splitting tree says
-    how many blocks of each source go to each of the shards (one for every shard_words words, 1024 at most);
-    a shard takes the next so many of the permuted blocks, so that no two shards share one.
+    Documents fall into blocks by hash. There is a shard for every shard_words words, LEAST_SHARDS at least, and
+    about `blocks` blocks for each of them, so that shards and blocks grow in number with the input and not in
+    size; a source has one block at least. A pass over a source is a permutation of its blocks, and its block quota is the
+    number of blocks, pass after pass, that its quota of words takes; the last of them is drawn in part. The splitting
+    tree deals the block quotas of all sources to the shards. Each shard then draws as many blocks of a source as it was
+    dealt, the next ones of the permutation, so that no two shards share one.
     """
     targets = source_targets(sizes)
     total = F.sum("source_size").over(Window.partitionBy())
-    targets = materialise(targets.withColumn("n_blocks", block_count(total, blocks)), spark)
     n_sources, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    shards = max(1, min(1024, -(-words // shard_words)))
+    shards = max(LEAST_SHARDS, -(-words // shard_words))
+    targets = scratch.table(targets.withColumn("n_blocks", block_count(total, shards * blocks)))
     # a table of sources is broadcast only where it is small; Spark's own threshold decides otherwise
     targets = F.broadcast(targets) if n_sources <= 100_000 else targets
     per_block = placed(sizes, targets).groupBy("source", "block", "quota").agg(F.sum("size").alias("words"))
     passes = per_block.where("words > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(REPEATS)))))
-    order = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "source", "block", "pass"), "block")
-    done = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = passes.withColumn("end", done).withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    drawn = ranked.where(F.col("end") - F.col("words") < F.col("quota"))
+    # a whole pass takes as many words as the source has
+    source_words = passes.groupBy("source", "pass").agg(F.sum("words").alias("all"), F.count("*").alias("count"))
+    sofar = Window.partitionBy("source").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    begins = scratch.table(source_words.select("source", "pass", F.coalesce(F.sum("all").over(sofar), none).alias("words_before"), F.coalesce(F.sum("count").over(sofar), none).alias("blocks_before")))
+    ranked = in_order(passes, ["source", "pass"], F.xxhash64(F.lit(seed), "source", "block", "pass"), ["block"], scratch, "words").alias("p")
+    ranked = ranked.join(begins.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.pass") == F.col("b.pass"))).select(
+        "p.source", "p.block", "p.pass", "quota", "words", (F.col("end") + F.col("words_before")).alias("end"), (F.col("nth") + F.col("blocks_before")).alias("rank")
+    )
+    needed = ranked.where(F.col("end") - F.col("words") < F.col("quota"))
     want = F.least("words", F.col("quota") - F.col("end") + F.col("words"))
-    drawn = materialise(drawn.select("source", "block", "pass", "rank", want.alias("want"), "words"), spark)
-    quotas = shard_quotas(drawn, shards, seed)
+    needed = scratch.table(needed.select("source", "block", "pass", "rank", want.alias("want"), "words"))
+    quotas = shard_quotas(needed, shards, seed)
     dealt = quotas.select("source", "shard", F.explode(F.sequence("offset", F.col("offset") + F.col("n") - 1)).alias("rank"))
-    both = drawn.alias("u").join(dealt.alias("q"), F.col("u.source").eqNullSafe(F.col("q.source")) & (F.col("u.rank") == F.col("q.rank")))
-    return targets, materialise(both.select("u.*", "shard"), spark)
+    both = needed.alias("u").join(dealt.alias("q"), F.col("u.source").eqNullSafe(F.col("q.source")) & (F.col("u.rank") == F.col("q.rank")))
+    return targets, scratch.table(both.select("u.*", "shard"))
 
 
 def placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -125,8 +167,7 @@ def with_draws(rows: DataFrame, drawn: DataFrame, entire: bool = False) -> DataF
         F.coalesce(F.sum(F.when(~whole, F.col("want"))), F.lit(0)).alias("part"),
         (F.max(F.when(~whole, F.col("rank"))) == 0).alias("only"),
     )
-    # bounded by the parameter `blocks` and the number of sources
-    per = F.broadcast(per) if per.count() <= 200_000 else per
+    per = F.broadcast(per) if per.count() <= 100_000 else per
     both = rows.alias("d").join(per.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")), "left")
     none = F.array().cast("array<int>")
     both = both.select("d.*", F.coalesce("shards", none).alias("shards"), "last_shard", F.coalesce("part", F.lit(0)).alias("part"), "only")
@@ -142,35 +183,41 @@ def with_draws(rows: DataFrame, drawn: DataFrame, entire: bool = False) -> DataF
     return rest.unionByName(partly).drop("only").withColumn("passes", F.size("shards"))
 
 
-def mix(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17) -> DataFrame:
-    """Rows (doc_id, source) with a text become rows with size, source_size, target, taken and shards.
+def mix(df: DataFrame, spark: SparkSession, shard_words: int = SHARD_WORDS, blocks: int = SHARD_BLOCKS, seed: int = 17) -> DataFrame:
+    """Rows (doc_id, source) with a text become rows with size, source_size, target, taken, shards and place.
 
     taken counts the words that the mix takes of a row, repeats included; it is at most 3 times the size.
+    shards are those that draw the row, once for every copy, and place orders its copies within each of them.
     The sum over a source is its target, rounded. Texts without words take nothing. A null source is a source
     of its own, last in order. The draw depends on hashes of doc_id, source and size only, so that reruns and
-    other partitionings agree; repeated rows share a block and are drawn one after the other.
+    other partitionings agree; repeated rows share a block and are drawn one after the
+    other. A text counts as a whole, however long; other columns play no part; an empty table gives an empty one.
     """
     sizes = sized(df.select("doc_id", "source", "text")).drop("text")
-    sizes = materialise(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), spark)
-    targets, drawn = plan_mix(sizes, spark, shard_words, blocks, seed)
+    scratch = Scratch(spark)
+    sizes = scratch.table(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")))
+    targets, drawn = plan_mix(sizes, scratch, shard_words, blocks, seed)
     out = with_draws(placed(sizes, targets), drawn)
     shards = F.when(F.col("extra") > 0, F.concat("shards", F.array("last_shard"))).otherwise(F.col("shards"))
     taken = (F.col("size") * F.col("passes") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
+    place = F.xxhash64(F.lit(seed + 1), "doc_id", "h").alias("place")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"), place)
 
 
-def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks: int = 8192, seed: int = 17, entire: bool = False) -> DataFrame:
+def draw(df: DataFrame, spark: SparkSession, shard_words: int = SHARD_WORDS, blocks: int = SHARD_BLOCKS, seed: int = 17, entire: bool = False, with_shard: bool = True) -> DataFrame:
     """The mixed documents themselves: every row as often as it is drawn, in an order by hash within its shard.
 
     Of the document at which a source's quota ends, the last copy has the leading words that the quota still
     allows; with `entire`, every copy is the whole text (see with_draws), and a source misses its quota by half a
     document at most, or by less than one where that is all it has in the mix. The columns of df stay, whatever their
-    names, but for one named shard, which is replaced; shard follows. An empty table gives an empty mix.
+    names, but for one named shard, which is replaced; shard follows. Without with_shard all columns stay, and none
+    follows. An empty table gives an empty mix.
     """
     sizes = sized(df.select("doc_id", "source", "text")).drop("text")
-    sizes = materialise(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")), spark)
-    targets, drawn = plan_mix(sizes, spark, shard_words, blocks, seed)
-    stay = [c for c in df.columns if c.lower() != "shard"]
+    scratch = Scratch(spark)
+    sizes = scratch.table(sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size")))
+    targets, drawn = plan_mix(sizes, scratch, shard_words, blocks, seed)
+    stay = [c for c in df.columns if c.lower() != "shard" or not with_shard]
     others = F.struct(*[F.col(f"`{c}`") for c in stay if c != "text"]).alias("__row")
     rows = sized(df.select("doc_id", "source", "text", others)).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     rows = with_draws(placed(rows, targets), drawn, entire)
@@ -182,4 +229,4 @@ def draw(df: DataFrame, spark: SparkSession, shard_words: int = 1 << 22, blocks:
     leading = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("copy.words").cast("int")), " ")
     out = out.withColumns({"text": F.when(cut, leading).otherwise(F.col("text")), "shard": F.col("copy.shard")})
     out = out.repartition("shard", "block").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 1), "doc_id", "h"))
-    return out.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in stay], "shard")
+    return out.select(*[F.col("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in stay], *["shard"] * with_shard)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import WORD
+from assay.llm.common import WORD, fresh
 
 #: Runs of letters and digits, and runs of other visible characters: the n-grams are made of these.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -54,21 +54,24 @@ def repeated_words(words: Column) -> Column:
 def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    A null or empty text has zeros and fails (fewer than 10 words).
+    A null or empty text has zeros and fails (fewer than 10 words). A text counts as a whole and is held in one task
+    with its words; equal texts have equal values. Other columns stay, but for those named like a new one; an empty table
+    gives an empty one.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
-    out = df.withColumn("__words", words_of(F.col(text))).withColumns(
+    words = fresh(df, "words")
+    out = df.withColumn(words, words_of(F.col(text))).withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
             "n_symbols": F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__words")),
+            "n_repeat_words": repeated_words(F.col(words)),
         }
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__words")
+    return out.withColumn("base_failed", failed).drop(words)
 
 
 def ngram_buckets(text: Column, buckets: int) -> Column:
@@ -118,13 +121,22 @@ def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = -0.15, buc
 
     kept is false if the base rules fail, or else whether log_ratio >= threshold: the threshold is a constant,
     so the verdict on a document depends on nothing but its text and the two multinomials.
-    Null keys are never trusted; repeated rows get equal results.
+    Null keys are never trusted; repeated rows get equal results. A ratio that equals the threshold is kept; a text
+    without n-grams has the ratio 0. Other columns stay, but for those named like a new one; an empty table gives an empty
+    one.
     """
     ratios = fit_log_ratios(df, trusted, buckets, text, key)
     out = base_statistics(df, text).withColumn("log_ratio", log_ratio(F.col(text), ratios))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
 
 
+def keep_ruled(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...), with all their columns whatever their names, that apply_rules keeps."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("others")
+    ruled = apply_rules(docs.select(others, "doc_id", "text"), trusted).where("kept")
+    return ruled.select(*[F.col("others").getField(c).alias(c) for c in docs.columns])
+
+
 def trusted_keys(labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
     """Keys that are labelled as of good quality, and never otherwise."""
     return labels.groupBy(key).agg(F.min(quality).alias("q")).where("q = 1").select(key)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import Scratch, map_column, mix64, slices
+from assay.llm.common import Scratch, fresh, map_column, mix64, slices
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bits of the stored sketch, which rejects candidates before their texts are compared.
@@ -211,7 +211,7 @@ def shared_pieces(pieces: DataFrame, sim: Similarity, scratch: Scratch) -> DataF
     return ranked.where(F.col("rank") >= sim.shared_by_linked(F.col("level"))).select("cls", "token", "pivot")
 
 
-def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """df with a broadcast hint if its rows, of numbers and arrays of one sketch's length, fit in most_bytes; a join
     by shuffle is the way beyond."""
     width = sum(8 * SKETCH_BITS // 64 if isinstance(f.dataType, T.ArrayType) else 8 for f in df.schema.fields)
@@ -468,7 +468,7 @@ def one_of_each_group(df: DataFrame, spark: SparkSession, sim: Similarity | None
     twice = scratch.table(twice)
     if twice.isEmpty():
         return kept
-    nth = next(c for c in (f"nth{i}" for i in itertools.count()) if c not in {x.lower() for x in df.columns})
+    nth = fresh(df, "nth")
     first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     once = without(kept, twice, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return without(kept, twice, "left_anti").union(once)

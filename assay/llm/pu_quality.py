@@ -25,6 +25,18 @@ FEATURES = len(CLASSES) + 14
 BINS = 400
 
 
+def variety(words: list[bytes]) -> tuple[int, int, int, int]:
+    """Numbers of distinct words, pairs and triples of neighbouring words, and of words that equal the next one.
+
+    Words and pairs are numbered, so that a word of a long text takes some machine words and not a tuple.
+    """
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    pairs, which = np.unique(at[:-1] * len(number) + at[1:], return_inverse=True)
+    triples = np.unique(which[:-1] * len(number) + at[2:]) if len(at) > 2 else at[:0]
+    return len(number), len(pairs), len(triples), int((at[1:] == at[:-1]).sum())
+
+
 def features(text: str | None) -> np.ndarray:
     """Shape of a text: shares of byte classes, words, repetition, lines, and how well it compresses."""
     raw = (text or "").encode("utf-8", "replace")
@@ -41,10 +53,8 @@ def features(text: str | None) -> np.ndarray:
     if n:
         lengths = np.fromiter(map(len, words), np.int64, n)
         out[k + 2], out[k + 3] = lengths.mean(), lengths.std()
-        out[k + 4] = len(set(words)) / n
-        out[k + 5] = len(set(zip(words, words[1:]))) / max(1, n - 1)
-        out[k + 6] = len(set(zip(words, words[1:], words[2:]))) / max(1, n - 2)
-        out[k + 7] = sum(a == b for a, b in zip(words, words[1:])) / n
+        one, two, three, same = variety(words)
+        out[k + 4], out[k + 5], out[k + 6], out[k + 7] = one / n, two / max(1, n - 1), three / max(1, n - 2), same / n
         out[k + 8] = sum(map(bytes.isupper, words)) / n
         out[k + 9] = sum(map(bytes.isalpha, words)) / n
     if lines:
@@ -146,33 +156,60 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
     upper = np.triu_indices(d)
     penalty = np.r_[np.full(d - 1, ridge + 4 / n_p), 0.0]
 
-    def newton(w: np.ndarray, prior: float | None) -> np.ndarray:
-        """The Newton direction of the logistic risk of positives against unlabelled rows, or of the PU risk."""
+    def parts(w: np.ndarray, only_half: bool) -> dict[str, np.ndarray]:
+        """Means over unlabelled (u) and positive (p) rows at w: l(-f), gradient of l(-f) and of l(f), and Hessian."""
 
         def body(x, positive):
-            if prior is None:
+            if only_half:
                 x, positive = x[half(x)], positive[half(x)]
             e = expand(x, mean, scale)
-            p = sigmoid(e @ w)
-            h = (e * (p * (1 - p))[:, None]).T @ e
-            parts = [(e * p[:, None]).sum(0), e[positive].sum(0), h[upper]]
-            if prior is None:
-                q = p[positive]
-                parts += [(e[positive] * (1 - q)[:, None]).sum(0), ((e[positive] * (q * (1 - q))[:, None]).T @ e[positive])[upper]]
-            return np.concatenate([*parts, [len(x), positive.sum()]])
+            f = e @ w
+            p = sigmoid(f)
+            q, trusted = p[positive], e[positive]
+            return np.concatenate(
+                [
+                    [len(x), len(q), softplus(f).sum(), softplus(f[positive]).sum()], (e * p[:, None]).sum(0), trusted.sum(0), (trusted * q[:, None]).sum(0),
+                    ((e * (p * (1 - p))[:, None]).T @ e)[upper], ((trusted * (q * (1 - q))[:, None]).T @ trusted)[upper],
+                ]
+            )
 
         s = sums(train, body)
-        s, rows, trusted = s[:-2], max(s[-2], 1), max(s[-1], 1)
-        g_u, g_p, h_u = s[:d] / rows, s[d : 2 * d] / trusted, s[2 * d : 2 * d + len(upper[0])] / rows
-        if prior is None:  # mean of l(-f) on unlabelled and l(f) on positive rows
-            rest = s[2 * d + len(upper[0]) :]
-            g, h = g_u - rest[:d] / trusted, h_u + rest[d:] / trusted
-        else:  # pi (l(f) - l(-f)) = -pi f for the logistic loss
-            g, h = g_u - prior * g_p, h_u
+        rows, positives = max(s[0], 1), max(s[1], 1)
+        at = np.cumsum([4, d, d, d, len(upper[0])])
+        g_u, e_p, g_p, h_u, h_p = np.split(s, at)[1:]
+        return {
+            "l_u": s[2] / rows, "l_p": s[3] / positives, "g_u": g_u / rows, "g_p": g_p / positives,
+            "g_pos": (g_p - e_p) / positives, "h_u": whole(h_u) / rows, "h_p": whole(h_p) / positives,
+        }
+
+    def whole(half_matrix: np.ndarray) -> np.ndarray:
         full = np.zeros((d, d))
-        full[upper] = h
-        full = full + full.T - np.diag(np.diag(full))
-        return np.linalg.solve(full + np.diag(penalty + 1e-8), g + penalty * w)
+        full[upper] = half_matrix
+        return full + full.T - np.diag(np.diag(full))
+
+    def step(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(hessian + np.diag(penalty + 1e-8), gradient + penalty * w)
+
+    def directions(w: np.ndarray, prior: float) -> np.ndarray:
+        """Newton steps of the non-negative risk, the larger of two convex functions: prior E_p[l(f)] alone, which holds
+        where E_u[l(-f)] - prior E_p[l(-f)] is below 0, and their sum, which holds elsewhere. The first step is that of
+        the function that is larger at w. Where it would cross the kink, the minimum may lie on it: there a mixture of
+        both gradients counts, with the share that makes the quadratic models of both functions meet at its step."""
+        m = parts(w, False)
+        negative = m["l_u"] - prior * m["l_p"]
+        g_neg, h_neg = m["g_u"] - prior * m["g_p"], m["h_u"] - prior * m["h_p"]
+
+        def mixed(c: float) -> np.ndarray:
+            # the Hessians of prior l(f) and prior l(-f) are alike
+            return step(w, prior * m["g_pos"] + c * g_neg, prior * m["h_p"] + c * h_neg)
+
+        own, low, high = float(negative >= 0), 0.0, 1.0
+        for _ in range(20):
+            c = (low + high) / 2
+            d = -mixed(c)
+            after = negative + g_neg @ d + 0.5 * d @ h_neg @ d
+            low, high = (c, high) if after > 0 else (low, c)
+        return np.column_stack([mixed(c) for c in (own, 1 - own, low, max(0.0, low - 0.05), min(1.0, low + 0.05))])
 
     def risks(candidates: np.ndarray, prior: float) -> np.ndarray:
         def body(x, positive):
@@ -184,8 +221,9 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
         return prior * p_pos / n_p + np.maximum(negative, 0) + 0.5 * (penalty[:, None] * candidates**2).sum(0)
 
     w = np.zeros(d)
-    for _ in range(3):
-        w = w - newton(w, None)
+    for _ in range(3):  # positives against unlabelled rows: the sum of the mean losses of both
+        m = parts(w, True)
+        w = w - step(w, m["g_u"] + m["g_pos"], m["h_u"] + m["h_p"])
 
     def histogram(x, positive):
         x, positive = x[~half(x)], positive[~half(x)]
@@ -195,10 +233,10 @@ def fit(train: DataFrame, ridge: float = 1e-3, steps: int = 6) -> Model | None:
     h = sums(train, histogram)
     prior = estimate_prior(h[:BINS], h[BINS:]) if h[:BINS].any() else 0.5
     w = np.r_[np.zeros(d - 1), np.log(prior / (1 - prior))]
-    lengths, best = np.array([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]), np.inf
+    lengths, best = np.array([1.0, 0.75, 0.5, 0.25, 0.1]), np.inf
     for _ in range(steps):
-        step = newton(w, prior)
-        candidates = w[:, None] - step[:, None] * lengths
+        moves = directions(w, prior)
+        candidates = w[:, None] - np.concatenate([np.zeros((d, 1)), *(moves[:, [j]] * lengths for j in range(moves.shape[1]))], axis=1)
         r = risks(candidates, prior)
         at = int(np.argmin(r))
         w = candidates[:, at]
@@ -215,43 +253,45 @@ def fit_positives(x: DataFrame, positives: DataFrame, spark: SparkSession) -> Mo
     return fit(materialise(marked, spark))
 
 
+def score_of(x: Column, model: Model) -> Column:
+    """The model's score of a feature array, in native expressions."""
+    size = FEATURES
+    number = lambda v: F.array(*[F.lit(float(i)) for i in v])
+    w = model.weights
+    each = F.arrays_zip(x.alias("x"), *[number(v).alias(n) for n, v in zip("mswhl", (model.mean, model.scale, w[:size], w[size : 2 * size], w[2 * size : 3 * size]))])
+
+    def term(total: Column, row: Column) -> Column:
+        z = F.greatest(F.least((row["x"] - row["m"]) / row["s"], F.lit(8.0)), F.lit(-8.0))
+        zero = F.lit(0.0)
+        return total + z * row["w"] + F.greatest(z - 1, zero) * row["h"] + F.greatest(-z - 1, zero) * row["l"]
+
+    f = F.aggregate(each, F.lit(float(w[-1])), term)
+    return 1 / (1 + F.exp(-F.greatest(F.least(f, F.lit(60.0)), F.lit(-60.0))))
+
+
+def scored(df: DataFrame, positives: DataFrame, train: Column, spark: SparkSession, keep: list[str]) -> DataFrame:
+    """One row for each of df: others (a struct of the columns of keep), doc_id and score. Texts become features once."""
+    others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
+    rows = df.select(others.alias("others"), "doc_id", "text", F.coalesce(train, F.lit(False)).alias("may_train"))
+    x = materialise(with_features(rows), spark)
+    model = fit_positives(x, positives, spark)
+    score = F.lit(0.5) if model is None else score_of(F.col("x"), model)
+    return x.select("others", "doc_id", score.alias("score"))
+
+
 def score_texts(df: DataFrame, positives: DataFrame, train: Column, spark: SparkSession, threshold: float = 0.3) -> DataFrame:
     """Rows (doc_id, text) become rows (doc_id, score, predicted): score is the probability of good quality.
 
     positives: the doc_ids of trusted texts; train: which rows may be learned from. Without trusted training
     texts every score is 0.5. Null and empty texts are scored by their features, which are all 0. Rows without
-    doc_id are never positives.
+    doc_id are never positives. Equal texts have equal scores; an empty table gives an empty one. A text is held in one
+    task as a whole, with a few numbers for each of its words.
     """
-    x = materialise(with_features(df.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("may_train"))), spark)
-    model = fit_positives(x, positives, spark)
-    if model is None:
-        return x.select("doc_id", F.lit(0.5).alias("score"), F.lit(int(0.5 >= threshold)).alias("predicted"))
-    shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*(f for f in x.schema if f.name == "doc_id"), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = shared.value.score(b.column(1).flatten().to_numpy().reshape(b.num_rows, FEATURES).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
-
-    out = x.select("doc_id", "x").mapInArrow(run, schema)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = scored(df, positives, train, spark, [])
+    return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, positives: DataFrame, train: Column, spark: SparkSession, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose texts score at least `threshold`, fitted as in score_texts."""
-    x = materialise(with_features(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("may_train"))), spark)
-    model = fit_positives(x, positives, spark)
-    if model is None:
-        return docs if 0.5 >= threshold else docs.limit(0)
-    shared = spark.sparkContext.broadcast(model)
-
-    def make():
-        def kernel(texts):
-            f = np.concatenate([features(t) for t in texts.to_pylist()]).astype(np.float32).reshape(-1, FEATURES)
-            return [pa.array(shared.value.score(f.astype(np.float64)))]
-
-        return kernel
-
-    scored = map_column(docs, "text", make, [T.StructField("__score", T.DoubleType())])
-    return scored.where(F.col("__score") >= threshold).select(*docs.columns)
+    """The rows of docs, with all their columns, whose texts score at least `threshold`, fitted as in score_texts."""
+    good = scored(docs, positives, train, spark, docs.columns).where(F.col("score") >= threshold)
+    return good.select(*[F.col("others").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from assay.llm import bpe_codec, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count, warc
 from assay.llm.common import crc_bucket
 
@@ -85,6 +84,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators of this package
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

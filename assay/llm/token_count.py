@@ -63,7 +63,8 @@ def count_tokens(df: DataFrame, vocabulary_path: str, text: str = "text", output
 
     Special strings of the file count as one token each, as the tokenizers library counts them by
     default. The vocabulary file is read on the driver and broadcast: its size doesn't depend on the data.
-    Repeated rows are counted alike; a column named like `output` is replaced.
+    Repeated rows are counted alike; a column named like `output` is replaced, others stay; an empty table gives an
+    empty one. A text of any length is cut as a stream, some hundred thousand pre-tokens at a time.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())

@@ -17,13 +17,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the n-gram ratio reject go."""
+    """Documents that the base rules or the n-gram ratio reject go: null, empty and short texts among them.
+
+    Other rows stay with all their columns, repeated ones and those without doc_id as well.
+    """
     trusted = ngram_rules.trusted_keys(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return ngram_rules.apply_rules(docs, trusted).where("kept").select(*docs.columns)
+    return ngram_rules.keep_ruled(docs, trusted)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of poor quality go."""
+    """Documents that the classifier predicts to be of poor quality go.
+
+    It learns from rows whose doc_id is not held out; without trusted ones all rows stay. A null or empty text is scored
+    like others; rows that repeat an id or have none, and columns of any name, stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     trusted = ngram_rules.trusted_keys(labels).where(crc_bucket(F.col("doc_id"), 5) != 0)
     return pu_quality.keep_good(docs, trusted, crc_bucket(F.col("doc_id"), 5) != 0, spark, threshold=0.3)
@@ -39,12 +46,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by their target weights; a document comes as often as the mix draws it, each time as a whole."""
-    return mixing.draw(docs, spark, entire=True).select(*docs.columns)
+    """Sources by their target weights; a document comes as often as the mix draws it, each time as a whole.
+
+    Rows without words are not drawn. A null source is one of its own; repeated rows are drawn one by one.
+    """
+    return mixing.draw(docs, spark, entire=True, with_shard=False)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document of the mix."""
+    """The token ids of every document of the mix, row by row: none for a null or empty text."""
     encoded = bpe_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

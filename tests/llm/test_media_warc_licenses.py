@@ -5,6 +5,8 @@ import hashlib
 import io
 import itertools
 import json
+import struct
+import time
 import zipfile
 import zlib
 from re import _parser
@@ -132,3 +134,76 @@ def test_keywords_skip_no_rule_that_matches():
         "either version 3 of the License, or (at your option) any later version": "gpl-or-later", "See the LICENCE file": "licensed",
     }
     assert {t: gated.scan(t)[5] for t in expected} == expected
+
+
+def test_markers_decide_where_files_end():
+    s = media.Sniffer()
+    linear = b"%PDF-1.5\nabc\nstartxref\n0\n%%EOF\nmore\nxref\nstartxref\n9\n%%EOF\n"
+    assert [(x["type"], x["length"]) for x in s.spans(b"--" + linear + b"tail")[1]] == [("application/pdf", len(linear) - 1)]
+    two = s.spans(linear + linear)[1]
+    assert [x["start"] for x in two] == [0, len(linear)]
+    box = lambda kind, size, body: struct.pack(">I4s", size, kind) + body
+    first, moov = box(b"ftyp", 16, b"isom0000"), box(b"moov", 16, bytes(8))
+    for film in (first + box(b"mdat", 1, struct.pack(">Q", 116) + b"x" * 100) + moov, first + moov + box(b"mdat", 0, b"y" * 50)):
+        assert [(x["type"], x["length"]) for x in s.spans(film)[1]] == [("video/mp4", len(film))]
+    both = archive() + b"??" + archive()
+    assert [(x["start"], x["length"]) for x in s.spans(both)[1]] == [(0, len(archive())), (len(archive()) + 2, len(archive()))]
+    named = b"\x1f\x8b\x08\x08" + GZ[4:10] + b"name\0" + GZ[10:]
+    assert [(x["start"], x["length"]) for x in s.spans(b"ab" + named + b"cd")[1]] == [(2, len(named))]
+
+
+def test_long_values_take_linear_time():
+    s, start = media.Sniffer(), time.time()
+    values = [b"%PDF-1.4 ", b"PK\x03\x04", b"\x1f\x8b\x08", b"\x1f\x8b\x08\x1f\0\0\0\0\0\0", b"\0\0\0\x08ftyp", b"\xff\xd8\xff\xe0", b"OggS"]
+    for v in values:
+        assert s.spans(v * (2_000_000 // len(v)))[1] == [], v
+    pages = ["<a ", '<a x="', "<a x='", "<!-- ", "<script>", '<a b=">"', "< ", "<title>", "<b =>", "</", "<a b= ", "<p a b c/"]
+    for p in pages:
+        warc.Page(p * (2_000_000 // len(p)) + ">").text()
+        warc.Page(p * (2_000_000 // len(p))).text()
+    assert time.time() - start < 120
+
+
+def test_media_columns_keep_others(spark, docs):
+    names = ["media", "payload", "spans", "declared", "others", "t", "a.b"]
+    clash = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names}).withColumn("Feature", F.lit(1))
+    out = media.text_media(clash)
+    assert out.columns == [c for c in docs.columns if c != "text"] + names + media.TEXT_MEDIA
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(r[n] == n + ("" if r["doc_id"] is None else str(r["doc_id"])) for r in rows for n in names)
+
+
+def http_record(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers) + "\r\n").encode() + body
+    own = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Concurrent-To", "<urn:a>"), ("WARC-Concurrent-To", "<urn:b>"), ("WARC-Payload-Digest", warc.digest(body))]
+    return warc.record(own, block)
+
+
+def test_headers_and_encodings_of_responses(spark):
+    page = b"<title>T</title><p alt='a > b'>caf\xe9"
+    z = gzip.compress(page, mtime=0)
+    chunked = b"5;x=1\r\n" + z[:5] + b"\r\n%x\r\n" % len(z[5:]) + z[5:] + b"\r\n0\r\n\r\n"
+    headers = [("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("Content-Type", "text/html; charset=latin-1"), ("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")]
+    cases = [
+        (http_record(headers, chunked), None, "T\ncafé"),
+        (http_record([("Content-Encoding", "deflate"), ("Content-Type", "text/html;charset=latin-1")], zlib.compress(page)), None, "T\ncafé"),
+        *((http_record([("Content-Type", f"text/html; charset={c}")], b"<p>hi"), None, "hi") for c in ("undefined", "idna", "punycode", "hex", "none-such", "utf-7")),
+        (http_record([], b"<meta charset='\xff'>if a <b then"), None, "if a <b then"),
+        (http_record([("Content-Encoding", "br")], b"??"), "content encoding br", None),
+        (http_record([("Content-Encoding", "gzip")], b"plain"), "content is not compressed as stated", None),
+        (b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: -5\r\n\r\nHTTP/1.1 200\r\n\r\n", "negative length", None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, record binary")
+    got = {r["i"]: r for r in warc.derivatives(df).collect()}
+    assert [(got[i]["error"], got[i]["text"]) for i in range(len(cases))] == [c[1:] for c in cases]
+    meta, at = warc.head(bytes(got[0]["metadata_record"]), "WARC/")
+    tree = json.loads(bytes(got[0]["metadata_record"])[at : at + int(dict(meta)["Content-Length"])])["Envelope"]
+    assert tree["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"]
+    assert tree["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]["Set-Cookie"] == ["a=1", "b=2"] and got[0]["digest_ok"]
+    assert warc.derivatives(df.limit(0)).count() == 0
+    try:
+        warc.inflated(gzip.compress(b"\0" * 5_000_000), 1 << 20)
+    except ValueError as e:
+        assert "limit" in str(e)
+    else:
+        raise AssertionError

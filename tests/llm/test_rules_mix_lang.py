@@ -197,3 +197,59 @@ def test_prior():
     p[60:] = 1000
     u[60:], u[:40] = 700, 450
     assert abs(pu_quality.estimate_prior(p, u) - 28000 / 46000) < 0.03
+
+
+def plain_risk(x, positive, w, prior, penalty):
+    f = x @ w
+    soft = lambda v: np.logaddexp(0, v).mean()
+    return prior * soft(-f[positive]) + max(0.0, soft(f) - prior * soft(f[positive])) + 0.5 * penalty * (w[:-1] ** 2).sum()
+
+
+def test_descends_the_non_negative_risk(spark):
+    """A prior that is too large makes the risk of the unlabelled rows negative: there the gradient of the positives alone
+    counts. The fit is compared with long subgradient descent on the same risk, all rows at once."""
+    rng = np.random.default_rng(3)
+    raw = rng.normal(size=(400, pu_quality.FEATURES)).astype(np.float32)
+    positive = (raw[:, 0] > 0.3) & (rng.random(400) < 0.5)
+    raw[positive, 1] += 1
+    df = spark.createDataFrame([([float(v) for v in r], bool(p)) for r, p in zip(raw, positive)], "x array<float>, positive boolean").repartition(3)
+    for prior in (0.3, 0.97):
+        old, pu_quality.estimate_prior = pu_quality.estimate_prior, lambda *_, p=prior: p
+        try:
+            model = pu_quality.fit(df, steps=12)
+        finally:
+            pu_quality.estimate_prior = old
+        e = pu_quality.expand(raw.astype(float), model.mean, model.scale)
+        penalty = 1e-3 + 4 / positive.sum()
+        w = np.zeros(e.shape[1])
+        w[-1] = math.log(prior / (1 - prior))
+        best = plain_risk(e, positive, w, prior, penalty)
+        clamped = 0
+        for t in range(6000):
+            f, ep = e @ w, e[positive]
+            s, q = 1 / (1 + np.exp(-f)), 1 / (1 + np.exp(-f[positive]))
+            g = prior * ((q - 1)[:, None] * ep).mean(0)
+            if np.logaddexp(0, f).mean() > prior * np.logaddexp(0, f[positive]).mean():
+                g += (s[:, None] * e).mean(0) - prior * (q[:, None] * ep).mean(0)
+            else:
+                clamped += 1
+            w = w - 0.5 / math.sqrt(1 + t / 20) * (g + penalty * np.r_[w[:-1], 0])
+            best = min(best, plain_risk(e, positive, w, prior, penalty))
+        assert plain_risk(e, positive, model.weights, prior, penalty) <= best + 2e-3
+        assert clamped > 0 or prior == 0.3
+
+
+def test_features_and_scores_of_whole_texts(spark, docs):
+    for words in ([], [b"a"], [b"a", b"a"], [b"a", b"b", b"a", b"b", b"a"], [b"%d" % (i * i % 7) for i in range(50)]):
+        pairs, triples = list(zip(words, words[1:])), list(zip(words, words[1:], words[2:]))
+        assert not words or pu_quality.variety(words) == (len(set(words)), len(set(pairs)), len(set(triples)), sum(a == b for a, b in pairs))
+    rng = np.random.default_rng(0)
+    size = pu_quality.FEATURES
+    model = pu_quality.Model(rng.normal(size=size), rng.random(size) + 0.1, rng.normal(size=3 * size + 1), 0.5)
+    x = rng.normal(size=(20, size)).astype(np.float32) * 3
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, x array<float>")
+    got = [r["s"] for r in df.select("i", pu_quality.score_of(F.col("x"), model).alias("s")).orderBy("i").collect()]
+    assert np.allclose(got, model.score(x.astype(float)), atol=1e-9)
+    clash = docs.withColumns({"others": F.lit(1), "x": F.lit(2), "may_train": F.lit("c"), "score": F.lit("s"), "a.b": F.lit(3)})
+    kept = pu_quality.keep_good(clash, docs.where("doc_id = 1").select("doc_id"), F.lit(True), spark, threshold=0.0)
+    assert kept.columns == clash.columns and kept.count() == docs.count() and kept.where("score <> 's' or may_train <> 'c'").isEmpty()
