@@ -109,6 +109,44 @@ TEXTS = [
     (4, "copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", 0.5),
     (5, "licensed", "licensed", r"(?:is |are )?licensed under(?: the)?(?: terms of(?: the)?)?", 0.3),
     (5, "licensed", "license|licence", r"under the terms of the licen[sc]e|see the licen[sc]e(?: file)?", 0.3),
+    (2, "mit", "copyright permission included", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions", 0.9),
+    (2, "bsd", "redistributions source retain", r"redistributions of source code must retain the(?: above)? copyright notice", 0.85),
+    (2, "bsd", "redistributions binary reproduce", r"redistributions in binary form must reproduce the above copyright notice", 0.85),
+    (2, "bsd-4-clause", "advertising materials display", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.95),
+    (2, "apache-2.0", "compliance license", r"you may not use this (?:file|software|work) except in compliance with the license", 0.85),
+    (2, "apache-2.0", "language governing limitations", r"see the license for the specific language governing permissions and limitations under the license", 0.9),
+    (2, "gpl", "free redistribute gnu", r"this (?:program|library|file|software|package) is free software you can redistribute it and or modify it under the terms of the gnu", 0.9),
+    (2, "gpl", "received copy gnu", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license", 0.9),
+    (2, "zlib", "event authors liable", r"in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    (2, "zlib", "origin misrepresented", r"the origin of this software must not be misrepresented", 0.95),
+    (2, "bsl-1.0", "organization accompanying covered", r"to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.95),
+    (2, "json", "good evil", r"the software shall be used for good not evil", 1.0),
+    (2, "beerware", "buy beer return", r"you can buy me a beer in return", 0.95),
+    (2, "ofl-1.1", "reserved font name", r"(?:with )?reserved font name", 0.6),
+    (2, "epl", "accompanying materials eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 0.95),
+    (2, "cddl", "subject development distribution", r"subject to the terms of the common development and distribution licen[sc]e", 0.95),
+    (2, "mpl", "contents subject mozilla", r"the contents of this file are subject to the mozilla public licen[sc]e", 0.95),
+    (2, "psf-2.0", "psf python licensee", r"psf is making python(?: [0-9]+)*(?: software in source or binary form)?(?: and its associated documentation)? available to licensee", 0.95),
+    (2, "openssl", "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit", 0.95),
+    (2, "cc0-1.0", "copyright related neighboring", r"(?:waived|waives|waiving) all copyright and related (?:or|and) neighboring rights", 0.9),
+    (2, "gfdl", "permission document documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e", 0.95),
+    (2, "hpnd", "permission use copy", r"permission to use copy modify(?: sell)? and distribute this software and its documentation for any purpose", 0.85),
+    (3, "creative-commons", "creative commons", r"licensed under (?:a|the) creative commons", 0.7),
+    (3, "no-rights-reserved", "no rights reserved", r"no rights reserved", 0.6),
+    (3, "non-commercial", "commercial|noncommercial", r"for (?:personal )?(?:and )?non ?commercial (?:use|purposes)(?: only)?", 0.6),
+    (3, "research-only", "academic|research|scientific|educational", r"for (?:academic|research|scientific|educational)(?: (?:and|or) (?:academic|research|scientific|educational))? (?:use|purposes) only", 0.6),
+    (3, "proprietary", "trade secrets", r"contains (?:confidential information and |proprietary information and )?trade secrets", 0.7),
+    (3, "proprietary", "unauthorized prohibited", r"unauthorized (?:copying|reproduction|distribution|use)(?: of this (?:file|software|document|material))?(?: via any medium)? is (?:strictly )?prohibited", 0.8),
+    (3, "proprietary", "part reproduced", r"no part of this (?:publication|book|document|work|site) may be reproduced", 0.85),
+    (3, "eula", "end user agreement", r"end user licen[sc]e agreement", 0.8),
+    (3, "eula", "installing agree", r"by (?:installing|downloading or installing|copying or installing) (?:the|this) software you agree", 0.7),
+    (3, "by-permission", "permission", r"(?:reproduced|reprinted|republished|used)(?: here)? (?:with|by)(?: kind| the)? permission", 0.6),
+    (3, "attribution-required", "attribution required", r"attribution (?:is )?required", 0.5),
+    (3, "crown-copyright", "crown copyright", r"crown copyright(?: reserved)?", 0.8),
+    (3, "ogl-uk", "open government", r"open government licen[sc]e(?: v(?:ersion )?[123](?: 0)?)?", 0.85),
+    (3, "us-government", "work government", r"(?:is )?a work of the (?:united states|u s|us)(?: federal)? government", 0.7),
+    (3, "dual", "dual|dually", r"dual(?:ly)? licen[sc]ed(?: under)?", 0.6),
+    (4, "fair-use", "fair use", r"(?:under |constitutes )?fair use(?: doctrine| notice)?", 0.3),
 ]
 
 
