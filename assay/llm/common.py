@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,22 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.functions.scratch import shared_folder
+
 #: A word in the sense of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Kernels receive at most about this many bytes of text at a time.
 SLICE_BYTES = 4 << 20
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-assay-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
 def materialise(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
     return Scratch(spark).table(df)
@@ -42,7 +33,7 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{scratch_dir(self.spark)}/assay-{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/assay-{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))

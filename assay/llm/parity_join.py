@@ -211,7 +211,7 @@ def shared_pieces(pieces: DataFrame, sim: Similarity, scratch: Scratch) -> DataF
     return ranked.where(F.col("rank") >= sim.shared_by_linked(F.col("level"))).select("cls", "token", "pivot")
 
 
-def small(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """df with a broadcast hint if its rows, of numbers and arrays of one sketch's length, fit in most_bytes; a join
     by shuffle is the way beyond."""
     width = sum(8 * SKETCH_BITS // 64 if isinstance(f.dataType, T.ArrayType) else 8 for f in df.schema.fields)
@@ -295,7 +295,7 @@ def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFr
     blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
     per = per.select("token", F.col("main.comp").alias("main"), "all", blocks(F.col("main.c")).alias("nm"), blocks(F.col("all") - F.col("main.c")).alias("nr"))
     rows = members.select("token", "cls", "comp").join(per, "token")
-    own = members.groupBy("cls").agg(F.sort_array(F.collect_set("token")).alias("own"))  # the pieces of one text
+    own = members.groupBy("cls").agg(F.collect_set("token").alias("own"))  # the pieces of one text
     kind, h = (lambda k, x, y: F.struct(F.lit(k).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))), F.xxhash64("cls")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     mine_m, mine_r = F.pmod(h, F.col("nm")).cast("int"), F.pmod(h, F.col("nr")).cast("int")
@@ -305,11 +305,13 @@ def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFr
     whole = F.array(kind(0, F.lit(0), F.lit(0)))
     keys = F.when(F.col("all") <= BLOCK, whole).when(F.col("comp") == F.col("main"), of_main).otherwise(F.concat(to_main, to_rest))
     dealt = rows.withColumn("key", F.explode(keys)).join(small(facts), "cls").join(own, "cls")
-    dealt = dealt.select("token", "key.kind", "key.x", "key.y", "cls", "comp", "n", "sketch", "own")
-    dealt = dealt.repartition("token", "kind", "x", "y").sortWithinPartitions("token", "kind", "x", "y")
+    key = F.when(F.col("key.kind") == 0, F.col("token")).otherwise(F.xxhash64("token", "key.kind", "key.x", "key.y"))
+    # only lesser pieces decide whether a pair comes from this one
+    dealt = dealt.select("token", key.alias("key"), "cls", "comp", "n", "sketch", F.array_sort(F.filter("own", lambda x: x < F.col("token"))).alias("own"))
+    dealt = dealt.repartition("key", "token").sortWithinPartitions("token", "key")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def near(token: int, group: list[np.ndarray]) -> list[np.ndarray]:
+    def near(group: list[np.ndarray]) -> list[np.ndarray]:
         cls, comp, n, bits, own = group
         out = [np.zeros((0, 2), np.int64)]
         for start in range(0, len(cls), 64):
@@ -320,7 +322,7 @@ def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFr
             apart = np.bitwise_count((bits[i + start] ^ bits[j]).view(np.uint64)).sum(axis=1, dtype=np.int64)
             ok = apart * (sim.den + sim.num) <= total[i, j] * (sim.den - sim.num)
             i, j = i[ok] + start, j[ok]
-            first = [np.intersect1d(own[x], own[y], assume_unique=True)[0] == token for x, y in zip(i, j)]
+            first = [not len(np.intersect1d(own[x], own[y], assume_unique=True)) for x, y in zip(i, j)]
             out.append(np.column_stack([cls[i], cls[j]])[np.array(first, bool)])
         return out
 
@@ -329,13 +331,13 @@ def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFr
         for batch in itertools.chain(batches, [None]):
             found = []
             if batch is not None and batch.num_rows:
-                key = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-                bits = batch.column(7).flatten().to_numpy().reshape(-1, SKETCH_BITS // 64)
+                key = np.column_stack([batch.column(i).to_numpy() for i in range(2)])
+                bits = batch.column(5).flatten().to_numpy().reshape(-1, SKETCH_BITS // 64)
                 own = np.empty(batch.num_rows, object)
-                ends = np.cumsum(pc.list_value_length(batch.column(8)).to_numpy())[:-1]
-                for i, tokens in enumerate(np.split(batch.column(8).flatten().to_numpy(), ends)):
+                ends = np.cumsum(pc.list_value_length(batch.column(6)).to_numpy())[:-1]
+                for i, tokens in enumerate(np.split(batch.column(6).flatten().to_numpy(), ends)):
                     own[i] = tokens
-                parts = [key, *(batch.column(i).to_numpy() for i in (4, 5, 6)), bits, own]
+                parts = [key, *(batch.column(i).to_numpy() for i in (2, 3, 4)), bits, own]
                 held = parts if held is None else [np.concatenate(x) for x in zip(held, parts)]
             if held is not None:
                 key = held[0]
@@ -344,7 +346,7 @@ def cross_pairs(members: DataFrame, facts: DataFrame, sim: Similarity) -> DataFr
                 open_group = batch is not None  # the last group may go on in the next batch
                 for start, end in list(zip(first, ends))[: len(first) - open_group]:
                     if end - start > 1:
-                        found += near(key[start, 0], [x[start:end] for x in held[1:]])
+                        found += near([x[start:end] for x in held[1:]])
                 held = [x[first[-1] :] for x in held] if open_group else None
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -378,6 +380,8 @@ def joined_sets(shared: DataFrame, facts: DataFrame, texts: DataFrame, sim: Simi
             scratch.drop(members)
             tested = tested.union(pairs)
         new = scratch.table(verified(pairs, facts, texts, sim, scratch).distinct())
+        if links is not None and new.isEmpty():
+            continue
         links = new if links is None else links.union(new)
         root = smallest_reachable(links, scratch)
         comp = scratch.table(names.join(small(scratch.table(root)), F.col("cls") == F.col("v"), "left").select("cls", F.coalesce("root", "cls").alias("comp")))
