@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,11 +69,6 @@ class Similarity:
         """Pieces in which linked documents of a band agree at least."""
         return self.pieces(level) - self.most(level)
 
-    def shared_by_linked(self, level: Column) -> Column:
-        # the table covers sets of up to 10^9 shingles, more than a text can have
-        top = bisect.bisect_right(self.bounds, 10**9)
-        return F.element_at(F.array(*[F.lit(self.agree(j)) for j in range(top)]), level + 1)
-
     def linked(self, both: int, a: int, b: int) -> bool:
         return a > 0 and b > 0 and self.den * both >= self.num * (a + b - both)
 
@@ -132,17 +127,19 @@ def piece_tokens(shingles: np.ndarray, level: int, pieces: int) -> tuple[np.ndar
 def described(df: DataFrame, sim: Similarity) -> DataFrame:
     """Rows with text become rows with n_shingles, cls, sketch and tokens instead: one pass over the texts.
 
-    cls names the shingle set (0: empty), equal sets alike. tokens are its sketch pieces; where a task has met the
-    set before, they are left out (see shared_pieces), as they are for rows that do not take part.
+    cls names the shingle set (0: empty), equal sets alike. tokens are its sketch pieces, ranks the places from which
+    they count (see all_tokens); where a task has met the set before, they are left out (see shared_pieces), as they are
+    for rows that do not take part.
     """
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("sketch", longs), T.StructField("tokens", longs)]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("sketch", longs)]
+    fields += [T.StructField("tokens", longs), T.StructField("ranks", longs)]
 
     def make():
         shingler, seen, none = Shingler(sim.k), set(), np.zeros(0, np.int64)
 
         def kernel(texts, takes_part):
-            sizes, names, bits, tokens = [], [], [], []
+            sizes, names, bits, tokens, ranks = [], [], [], [], []
             for text, wanted in zip(texts.to_pylist(), takes_part.to_pylist()):
                 shingles = shingler(text)
                 name = identity(shingles)
@@ -150,12 +147,12 @@ def described(df: DataFrame, sim: Similarity) -> DataFrame:
                 names.append(name)
                 if wanted and name and name not in seen:
                     seen.add(name)
-                    bits.append(sketch(shingles))
-                    tokens.append(all_tokens(shingles, sim))
+                    made = sketch(shingles), *all_tokens(shingles, sim)
                 else:
-                    bits.append(none)
-                    tokens.append(none)
-            return [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), lists_of(bits), lists_of(tokens)]
+                    made = none, none, none
+                for column, values in zip((bits, tokens, ranks), made):
+                    column.append(values)
+            return [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *map(lists_of, (bits, tokens, ranks))]
 
         return kernel
 
@@ -167,17 +164,21 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
 
 
-def all_tokens(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
-    """The pieces of a set at all of its levels.
+def all_tokens(shingles: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of a set at all of its levels, and for each the rank from which shared_pieces keeps it.
 
-    Linked sets agree in sim.agree(level) pieces of a level at least. A set with fewer empty pieces than that
-    leaves those out, as they cannot be all that it has in common with another one.
+    Linked sets agree in sim.agree(level) pieces of a level at least, empty ones counted. Of a set with e empty pieces
+    they agree in agree - e others, so these can be found by the pieces from that rank on; e counts whether the empty
+    pieces are left out or not. A set with fewer empty pieces than sim.agree(level) leaves them out, as they cannot be
+    all that it has in common with another one.
     """
-    out = [np.zeros(0, np.int64)]
+    out, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for level in sim.levels(len(shingles)):
         tokens, empty = piece_tokens(shingles, level, sim.pieces(level))
-        out.append(tokens if empty.sum() >= sim.agree(level) else tokens[~empty])
-    return np.concatenate(out)
+        least = sim.agree(level) - int(empty.sum())
+        out.append(tokens[~empty] if least > 0 else tokens)
+        ranks.append(np.full(len(out[-1]), max(1, least)))
+    return np.concatenate(out), np.concatenate(ranks)
 
 
 def hot_tokens(pieces: DataFrame, share: int = 64, least: int = 64, most: int = 100_000) -> DataFrame:
@@ -191,24 +192,25 @@ def hot_tokens(pieces: DataFrame, share: int = 64, least: int = 64, most: int =
     return counted.orderBy(F.desc("n"), "token").limit(most).select("token", (F.col("n") * share).alias("freq"), "pivot")
 
 
-def shared_pieces(pieces: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+def shared_pieces(pieces: DataFrame, scratch: Scratch) -> DataFrame:
     """(cls, token, pivot): pieces by which sets can be found, those that many sets share left out where they may be.
 
-    Linked sets agree in o pieces of a level at least. A set with fewer pieces that other sets have too is
-    linked with none there; of the others, the o - 1 most frequent pieces can be left out, as two linked sets
-    then still have one in common (the order by frequency is the same for all sets). So pieces that lie wholly
-    in a passage of many documents lead to no candidates, and no link is lost. pivot is one set with that piece.
+    Linked sets have o pieces of a level in common at least, o being the rank that either set gives them (see
+    all_tokens). A set with fewer pieces that other sets have too is linked with none there; of the others, the o - 1
+    most frequent pieces can be left out: the order by frequency is the same for all sets, so the least frequent piece
+    that two linked sets share has a rank of o or more in both. So pieces that lie wholly in a passage of many
+    documents lead to no candidates, and no link is lost. pivot is one set with that piece.
     """
     hot = scratch.table(hot_tokens(pieces))
     marked = pieces.join(F.broadcast(hot), "token", "left")
-    frequent = marked.where("freq is not null").select("token", "cls", "freq", "pivot")
+    frequent = marked.where("freq is not null").select("token", "cls", "least", "freq", "pivot")
     token, own = Window.partitionBy("token"), Window.partitionBy("cls", "level")
-    rare = marked.where("freq is null").select("token", "cls")
+    rare = marked.where("freq is null").select("token", "cls", "least")
     rare = rare.withColumns({"freq": F.count("*").over(token), "pivot": F.min("cls").over(token), "last": F.max("cls").over(token)})
-    shared = rare.where("pivot < last").select("token", "cls", "freq", "pivot").union(frequent)
+    shared = rare.where("pivot < last").select("token", "cls", "least", "freq", "pivot").union(frequent)
     shared = shared.withColumn("level", F.shiftrightunsigned("token", LEVEL_SHIFT).cast("int"))
     ranked = shared.withColumn("rank", F.row_number().over(own.orderBy(F.desc("freq"), "token")))
-    return ranked.where(F.col("rank") >= sim.shared_by_linked(F.col("level"))).select("cls", "token", "pivot")
+    return ranked.where("rank >= least").select("cls", "token", "pivot")
 
 
 def small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
@@ -401,7 +403,8 @@ def text_components(df: DataFrame, sim: Similarity, scratch: Scratch) -> tuple[D
     with_tokens = base.where(F.size("tokens") > 0)
     again = with_tokens.groupBy("cls").agg(F.count("*").alias("n"), F.min("uid").alias("first")).where("n > 1").select("cls", "first")
     one = with_tokens.join(small(scratch.table(again)), "cls", "left").where("first is null or uid = first")
-    shared = scratch.table(shared_pieces(one.select(F.explode("tokens").alias("token"), "cls"), sim, scratch))
+    pieces = one.select("cls", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("ranks").cast("array<int>").alias("least"))))
+    shared = scratch.table(shared_pieces(pieces.select("token", "cls", "least"), scratch))
     named = scratch.table(shared.select("cls").distinct())
     facts = scratch.table(one.join(small(named), "cls").select("cls", "doc_id", "th", F.col("n_shingles").alias("n"), "sketch"))
     slim = scratch.table(base.select("doc_id", "th", "n_shingles", "cls"))

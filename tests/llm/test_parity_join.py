@@ -69,6 +69,41 @@ def test_components_equal_those_of_all_pairs(spark, monkeypatch, k, num, block,
     assert got == components(rows, k, num, 100)
 
 
+def edited(words, r, n):
+    """Some words replaced, removed or put in."""
+    words = list(words)
+    for _ in range(n):
+        at, how = r.randrange(len(words)), r.randrange(3)
+        words[at : at + (how > 0)] = [] if how == 1 and len(words) > 1 else [f"new{r.randrange(10**9)}"]
+    return words
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_no_link_of_short_texts_is_lost(spark, k, num):
+    """Thousands of pairs that differ by appended words, and by edits anywhere: the few common pieces may be empty ones."""
+    r = random.Random(num)
+    texts, pairs = [], []
+    for size in range(3, 24):
+        for more in (1, 2, 3):
+            for _ in range(60):
+                words = [f"w{r.randrange(10**9)}" for _ in range(size + k - 1)]
+                pairs.append((words, words + [f"w{r.randrange(10**9)}" for _ in range(more)]))
+    for _ in range(1500):
+        words = [f"w{r.randrange(10**9)}" for _ in range(r.randrange(8, 60))]
+        pairs.append((words, edited(words, r, r.randrange(1, 4))))
+    for a, b in pairs:
+        texts += [(len(texts), " ".join(a)), (len(texts) + 1, " ".join(b))]
+    out = parity_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), spark, parity_join.Similarity(k=k, num=num))
+    got = {x["doc_id"]: x["component_id"] for x in out.collect()}
+    linked = 0
+    for i in range(0, len(texts), 2):
+        a, b = (shingles(t, k) for _, t in texts[i : i + 2])
+        alike = 100 * len(a & b) >= num * len(a | b)
+        linked += alike
+        assert (got[i], got[i + 1]) == ((i, i) if alike else (i, i + 1)), texts[i : i + 2]
+    assert linked >= 2000
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(0)
     for n in (5, 50, 900):
