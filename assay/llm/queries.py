@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe_codec, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count, warc
+from assay.llm import bit_sliced_topk, bpe_codec, hard_negatives, langmask, licenses, media, mixing, ngram_rules, parity_join, pu_quality, token_count, turn_repair, warc
 from assay.llm.common import crc_bucket
 
 BPE = "byte_bpe_50k.json"
@@ -83,6 +83,23 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), spark)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, spark, label, F.col("vec_id") % 50 == 0)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.repair(turn_repair.damage(turns), spark, turns)
+    return turn_repair.with_digests(found)
+
+
+def op13_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bit_sliced_topk.top_k(rows, spark, F.col("vec_id") % 50 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports the operators of this package
 
@@ -101,9 +118,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_masks": op8_language_masks,
         "op9_license_scan": op9_license_scan,
         "op10_source_mix": op10_source_mix,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_turn_repair": op12_turn_repair,
+        "op13_bit_sliced_topk": op13_bit_sliced_topk,
         "pipeline": pipeline,
     }
 
 
+_VECTORS = """v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x, CAST(label AS BIGINT) AS own FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)"""
+_LINKS = r"""w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT i, j FROM c JOIN n a ON a.doc_id = i JOIN n b ON b.doc_id = j WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+    l AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+    r(doc_id, root) AS (SELECT DISTINCT i, i FROM l UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.doc_id WHERE r.root < l.j)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_parity_join": f"""WITH RECURSIVE {_LINKS}
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, d.doc_id) AS component_id FROM documents d
+            LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id) m USING (doc_id)""",
+        "op11_hard_negatives": f"""WITH {_VECTORS},
+            e AS (SELECT vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (own + 1) % 10 ELSE own END AS label FROM v WHERE own IS NOT NULL),
+            s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score, a.label = b.label AS same FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+            p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+            SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+            QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 3""",
+        "op13_bit_sliced_topk": f"""WITH {_VECTORS},
+            s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    }
