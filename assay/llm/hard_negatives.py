@@ -169,7 +169,7 @@ def longs(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
 
 
-def mine(df: DataFrame, spark: SparkSession, label: Column, anchors: Column, k_positive: int = 5, k_negative: int = 3, window: tuple[int, int] = (50, 95), vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def mine(df: DataFrame, spark: SparkSession, label: Column, anchors: Column, k_positive: int = 5, k_negative: int = 3, window: tuple[int, int] = (50, 95), vec_id: str = "vec_id", vector: str = "embedding", codewords: int = CODEWORDS) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows of df where `anchors` holds.
 
     A row's score is its integer inner product with the anchor, components counting as floor(256 * x); higher scores come
@@ -187,7 +187,7 @@ def mine(df: DataFrame, spark: SparkSession, label: Column, anchors: Column, k_p
     cut = width // 2
     sample = rows.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE_ROWS).select("x").collect()  # a stated bound
     some = np.array([[*r["x"], *[0] * (width - len(r["x"]))] for r in sample], float).reshape(len(sample), width)
-    books = (codebook(some[:, :cut]), codebook(some[:, cut:])) if len(some) else (np.zeros((0, cut)), np.zeros((0, width - cut)))
+    books = (codebook(some[:, :cut], codewords), codebook(some[:, cut:], codewords)) if len(some) else (np.zeros((0, cut)), np.zeros((0, width - cut)))
     queries = rows.where("asks").drop("asks")
     rows = rows.drop("asks")
 
