@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
         a.add_argument(f"--{name}", type=int, default=value)
     a.add_argument("--out", required=True)
     a.add_argument("--findings", help="a path for the findings as Parquet")
+    a.add_argument("--cross-check", action="store_true", help="also flag rows by confident learning")
     v = commands.add_parser("preview")
     v.add_argument("--csv", required=True)
     v.add_argument("--out", required=True)
@@ -55,7 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or session()
     if args.command == "audit":
         export.refuse_overwrite([args.out], args.csv or args.images)
-        options = {"n_splits": args.folds, "n_neighbors": args.neighbors, "seed": args.seed}
+        options = {"n_splits": args.folds, "n_neighbors": args.neighbors, "seed": args.seed, "cross_check": args.cross_check}
         if args.csv:
             df = tables.read_csv(spark, args.csv)
             label = args.label or audit.preparation.suggest_label([c for c in df.columns if c != "source_index"])

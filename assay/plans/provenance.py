@@ -83,7 +83,8 @@ def manifest(audit, source: dict) -> dict:
 
 def report(audit, source: dict, findings: str | None = None, most_rows: int = MOST_ROWS) -> dict:
     """The report of an audit, for a JSON file. More than most_rows findings don't go through the driver: Spark writes
-    them as Parquet to the path `findings`, and the report names it."""
+    them as Parquet to the path `findings`, and the report names it. The indices that the cross-check flags are listed
+    under the same limit; beyond, the column cross_check of the findings has them."""
     many = audit.findings.count() > most_rows
     if many and not findings:
         raise ValueError(f"more than {most_rows} findings: a path for them is needed")
@@ -91,12 +92,17 @@ def report(audit, source: dict, findings: str | None = None, most_rows: int = MO
         audit.findings.write.mode("overwrite").parquet(findings)
     stats = [r.asDict() for r in audit.class_stats.orderBy("class_index").collect()]
     cells = {(r["given_label"], r["confident_label"]): r["n"] for r in audit.joint.collect()}
+    check = dict(audit.cross_check)
+    if audit.flagged is not None:
+        check["n_flagged"] = audit.flagged.count()
+        first = audit.flagged.orderBy("self_confidence", "source_index").select("source_index") if check["n_flagged"] <= most_rows else None
+        check["flagged_indices"] = [r[0] for r in first.toLocalIterator()] if first is not None else []
     return {
         "class_names": audit.names,
         "thresholds": [s["threshold"] for s in stats],
         "confident_joint": [[cells[a, b] for b in audit.names] for a in audit.names],
         "noise_rates": {s["class_name"]: s["noise_rate"] for s in stats},
-        "cross_check": audit.cross_check,
+        "cross_check": check,
         "n_splits": audit.n_splits,
         "seed": audit.seed,
         "summary": audit.summary().first().asDict(),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.arrays import unit_hash
-from assay.operators import folds, labels, metrics, model, neighbors, noise, preparation, review, scoring
+from assay.operators import crosscheck, folds, labels, metrics, model, neighbors, noise, preparation, review, scoring
 from assay.plans import audit as audits
 from assay.plans import benchmark, provenance
 
@@ -182,6 +182,19 @@ def confident_joint(spark, sf_dir):
     return _scored(spark, sf_dir)[0].joint
 
 
+def calibrated_joint(spark, sf_dir):
+    df, names = vectors(spark, sf_dir)
+    label = F.array(*map(F.lit, names))
+    cells = crosscheck.calibrated_joint(with_proba(df), names)
+    return cells.select(F.element_at(label, F.col("y") + 1).alias("given_label"), F.element_at(label, F.col("other") + 1).alias("other_label"), "confident", "n")
+
+
+def cross_check(spark, sf_dir):
+    """The rows that the cross-check flags, with the class that it suggests."""
+    df, names = vectors(spark, sf_dir)
+    return rounded(crosscheck.label_issues(with_proba(df), names))
+
+
 def _ensemble(spark, sf_dir):
     df, names, near = _near(spark, sf_dir)
     scored = scoring.score(with_proba(df), names)
@@ -321,7 +334,7 @@ def benchmark_lang(spark, sf_dir):
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     class_dimension, class_counts_minority, infer_kinds_documents, infer_kinds_customer, prepare_customer, prepare_documents,
     stratified_folds, fold_standardize, standardized_fold, one_hot_fold, tfidf_terms, tfidf_terms_all, tfidf_weights, knn_neighbors, knn_disagreement, score_rows, class_thresholds,
-    confident_joint, ensemble_rank, audit_summary, noise_uniform, noise_class_conditional, precision_recall_at_k, auroc, ranking_report,
+    confident_joint, calibrated_joint, cross_check, ensemble_rank, audit_summary, noise_uniform, noise_class_conditional, precision_recall_at_k, auroc, ranking_report,
     review_budget, review_by_class, review_filter, review_page, review_topk, export_cleaned, export_log, export_counts, content_hash,
     audit_matrix, audit_table, audit_text, benchmark_lang,
 ]
@@ -366,6 +379,15 @@ _S = """
     s2 AS (SELECT *, sc - alt AS margin, CAST(CASE WHEN list_max(m) >= 0 THEN list_position(m, list_max(m)) ELSE list_position(p, list_max(p)) END - 1 AS INTEGER) AS cp,
              CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred FROM sc),
     s3 AS (SELECT *, cp <> y AS off, 0.45 * (1 - sc) + 0.40 * (1 - margin) / 2 + 0.15 * CAST(cp <> y AS INTEGER) AS cl FROM s2)"""
+# the most probable class among those that reach their threshold; counts scaled to the rows of a label by largest remainders
+_X = """
+    cf AS (SELECT y, CASE WHEN list_max(m) >= 0 THEN list_position(m, list_max(m)) - 1 END AS o FROM sc),
+    cj AS (SELECT y, o, count(*) AS c FROM cf GROUP BY y, o),
+    ct AS (SELECT y, sum(c) AS size, coalesce(sum(c) FILTER (o IS NOT NULL), 0) AS sure FROM cj GROUP BY y),
+    cg AS (SELECT a.y, b.y AS other, a.given_label, b.given_label AS other_label, coalesce(c, 0) AS c, size, sure FROM cls a CROSS JOIN cls b JOIN ct ON ct.y = a.y LEFT JOIN cj ON cj.y = a.y AND cj.o = b.y),
+    cw AS (SELECT *, c * size // sure AS whole, c * size % sure AS rest FROM cg),
+    cx AS (SELECT *, CASE WHEN sure = 0 THEN CASE WHEN y = other THEN size ELSE 0 END
+             ELSE whole + CAST(row_number() OVER (PARTITION BY y ORDER BY rest DESC, other) <= size - sum(whole) OVER (PARTITION BY y) AS INTEGER) END AS n FROM cw)"""
 _R = f"""WITH {_N}, {_S},
     s4 AS (SELECT s3.*, knn, round(0.70 * cl + 0.30 * knn, 6) AS ens, round(cl, 6) AS cl6,
              CASE WHEN pred <> y OR (sc < ts[y + 1] AND knn >= 0.5) THEN 'Check' ELSE 'Clean' END AS status FROM s3 JOIN nn USING (source_index)),
@@ -439,6 +461,12 @@ def oracle_sql() -> dict[str, str]:
         "score_rows": f"WITH {_F}, {_S} SELECT source_index, round(sc, 6) AS self_confidence, round(margin, 6) AS normalized_margin, cp AS confident_pred, pred AS predicted, round(list_max(p), 6) AS confidence, off AS off_diagonal, round(cl, 6) AS cl_score FROM s3",
         "class_thresholds": f"WITH {_F}, {_S} SELECT y AS class_index, given_label AS class_name, round(ts[y + 1], 6) AS threshold, round(avg(CAST(off AS DOUBLE)), 6) AS noise_rate, count(*) AS n_rows FROM s3 GROUP BY y, given_label, ts",
         "confident_joint": f"WITH {_F}, {_S} SELECT a.given_label, b.given_label AS confident_label, count(s3.y) AS n FROM cls a CROSS JOIN cls b LEFT JOIN s3 ON s3.y = a.y AND s3.cp = b.y GROUP BY 1, 2",
+        "calibrated_joint": f"WITH {_F}, {_S}, {_X} SELECT given_label, other_label, CAST(c AS BIGINT) AS confident, CAST(n AS BIGINT) AS n FROM cx",
+        "cross_check": f"""WITH {_F}, {_S}, {_X},
+            mg AS (SELECT source_index, sc.y, other, other_label, sc AS own, p[other + 1] - p[sc.y + 1] AS margin, n, list_position(p, list_max(p)) - 1 AS pred FROM sc JOIN cx ON cx.y = sc.y AND cx.other <> cx.y AND n > 0),
+            pk AS (SELECT * FROM mg QUALIFY row_number() OVER (PARTITION BY y, other ORDER BY margin DESC, source_index) <= n)
+            SELECT source_index, other_label AS suggested_label, round(margin, 6) AS margin, round(own, 6) AS self_confidence FROM pk WHERE pred <> y
+            QUALIFY row_number() OVER (PARTITION BY source_index ORDER BY margin DESC, other) = 1""",
         "ensemble_rank": f"{_R} SELECT CAST(rank AS INTEGER) AS rank, source_index, ens AS ensemble_score, cl6 AS cl_score, status FROM rk",
         "audit_summary": f"{_R} SELECT count(*) AS n_rows, CAST(10 AS INTEGER) AS n_classes, count(*) FILTER (status = 'Check') AS n_flagged, round(count(*) FILTER (status = 'Check') / count(*), 6) AS flag_rate FROM rk",
         "noise_uniform": f"WITH {_UNIFORM} SELECT * FROM noisy",
