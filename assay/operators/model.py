@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 from typing import Protocol
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, StringIndexer, VectorAssembler
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.scratch import settled
+from assay.operators import selection, softmax
+
 TERMS = 4000
-ROWS_A_PARTITION = 2000
+ROWS_A_PARTITION = 1000
 WORDS = r"(?U)\b\w\w+\b"
 
 
@@ -26,22 +28,59 @@ class Transform(Protocol):
     def __call__(self, df: DataFrame) -> DataFrame: ...
 
 
-#: Fits on training rows and returns what adds a vector column `z` to any rows.
+#: Fits on training rows and returns what adds a vector column `z` to any rows. One with an attribute `folds` can fit all
+#: folds at once: folds(df, left_out) returns a transform for each number of left_out, fitted on the rows of the other folds.
 Preprocessor = Callable[[DataFrame], Transform]
 
 
-def standardize_matrix(train: DataFrame) -> Transform:
-    """Centre and scale the array column `features` by mean and population deviation; a constant stays unscaled."""
-    s = train.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features")).alias("s")).select("s.*").first()
-    n, mean = s["count"], list(s["mean"])
-    scale = [(v * (n - 1) / n) ** 0.5 if n > 1 and v > 0 else 1.0 for v in s["variance"]]
-    centre, factor = F.array(*map(F.lit, mean)), F.array(*map(F.lit, scale))
+@dataclass
+class Affine:
+    """Centre and scale the array column `features`."""
+
+    centre: np.ndarray
+    scale: np.ndarray
 
-    def transform(df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame) -> DataFrame:
+        centre, factor = (F.array(*[F.lit(float(v)) for v in values]) for values in (self.centre, self.scale))
         centred = F.zip_with(F.col("features").cast("array<double>"), centre, lambda x, m: x - m)
         return df.withColumn("z", array_to_vector(F.zip_with(centred, factor, lambda x, s: x / s)))
 
-    return transform
+
+def merged(parts: list[tuple]) -> tuple:
+    """(number, mean, sum of squares about the mean) of several groups as those of one: no difference of large sums."""
+    n, mean, squares = 0, 0.0, 0.0
+    for m, other, more in parts:
+        if m:
+            apart = other - mean
+            squares = squares + more + apart * apart * (n * m / (n + m))
+            mean = mean + apart * (m / (n + m))
+            n += m
+    return n, mean, squares
+
+
+def one_fold(train: DataFrame) -> DataFrame:
+    """All rows as fold 1, for statistics that leave out no fold."""
+    return train.withColumn("oof_fold", F.lit(1))
+
+
+def standardize_folds(df: DataFrame, left_out: list[int]) -> list[Affine]:
+    """Means and population deviations of every fold's training rows, from one aggregate of each fold."""
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features")).alias("s")
+    per = [(r["oof_fold"], r["count"], r["mean"].toArray(), r["variance"].toArray()) for r in df.groupBy("oof_fold").agg(summary).select("oof_fold", "s.*").collect()]
+    out = []
+    for f in left_out:
+        n, mean, squares = merged([(n, m, v * (n - 1)) for own, n, m, v in per if own != f])
+        variance = squares / max(n, 1) * np.ones(np.shape(mean))
+        out.append(Affine(mean, np.sqrt(np.where(variance > 0, variance, 1.0))))
+    return out
+
+
+def standardize_matrix(train: DataFrame) -> Transform:
+    """Centre and scale the array column `features` by mean and population deviation; a constant stays unscaled."""
+    return standardize_folds(one_fold(train), [0])[0]
+
+
+standardize_matrix.folds = standardize_folds
 
 
 def terms_of(text: Column) -> Column:
@@ -56,22 +95,67 @@ def terms_of(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), both), 1)
 
 
-def vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
-    """(term, n, df) of rows that are a document each: the most frequent terms, ties by term. Occurrences and rows of a
-    term are summed before the shuffle."""
+def term_counts(df: DataFrame, column: str) -> DataFrame:
+    """(oof_fold, term, n, df) of rows that are a document each; occurrences and rows of a term are summed before the shuffle."""
     both = F.element_at(F.transform(F.array(terms_of(F.col(f"`{column}`"))), lambda w: F.array(w, F.array_distinct(w))), 1)
-    terms = train.select(F.posexplode(both).alias("once", "terms")).select("once", F.explode("terms").alias("term"))
-    per = terms.groupBy("term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("df"))
-    return per.orderBy(F.desc("n"), "term").limit(size)
+    terms = df.select("oof_fold", F.posexplode(both).alias("once", "terms")).select("oof_fold", "once", F.explode("terms").alias("term"))
+    return terms.groupBy("oof_fold", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("df"))
+
+
+def vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
+    """(term, n, df): the most frequent terms, ties by term."""
+    return term_counts(one_fold(train), column).select("term", "n", "df").orderBy(F.desc("n"), "term").limit(size)
+
+
+def fold_vocabularies(df: DataFrame, column: str, left_out: list[int], size: int = TERMS) -> list[list]:
+    """The vocabulary of the training rows of every fold. Texts are cut once: a fold's counts are those of all rows less
+    its own, and each vocabulary is a top-k of the written table of terms."""
+    own = term_counts(df, column)
+    less = [F.sum(F.when(F.col("oof_fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in left_out for c in ("n", "df")]
+    table = settled(own.groupBy("term").agg(*less))
+    tops = [table.where(F.col(f"n{f}") > 0).select("term", F.col(f"n{f}").alias("n"), F.col(f"df{f}").alias("df")).orderBy(F.desc("n"), "term").limit(size) for f in left_out]
+    return [t.collect() for t in tops]  # size rows each
+
+
+def fold_numeric_statistics(df: DataFrame, columns: list[str], left_out: list[int]) -> list[list[tuple[str, float | None, float | None, float | None]]]:
+    """For each fold that is left out (column, median, mean, population deviation) of the other rows. Mean and deviation
+    count missing values as the median; a column without values has none of them.
+
+    Moments come from one aggregate of each fold. Medians come from counts by stretches of values of all folds and columns at
+    once (see selection): no task holds a column.
+    """
+    parts = [f(filled(c, None)).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.count, F.avg, F.var_pop)]
+    own = df.groupBy("oof_fold").agg(F.count("*").alias("rows"), *parts).collect()
+    known = {(f, i): sum(r[f"count{i}"] for r in own if r["oof_fold"] != f) for f in left_out for i in range(len(columns))}
+    needs = [(f, i, side, (n + 1 + side) // 2) for (f, i), n in known.items() if n for side in (0, 1)]
+    medians: dict[tuple[int, int], float] = {}
+    if needs:
+        spark = df.sparkSession
+        values = F.array(*[F.struct(F.lit(i).alias("i"), filled(c, None).alias("x")) for i, c in enumerate(columns)])
+        others = F.filter(F.array(*map(F.lit, left_out)), lambda f: f != F.col("oof_fold"))
+        rows = df.select(others.alias("others"), F.inline(values)).where("x is not null").select("i", "x", F.explode("others").alias("f"))
+        rows = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        middle = selection.kth_largest(rows, spark.createDataFrame(needs, "f int, i int, side int, need long"), ["f", "i", "side"], "x")
+        for r in middle.collect():
+            medians[r["f"], r["i"]] = medians.get((r["f"], r["i"]), 0.0) + 0.5 * r["kth"]
+    out = []
+    for f in left_out:
+        stats = []
+        for i, c in enumerate(columns):
+            median = medians.get((f, i))
+            if median is None:
+                stats.append((c, None, None, None))
+                continue
+            rest = [r for r in own if r["oof_fold"] != f]
+            groups = [(r[f"count{i}"], r[f"avg{i}"], r[f"var_pop{i}"] * r[f"count{i}"]) for r in rest if r[f"count{i}"]]
+            n, mean, squares = merged([*groups, (sum(r["rows"] for r in rest) - known[f, i], median, 0.0)])
+            stats.append((c, median, mean, (squares / n) ** 0.5))
+        out.append(stats)
+    return out
 
 
 def numeric_statistics(train: DataFrame, columns: list[str]) -> list[tuple[str, float | None, float | None, float | None]]:
-    """(column, median, mean, population deviation) of training rows; mean and deviation count missing values as the
-    median, and a column without values has none of them."""
-    medians = train.agg(*[F.percentile(filled(c, None), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    parts = [f(filled(c, medians[i])).alias(f"{f.__name__}{i}") for i, c in enumerate(columns) for f in (F.avg, F.stddev_pop)]
-    s = train.agg(*parts).first()
-    return [(c, medians[i], s[f"avg{i}"], s[f"stddev_pop{i}"]) for i, c in enumerate(columns)]
+    return fold_numeric_statistics(one_fold(train), columns, [0])[0]
 
 
 def filled(column: str, median: float | None) -> Column:
@@ -79,48 +163,71 @@ def filled(column: str, median: float | None) -> Column:
     return F.coalesce(F.when(~F.isnan(value), value), F.lit(median).cast("double"))
 
 
+def fold_levels(df: DataFrame, columns: list[str], left_out: list[int]) -> list[list[list[str]]]:
+    """For each fold that is left out and each column the levels of the other rows, in order."""
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("level")) for i, c in enumerate(columns)])
+    found = df.select("oof_fold", F.inline(values)).where("level is not null").groupBy("i", "level").agg(F.collect_set("oof_fold").alias("folds")).collect()
+    return [[sorted(r["level"] for r in found if r["i"] == i and set(r["folds"]) - {f}) for i in range(len(columns))] for f in left_out]
+
+
 def table_preprocessor(kinds: dict[str, list[str]]) -> Preprocessor:
     """Numbers: median for missing ones, then standardised. Categories: one slot a training level, none for others.
     Texts: tf-idf of words and pairs, of unit length."""
+    numeric, categorical, texts = kinds["numeric"], kinds["categorical"], kinds["text"]
 
-    def fit(train: DataFrame) -> Transform:
+    def folds(df: DataFrame, left_out: list[int]) -> list[Transform]:
+        statistics = fold_numeric_statistics(df, numeric, left_out) if numeric else [[] for _ in left_out]
+        levels = fold_levels(df, categorical, left_out) if categorical else [[] for _ in left_out]
+        sizes = {r["oof_fold"]: r["count"] for r in df.groupBy("oof_fold").count().collect()} if texts else {}
+        terms = [fold_vocabularies(df, c, left_out) for c in texts]
+        sample = df.limit(1)
+        return [one(sample, statistics[j], levels[j], [t[j] for t in terms], sum(n for g, n in sizes.items() if g != f)) for j, f in enumerate(left_out)]
+
+    def one(sample: DataFrame, statistics: list[tuple], levels: list[list[str]], vocabularies: list[list], n: int) -> Transform:
         stages: list[Transform] = []
         parts: list[str] = []
-        numeric = kinds["numeric"]
-        if numeric:
-            known = [x for x in numeric_statistics(train, numeric) if x[1] is not None]  # a column without values goes
-            if known:
-                scaled = [(filled(c, median) - mean) / (deviation or 1.0) for c, median, mean, deviation in known]
-                stages.append(lambda df: df.withColumn("__num", array_to_vector(F.array(*scaled))))
-                parts.append("__num")
-        if kinds["categorical"]:
-            index = [f"__i{i}" for i in range(len(kinds["categorical"]))]
-            hot = [f"__h{i}" for i in range(len(index))]
-            levels = StringIndexer(inputCols=kinds["categorical"], outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
-            encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(levels.transform(train))
-            stages.append(lambda df: encoder.transform(levels.transform(df)).drop(*index))
+        known = [x for x in statistics if x[1] is not None]  # a column without values goes
+        if known:
+            scaled = [(filled(c, median) - mean) / (deviation or 1.0) for c, median, mean, deviation in known]
+            stages.append(lambda df: df.withColumn("__num", array_to_vector(F.array(*scaled))))
+            parts.append("__num")
+        sure = [(i, c, own) for i, (c, own) in enumerate(zip(categorical, levels)) if own]
+        if sure:
+            index, hot = [f"__i{i}" for i, _, _ in sure], [f"__h{i}" for i, _, _ in sure]
+            indexer = StringIndexerModel.from_arrays_of_labels([own for _, _, own in sure], inputCols=[c for _, c, _ in sure], outputCols=index, handleInvalid="keep")
+            encoder = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True).fit(indexer.transform(sample))  # reads the names of the levels, no rows
+            stages.append(lambda df: encoder.transform(indexer.transform(df)).drop(*index))
             parts += hot
-        n = train.count() if kinds["text"] else 0
-        for i, c in enumerate(kinds["text"]):
-            found = vocabulary(train, c).collect()  # TERMS rows at most
+        for i, (c, found) in enumerate(zip(texts, vocabularies)):
             if not found:
                 continue
-            counter = CountVectorizerModel.from_vocabulary([r["term"] for r in found], inputCol="__terms", outputCol="__tf")
+            counter = CountVectorizerModel.from_vocabulary([r["term"] for r in found], inputCol=f"__terms{i}", outputCol="__tf")
             weights = Vectors.dense([log((1 + n) / (1 + r["df"])) + 1 for r in found])
             scale = ElementwiseProduct(scalingVec=weights, inputCol="__tf", outputCol="__tfidf")
             unit = Normalizer(p=2.0, inputCol="__tfidf", outputCol=f"__t{i}")
 
-            def text(df: DataFrame, c=c, counter=counter, scale=scale, unit=unit) -> DataFrame:
-                counted = counter.transform(df.withColumn("__terms", terms_of(F.col(f"`{c}`"))))
-                return unit.transform(scale.transform(counted)).drop("__terms", "__tf", "__tfidf")
+            def text(df: DataFrame, counter=counter, scale=scale, unit=unit) -> DataFrame:
+                return unit.transform(scale.transform(counter.transform(df))).drop("__tf", "__tfidf")
 
             stages.append(text)
             parts.append(f"__t{i}")
         if not parts:
             raise ValueError("no feature has values in the training rows")
         joined = VectorAssembler(inputCols=parts, outputCol="z")
-        return lambda df: joined.transform(reduce(lambda d, f: f(d), stages, df)).drop(*parts)
 
+        def transform(df: DataFrame) -> DataFrame:
+            cut = {f"__terms{i}": terms_of(F.col(f"`{c}`")) for i, c in enumerate(texts)}
+            given = set(df.columns)
+            rows = df.withColumns({name: terms for name, terms in cut.items() if name not in given})
+            return joined.transform(reduce(lambda d, f: f(d), stages, rows)).drop(*parts, *(set(cut) - given))
+
+        transform.cut = {f"__terms{i}": terms_of(F.col(f"`{c}`")) for i, c in enumerate(texts)}
+        return transform
+
+    def fit(train: DataFrame) -> Transform:
+        return folds(one_fold(train), [0])[0]
+
+    fit.folds = folds
     return fit
 
 
@@ -138,31 +245,50 @@ def out_of_fold(
     columns: list[str],
     max_iter: int = 400,
     tol: float = 1e-6,
-    parallelism: int = 4,
     progress: Callable[[str], None] = lambda _: None,
 ) -> tuple[DataFrame, list[Fold]]:
     """Class probabilities of rows with y and oof_fold, each from a model that hasn't seen the row's fold.
 
-    Returns `columns` with proba, and each fold's transformed rows (all rows, in the space fitted on its
-    training rows) for the neighbour search. Preprocessor and model are fitted anew in every fold.
+    Returns `columns` with proba, and each fold's transformed rows (all rows, in the space fitted on its training rows)
+    for the neighbour search. Preprocessors are fitted on the training rows of each fold: for all folds at once if they
+    can (see Preprocessor), else one by one. Rows are written once, with a vector for each fold, or as they are where
+    folds only centre and scale them; then all models are fitted together, a job a step.
     """
-
-    def one(f: int) -> tuple[DataFrame, Fold]:
-        progress(f"fold {f} of {k}")
-        train = df.where(F.col("oof_fold") != f)
-        z = preprocessor(train)(df)
-        z = z.select(*columns, "y", "oof_fold", "z").cache()
-        fitting = z.where(F.col("oof_fold") != f)
-        n = fitting.count()
-        # every step of the solver is a job: a small training set in many partitions pays for their scheduling
-        fitting = fitting.coalesce(max(1, n // ROWS_A_PARTITION))
-        model = LogisticRegression(featuresCol="z", labelCol="y", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(fitting)
-        held = model.transform(z.where(F.col("oof_fold") == f))
-        proba = vector_to_array("probability")
-        if model.numClasses < n_classes:
-            proba = F.concat(proba, F.array_repeat(F.lit(0.0), n_classes - model.numClasses))
-        return held.select(*columns, "y", "oof_fold", proba.alias("proba")), Fold(f, z)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(one, range(1, k + 1)))
-    return reduce(DataFrame.unionByName, [d for d, _ in done]), [f for _, f in done]
+    numbers = list(range(1, k + 1))
+    if hasattr(preprocessor, "folds"):
+        progress(f"preprocessing of {k} folds")
+        transforms = preprocessor.folds(df, numbers)
+    else:
+        transforms = []
+        for f in numbers:
+            progress(f"fold {f} of {k}")
+            transforms.append(preprocessor(df.where(F.col("oof_fold") != f)))
+    keep = [*columns, "y", "oof_fold"]
+    if all(isinstance(t, Affine) for t in transforms):
+        rows = settled(df.select(*keep, array_to_vector(F.col("features").cast("array<double>")).alias("z1")))
+        spaces = [softmax.Space("z1", t.centre, t.scale) for t in transforms]
+        widths = [len(t.centre) for t in transforms]
+        each = [Fold(f, t(rows.withColumn("features", vector_to_array("z1"))).select(*keep, "z")) for f, t in zip(numbers, transforms)]
+    else:
+        wide = df.withColumns(getattr(transforms[0], "cut", {}))
+        for f, t in zip(numbers, transforms):
+            wide = t(wide).withColumnRenamed("z", f"z{f}")
+        names = [f"z{f}" for f in numbers]
+        rows = settled(wide.select(*keep, *names))
+        spaces = [softmax.Space(z) for z in names]
+        sizes = vector_sizes(rows, names)
+        widths = [sizes[z] for z in names]
+        each = [Fold(f, rows.select(*keep, F.col(z).alias("z"))) for f, z in zip(numbers, names)]
+    tasks = max(1, rows.count() // ROWS_A_PARTITION)
+    progress("models of all folds")
+    # every step of the solver is a job: a small table in many partitions pays for their scheduling
+    fitted = rows.select("y", "oof_fold", *dict.fromkeys(s.column for s in spaces)).coalesce(tasks).persist()
+    weights = softmax.fit(fitted, spaces, widths, n_classes, max_iter, tol, tasks)
+    fitted.unpersist()
+    return softmax.predict(rows, spaces, weights, columns), each
+
+
+def vector_sizes(rows: DataFrame, names: list[str]) -> dict[str, int]:
+    """The length of each vector column, as its first row has it."""
+    first = rows.select(*names).first()
+    return {z: first[z].size if first else 0 for z in names}

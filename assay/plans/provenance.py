@@ -27,14 +27,23 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in columns]), 256)
 
 
-def content_hash(df: DataFrame, order: str = "source_index", group: int = 10_000) -> DataFrame:
-    """One row (content_sha256): of the names and of all rows in order. Rows are hashed, then groups of
-    neighbouring rows, then the groups, so that no task gathers all rows."""
+def content_hash(df: DataFrame, order: str = "source_index", fan_in: int = 1000) -> DataFrame:
+    """One row (content_sha256): of the names and the root of a hash tree over all rows.
+
+    Rows are hashed, then stretches of fan_in numbers of `order` (0 and up, each once), then fan_in of those, until one is
+    left: no group at any level holds more than fan_in hashes. Empty stretches are left out.
+    """
     columns = [c for c in df.columns if c != order]
-    rows = df.select(F.col(order).alias("__o"), row_hash(columns).alias("h"))
-    lines = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["h"]), "\n")
-    groups = rows.groupBy(F.floor(F.col("__o") / group).alias("__g")).agg(F.sha2(lines(F.struct("__o", "h")), 256).alias("h"))
-    return groups.agg(F.sha2(F.concat(F.lit(",".join(columns)), F.lit("\n"), lines(F.struct("__g", "h"))), 256).alias("content_sha256"))
+    level = df.select(F.col(order).cast("long").alias("o"), row_hash(columns).alias("h"))
+    last = df.agg(F.max(order)).first()[0]
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), "\n")
+    while True:
+        level = level.groupBy(F.floor(F.col("o") / fan_in).alias("g")).agg(F.sha2(lines, 256).alias("h")).withColumnRenamed("g", "o")
+        last = (last or 0) // fan_in
+        if not last:
+            break
+    root = level.agg(F.coalesce(F.max("h"), F.lit("")).alias("h"))  # of one row, or none
+    return root.select(F.sha2(F.concat(F.lit(",".join(columns)), F.lit("\n"), F.col("h")), 256).alias("content_sha256"))
 
 
 def table_source(df: DataFrame, path: str | None = None) -> dict:

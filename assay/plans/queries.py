@@ -96,11 +96,10 @@ def _customer_folds(spark, sf_dir):
 
 def fold_standardize(spark, sf_dir):
     """The statistics by which the preprocessor of tables fills and scales a number, from the training rows of each fold."""
-    df, stats = _customer_folds(spark, sf_dir), []
-    for f in range(1, FOLDS + 1):
-        train = df.where(F.col("oof_fold") != f)
-        _, median, mean, deviation = model.numeric_statistics(train, ["c_acctbal"])[0]
-        stats.append((f, median, mean, deviation, train.count()))
+    df, numbers = _customer_folds(spark, sf_dir), list(range(1, FOLDS + 1))
+    sizes = {r["oof_fold"]: r["count"] for r in df.groupBy("oof_fold").count().collect()}
+    found = zip(numbers, model.fold_numeric_statistics(df, ["c_acctbal"], numbers))
+    stats = [(f, *x[1:], sum(sizes.values()) - sizes[f]) for f, (x,) in found]
     return rounded(spark.createDataFrame(stats, "fold int, median double, mean double, deviation double, n long"))
 
 
@@ -111,12 +110,9 @@ def standardized_fold(spark, sf_dir):
 
 
 def _held_out(spark, sf_dir, kinds, *columns):
-    df = _customer_folds(spark, sf_dir)
-    each = []
-    for f in range(1, FOLDS + 1):
-        transform = model.table_preprocessor(kinds)(df.where(F.col("oof_fold") != f))
-        each.append(transform(df.where(F.col("oof_fold") == f)).select("source_index", "oof_fold", *columns))
-    return functools.reduce(DataFrame.unionByName, each)
+    df, numbers = _customer_folds(spark, sf_dir), list(range(1, FOLDS + 1))
+    transforms = zip(numbers, model.table_preprocessor(kinds).folds(df, numbers))
+    return functools.reduce(DataFrame.unionByName, [t(df.where(F.col("oof_fold") == f)).select("source_index", "oof_fold", *columns) for f, t in transforms])
 
 
 def one_hot_fold(spark, sf_dir):
@@ -488,6 +484,7 @@ def oracle_sql() -> dict[str, str]:
         "export_log": f"{_D} SELECT source_index, given_label AS original_label, action, CASE action WHEN 'relabel' THEN '3' WHEN 'keep' THEN given_label END AS exported_label FROM dc",
         "export_counts": f"{_D} SELECT count(*) AS n_in, count(*) FILTER (action <> 'drop') AS n_out, count(*) FILTER (action = 'drop') AS n_dropped, count(*) FILTER (action = 'relabel') AS n_relabeled, count(*) FILTER (action = 'keep') AS n_kept FROM dc",
         "content_hash": """WITH r AS (SELECT c_custkey AS o, sha256(concat_ws(chr(31), coalesce('v' || c_name, 'n'), coalesce('v' || c_nationkey, 'n'), coalesce('v' || c_mktsegment, 'n'))) AS h FROM customer),
-            g AS (SELECT floor(o / 10000) AS g, sha256(string_agg(h, chr(10) ORDER BY o, h)) AS h FROM r GROUP BY 1)
-            SELECT sha256('c_name,c_nationkey,c_mktsegment' || chr(10) || string_agg(h, chr(10) ORDER BY g)) AS content_sha256 FROM g""",
+            g AS (SELECT o // 1000 AS o, sha256(string_agg(h, chr(10) ORDER BY o, h)) AS h FROM r GROUP BY 1),
+            t AS (SELECT sha256(string_agg(h, chr(10) ORDER BY o)) AS h FROM g GROUP BY o // 1000)
+            SELECT sha256('c_name,c_nationkey,c_mktsegment' || chr(10) || max(h)) AS content_sha256 FROM t""",
     }
