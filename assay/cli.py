@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.log:
             print(export.export_review(df, args.label, decisions, args.out, args.log, args.source))
         else:
-            print(export.export_parts(df, args.label, decisions, args.out))
+            print(export.export_parts(df, args.label, decisions, args.out, source=args.source))
     return 0
 
 

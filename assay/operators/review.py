@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import socket
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.files import Files
+from assay.functions.scratch import settled
+
 ACTIONS = ("keep", "relabel", "drop")
 PAGE = 8
 
@@ -39,22 +44,52 @@ def finding(findings: DataFrame, source_index: int) -> DataFrame:
     return findings.where(F.col("source_index") == source_index).limit(1)
 
 
-DECISION_LOG = "source_index long, action string, new_label string, seq long"
+DECISION_LOG = "source_index long, action string, new_label string, seq long, writer string"
+#: Files of a log from which it is compacted.
+MANY_FILES = 64
 
 
-def record_decision(spark: SparkSession, log: str, source_index: int, action: str = "keep", new_label: str | None = None) -> DataFrame:
+def record_decision(spark: SparkSession, log: str, source_index: int, action: str = "keep", new_label: str | None = None, writer: str | None = None) -> DataFrame:
     """Append a decision to the Parquet log at a path, and return the log; the last decision on a row holds.
 
     An unknown action, or a relabel without a label, is an error, and nothing is written. Of the label, blanks at its
-    ends go; other actions have none. seq is the time in nanoseconds, so that several reviewers may append.
+    ends go; other actions have none. seq is the time in nanoseconds, so that several reviewers may append; decisions of
+    one time are in order of their writers, then of their content.
     """
-    new_label = (new_label or "").strip() if action == "relabel" else None
-    row = spark.createDataFrame([(int(source_index), action, new_label, time.time_ns())], DECISION_LOG)
-    check_decisions(row)
-    row.coalesce(1).write.mode("append").parquet(log)
+    row = spark.createDataFrame([(int(source_index), action, new_label)], "source_index long, action string, new_label string")
+    return record_decisions(spark, log, row, writer)
+
+
+def record_decisions(spark: SparkSession, log: str, decisions: DataFrame, writer: str | None = None, seq: int | None = None) -> DataFrame:
+    """Append decisions (source_index, action, new_label) of one time and writer, and compact a log of many files."""
+    label = F.when(F.col("action") == "relabel", F.trim("new_label"))
+    who = writer or f"{socket.gethostname()}:{os.getpid()}"
+    rows = decisions.select(F.col("source_index").cast("long").alias("source_index"), "action", label.alias("new_label"), F.lit(seq or time.time_ns()).alias("seq"), F.lit(who).alias("writer"))
+    check_decisions(rows)
+    rows.coalesce(1).write.mode("append").parquet(log)
+    if len(Files(spark).names(log)) >= MANY_FILES:
+        compact_log(spark, log)
+    return read_log(spark, log)
+
+
+def read_log(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(DECISION_LOG).parquet(log)
 
 
+def compact_log(spark: SparkSession, log: str) -> None:
+    """Write the last decision on every row as one snapshot beside the files of a log, and remove those.
+
+    Nothing is lost if it is cut off: the snapshot repeats decisions, which changes no last one. Decisions appended
+    meanwhile are in files of their own, and stay. A reader of a file that goes must read again.
+    """
+    files = Files(spark)
+    old = [f"{log.rstrip('/')}/{n}" for n in files.names(log)]
+    held = settled(_last(spark.read.schema(DECISION_LOG).parquet(*old)))
+    held.repartitionByRange("source_index").write.mode("append").parquet(log)
+    for path in old:
+        files.delete(path)
+
+
 def export_label(kind: str, columns: list[str], stored: str | None) -> tuple[str, dict]:
     """The label column that an export of a saved audit writes to, and how it was found.
 
@@ -73,9 +108,15 @@ def export_label(kind: str, columns: list[str], stored: str | None) -> tuple[str
 
 
 def last_decisions(log: DataFrame) -> DataFrame:
-    """The last decision on every row of a log (source_index, action, new_label, seq)."""
-    best = F.max_by(F.struct("action", "new_label"), "seq").alias("d")
-    return log.groupBy("source_index").agg(best).select("source_index", "d.action", "d.new_label")
+    """The last decision on every row of a log (source_index, action, new_label, seq, and writer if there is one)."""
+    return _last(log).select("source_index", "action", "new_label")
+
+
+def _last(log: DataFrame) -> DataFrame:
+    """By seq, then writer, then content: a total order, so that it doesn't matter how the log is read."""
+    log = log if "writer" in log.columns else log.withColumn("writer", F.lit(None).cast("string"))
+    best = F.max(F.struct("seq", F.coalesce("writer", F.lit("")).alias("by"), "action", "new_label", "writer")).alias("d")
+    return log.groupBy("source_index").agg(best).select("source_index", "d.action", "d.new_label", "d.seq", "d.writer")
 
 
 def check_decisions(decisions: DataFrame) -> None:

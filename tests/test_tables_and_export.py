@@ -79,6 +79,76 @@ def test_export_in_parts(spark, tmp_path):
     assert os.listdir(tmp_path) == ["parts"]
 
 
+def test_parts_are_guarded(spark, tmp_path, monkeypatch):
+    source = tmp_path / "in" / "shells.csv"
+    source.parent.mkdir()
+    source.write_text("\n".join(CLEANED) + "\n")
+    d = tables.decisions_frame(spark, DECISIONS)
+    for folder in (str(source), str(source.parent), str(source.parent / "out"), f"file:{tmp_path}/in/../in/shells.csv"):
+        with pytest.raises(export.OverwriteRefused):
+            export.export_parts(frame(spark), "shell", d, folder, source=str(source.parent))
+    folder = str(tmp_path / "out")
+    export.export_parts(frame(spark), "shell", d, folder, {"by": "ann"}, str(source))
+    told = json.load(open(f"{folder}/summary.json"))
+    assert told["source_digest"] == told["source_digest_after"] == export.source_digest(spark, str(source)) and told["images_modified"] is False
+    assert export.check_parts(spark, folder) == []
+    part = next(n for n in sorted(os.listdir(f"{folder}/cleaned")) if n.endswith(".csv"))
+    with open(f"{folder}/cleaned/{part}", "a") as f:
+        f.write("more\n")
+    (tmp_path / "out" / "cleaned" / "part-added.csv").write_text("x")
+    assert export.check_parts(spark, folder) == sorted([f"cleaned/{part}", "cleaned/part-added.csv"])
+    before = export.source_digest(spark, str(source))
+    decided = review.decided
+
+    def tampering(df, decisions):
+        source.write_text(source.read_text().replace("cockle", "cackle"))
+        return decided(df, decisions)
+
+    monkeypatch.setattr(review, "decided", tampering)
+    with pytest.raises(RuntimeError, match="changed"):
+        export.export_parts(frame(spark), "shell", d, str(tmp_path / "late"), source=str(source))
+    monkeypatch.setattr(review, "decided", lambda *_: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        export.export_parts(frame(spark), "shell", d, str(tmp_path / "late"), source=str(source))
+    assert sorted(os.listdir(tmp_path)) == ["in", "out"] and export.source_digest(spark, str(source)) != before
+
+
+def test_log_is_compacted(spark, tmp_path):
+    """Thousands of decisions of several writers, in any order of appends: few files, the same last decisions."""
+    r = np.random.default_rng(3)
+    batches = []
+    for b in range(24):
+        rows = [(int(i), a, "x" if a == "relabel" else None) for i, a in zip(r.integers(0, 900, 420), r.choice(["keep", "drop", "relabel"], 420))]
+        batches.append((rows, int(r.integers(1, 6)), f"writer {b % 4}"))
+    last = {}
+    for rows, seq, who in batches:
+        for i, a, label in rows:
+            last[i] = max(last.get(i, (0, "", "", "")), (seq, who, a, label or ""))
+    for order in (range(24), r.permutation(24)):
+        log = str(tmp_path / f"log{order[1]}")
+        for n, b in enumerate(order):
+            rows, seq, who = batches[b]
+            review.record_decisions(spark, log, spark.createDataFrame(rows, "source_index long, action string, new_label string"), who, seq)
+            if n in (9, 17):
+                review.compact_log(spark, log)
+        review.compact_log(spark, log)
+        assert len([n for n in os.listdir(log) if n.endswith(".parquet")]) <= 4
+        got = {x["source_index"]: (x["action"], x["new_label"] or "") for x in review.last_decisions(review.read_log(spark, log)).collect()}
+        assert got == {i: v[2:] for i, v in last.items()} and review.read_log(spark, log).count() == len(last)
+
+
+def test_kinds_near_the_thresholds(spark):
+    """Numbers of distinct values just below, at and above 40 and half of the rows."""
+    for n in (60, 3000):
+        many = max(40, n // 2)
+        rows = [tuple(f"value-{min(i, d - 1):05d}" for d in (many - 1, many, many + 1, 3, n)) for i in range(n)]
+        df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string")
+        assert preparation.infer_kinds(df) == {"a": "categorical", "b": "categorical", "c": "text", "d": "categorical", "e": "text"}
+    wide = spark.createDataFrame([tuple(f"value-{i % 3}" for _ in range(6))  for i in range(300)], ", ".join(f"c{j} string" for j in range(6)))
+    assert set(preparation.infer_kinds(wide).values()) == {"categorical"}
+    assert "Expand" not in preparation.kind_statistics(wide, wide.columns)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decisions_are_appended(spark, tmp_path):
     log = str(tmp_path / "log")
     for action, label in (("drop", None), ("relabel", " conch "), ("keep", "unused")):
