@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             root = args.images
             if root.lower().endswith(".zip"):  # executors read the files as well
                 root = sinks.extract_zip(root, f"{shared_folder(spark).removeprefix('file:')}/images-{uuid.uuid4().hex}")
-            records = tables.image_records(spark, root)
+            records = images.image_manifest(spark, root)
             found = audit.audit_images(images.image_features(spark, records), **options)
             source = provenance.image_source(images.read_images(spark, records))
         sinks.write_json(args.out, provenance.report(found, source, args.findings))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.functions.files import Files
+from assay.functions.scratch import settled
+
 # Fixed values of the feature vector.
 SIDE, THUMB, BINS, ORIENTATIONS, CELL = 64, 16, 8, 9, 8
 LENGTH = 3 * BINS + THUMB * THUMB + (SIDE // CELL - 1) ** 2 * 4 * ORIENTATIONS
@@ -136,41 +141,116 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def files_of(spark: SparkSession, kind: str, source: str | list[tuple[str, str]]) -> DataFrame:
-    """Files read by a source of Spark, from a folder of class folders (those without a leading dot, by suffix), or as
-    listed with their labels."""
+#: A folder of class folders, rows (image_path, label) of listed files, or a list of such pairs.
+Source = str | DataFrame | list[tuple[str, str]]
+PATH_NAMES, LABEL_NAMES = ("path", "filepath", "file", "filename", "image"), ("label", "class", "target", "y")
+#: Folders that the files of a list may lie in.
+MOST_FOLDERS = 10_000
+
+
+def image_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(image_path, label) of a folder of class folders, or of a CSV file (or a folder with one) that lists paths and labels.
+
+    Spark lists the folders, in whatever file system they are, and reads the list as a table; a listed path is absolute or
+    relative to the list's folder, and one that isn't there is an error that names it. No list of files is made in Python.
+    """
+    files = Files(spark)
+    if not files.exists(root):
+        raise FileNotFoundError(root)
+    if not files.is_folder(root):
+        return _listed(spark, root)
+    folders = [n for n in files.names(root) if files.is_folder(f"{root}/{n}")]
+    if folders:
+        found = with_labels(files_of(spark, "binaryFile", root).select(plain_path(F.col("path")).alias("image_path")), root)
+        if found.isEmpty():
+            raise ValueError("no images in the class folders")
+        return found.select("image_path", "label")
+    lists = [n for n in files.names(root) if n.lower().endswith(".csv")]
+    if len(lists) != 1:
+        raise ValueError("a folder of class folders, or one CSV file, is needed")
+    return _listed(spark, f"{root}/{lists[0]}")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    table = spark.read.option("header", True).option("escape", '"').csv(path)
+    names = {n.lower(): n for n in table.columns}
+    file, label = (next((names[n] for n in known if n in names), None) for known in (PATH_NAMES, LABEL_NAMES))
+    if not file or not label:
+        raise ValueError("a column of paths and one of labels are needed")
+    base = Files(spark).full(path).rpartition("/")[0]
+    named = F.col(f"`{file}`")
+    whole = F.when(named.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), named).otherwise(F.concat_ws("/", F.lit(base), named))
+    rows = settled(table.where(named.isNotNull()).select(normal_path(plain_path(whole)).alias("image_path"), F.coalesce(F.col(f"`{label}`"), F.lit("nan")).alias("label")))
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    there = files_of(spark, "binaryFile", rows).select(plain_path(F.col("path")).alias("image_path"))
+    missing = rows.join(there, "image_path", "left_anti").orderBy("image_path").first()
+    if missing:
+        raise FileNotFoundError(missing["image_path"])
+    return rows
+
+
+@F.pandas_udf(T.StringType())
+def normal_path(paths: pd.Series) -> pd.Series:
+    """Paths without . and .. and double strokes; a scheme and what it names stay."""
+
+    def one(path: str) -> str:
+        scheme, rest = re.match(r"([A-Za-z][A-Za-z0-9+.-]*://[^/]*)?(.*)", path, re.DOTALL).groups()
+        return (scheme or "") + posixpath.normpath(rest or "/")
+
+    return paths.map(one)
+
+
+def folders_of(rows: DataFrame) -> list[str]:
+    """The folders that the files of a list lie in: MOST_FOLDERS at most."""
+    found = rows.select(F.regexp_replace("image_path", "/[^/]*$", "").alias("f")).distinct().limit(MOST_FOLDERS + 1).collect()
+    if len(found) > MOST_FOLDERS:
+        raise ValueError(f"the files of a list lie in more than {MOST_FOLDERS} folders")
+    files = Files(rows.sparkSession)
+    return [f for f in sorted(r["f"] or "/" for r in found) if files.exists(f)]
+
+
+def files_of(spark: SparkSession, kind: str, source: Source) -> DataFrame:
+    """Files read by a source of Spark, from a folder of class folders (those without a leading dot, by suffix), or the
+    folders that a list's files lie in."""
     if isinstance(source, str):
         return spark.read.format(kind).option("pathGlobFilter", PATTERN).load(f"{source}/*/*")
-    return spark.read.format(kind).load(sorted({p for p, _ in source}))
+    if isinstance(source, list):
+        return spark.read.format(kind).load(sorted({p for p, _ in source}))
+    # a glob for each folder names its files alone: those of folders within it are not looked for
+    folders = folders_of(source)
+    if not folders:
+        raise FileNotFoundError(source.first()["image_path"])
+    return spark.read.format(kind).option("pathGlobFilter", PATTERN).load([f"{f}/*" for f in folders])
 
 
-def with_labels(files: DataFrame, source: str | list[tuple[str, str]]) -> DataFrame:
+def with_labels(files: DataFrame, source: Source) -> DataFrame:
     """Rows (image_path, ...) with their labels: the folder, or what the list says; a path that is listed twice comes twice."""
     if isinstance(source, str):
         parts = F.split("image_path", "/")
         shown = ~F.element_at(parts, -1).startswith(".") & ~F.element_at(parts, -2).startswith(".")
         return files.where(shown).withColumn("label", F.element_at(parts, -2))
-    listed = files.sparkSession.createDataFrame(source, "image_path string, label string")
-    return listed.withColumn("image_path", plain_path(F.col("image_path"))).join(files, "image_path")
+    listed = source if isinstance(source, DataFrame) else files.sparkSession.createDataFrame(source, "image_path string, label string")
+    return listed.select(plain_path(F.col("image_path")).alias("image_path"), "label").join(files, "image_path")
 
 
-def read_images(spark: SparkSession, source: str | list[tuple[str, str]]) -> DataFrame:
-    """(image_path, label, content) of a folder of class folders, or of a list of (path, label)."""
+def read_images(spark: SparkSession, source: Source) -> DataFrame:
+    """(image_path, label, content)."""
     files = files_of(spark, "binaryFile", source).select(plain_path(F.col("path")).alias("image_path"), "content")
     return with_labels(files, source).select("image_path", "label", "content")
 
 
-def image_features(spark: SparkSession, source: str | list[tuple[str, str]]) -> DataFrame:
-    """(image_path, label, features) of a folder of class folders or of a list of (path, label).
+def from_pixels(spark: SparkSession, source: Source, made: T.StructField, make: Callable[[np.ndarray], object]) -> DataFrame:
+    """(image_path, label, made): what `make` makes of the pixels of each image, upright.
 
     Spark's image source decodes the files, and their EXIF orientation is applied. A file that cannot be decoded is an
     error that names it: no row is lost.
     """
     pixels = files_of(spark, "image", source).select("image.*").withColumn("image_path", plain_path(F.col("origin")))
-    turn = read_images(spark, source).select("image_path", "content").dropDuplicates(["image_path"])
-    turn = turn.select("image_path", _orientations("content").alias("turn"))
+    turn = files_of(spark, "binaryFile", source).select(plain_path(F.col("path")).alias("image_path"), _orientations("content").alias("turn"))
     df = with_labels(pixels.join(turn, "image_path"), source).select("image_path", "label", "height", "width", "nChannels", "data", "turn")
-    schema = T.StructType([T.StructField("image_path", T.StringType()), T.StructField("label", T.StringType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("image_path", T.StringType()), T.StructField("label", T.StringType()), made])
+    kind = pa.list_(pa.float64()) if isinstance(made.dataType, T.ArrayType) else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,14 +260,23 @@ def image_features(spark: SparkSession, source: str | list[tuple[str, str]]) ->
                     raise ValueError(f"{r['image_path']} is no image that can be decoded")
                 stored = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
                 rgb = np.repeat(stored, 3, axis=2) if r["nChannels"] == 1 else stored[..., 2::-1]  # stored as BGR
-                out[0].append(r["image_path"])
-                out[1].append(r["label"])
-                out[2].append(classic_features(upright(rgb, r["turn"])).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.float64()))], names=schema.names)
+                for column, value in zip(out, (r["image_path"], r["label"], make(upright(rgb, r["turn"])))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], kind)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def image_features(spark: SparkSession, source: Source) -> DataFrame:
+    """(image_path, label, features) of a folder of class folders or of listed images."""
+    return from_pixels(spark, source, T.StructField("features", T.ArrayType(T.DoubleType())), lambda rgb: classic_features(rgb).tolist())
+
+
+def thumbnails(spark: SparkSession, source: Source, side: int = 96) -> DataFrame:
+    """(image_path, label, png): a PNG file of each image, upright, side x side pixels."""
+    return from_pixels(spark, source, T.StructField("png", T.BinaryType()), lambda rgb: png(np.rint(resize(rgb, side, side)).clip(0, 255)))
+
+
 @F.pandas_udf(T.IntegerType())
 def _orientations(contents: pd.Series) -> pd.Series:
     return contents.map(orientation)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.files import Files
 from assay.operators import labels, preparation
-from assay.sources.sinks import plain, write_json
+from assay.sources.sinks import plain
 
 ID = re.compile(r"[0-9a-f]{12}")
 # Rows of a preview and samples of a column.
@@ -47,13 +47,13 @@ def store_table(df: DataFrame, folder: str, kind: str = "table", original_path:
     meta = {"dataset_id": dataset_id, "kind": kind, "original_path": original_path} | describe(df.sparkSession.read.parquet(f"{path}/source"), label)
     if kind == "images":
         meta["suggested_features"] = []
-    write_json(f"{path}/meta.json", meta)
+    Files(df.sparkSession).write_text(f"{path}/meta.json", json.dumps(plain(meta), indent=2, ensure_ascii=False))
     return meta
 
 
-def store_images(spark: SparkSession, records: list[tuple[str, str]], folder: str, original_path: str | None = None) -> dict:
-    """A dataset of listed images: columns path and label."""
-    rows = spark.createDataFrame(records, "path string, label string")
+def store_images(spark: SparkSession, records: DataFrame | list[tuple[str, str]], folder: str, original_path: str | None = None) -> dict:
+    """A dataset of listed images (see images.image_manifest): columns path and label."""
+    rows = records.toDF("path", "label") if isinstance(records, DataFrame) else spark.createDataFrame(records, "path string, label string")
     return store_table(labels.in_order(rows, [F.asc("label"), F.asc("path")], "source_index"), folder, "images", original_path, "label")
 
 
@@ -62,5 +62,4 @@ def load_dataset(spark: SparkSession, folder: str, dataset_id: str) -> tuple[Dat
     if not ID.fullmatch(dataset_id or ""):
         raise ValueError("unknown dataset")
     path = f"{folder}/datasets/{dataset_id}"
-    with open(os.path.join(path, "meta.json"), encoding="utf-8") as f:
-        return spark.read.parquet(f"{path}/source"), json.load(f)
+    return spark.read.parquet(f"{path}/source"), json.loads(Files(spark).read_text(f"{path}/meta.json"))

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import csv
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.operators.labels import with_source_index
+from assay.sources.images import image_manifest
 
 #: Texts that stand for a missing value in a CSV file. Fixed values.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -114,34 +113,6 @@ def load_builtin(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
     return BUILTIN[name][1](spark, seed=seed)
 
 
-PATH_NAMES, LABEL_NAMES = ("path", "filepath", "file", "filename", "image"), ("label", "class", "target", "y")
-
-
 def image_records(spark: SparkSession, root: str) -> list[tuple[str, str]]:
-    """(path, label) of a folder of class folders, or of a CSV file that lists paths and labels."""
-    if os.path.isfile(root):
-        return _image_csv(root)
-    folders = sorted(d for d in os.listdir(root) if os.path.isdir(os.path.join(root, d)) and not d.startswith("."))
-    if folders:
-        kinds = (".png", ".jpg", ".jpeg", ".bmp", ".gif")
-        out = [(os.path.join(root, d, n), d) for d in folders for n in sorted(os.listdir(os.path.join(root, d))) if not n.startswith(".") and n.lower().endswith(kinds)]
-        if not out:
-            raise ValueError("no images in the class folders")
-        return out
-    tables = [n for n in os.listdir(root) if n.lower().endswith(".csv")]
-    if len(tables) != 1:
-        raise ValueError("a folder of class folders, or one CSV file, is needed")
-    return _image_csv(os.path.join(root, tables[0]))
-
-
-def _image_csv(path: str) -> list[tuple[str, str]]:
-    with open(path, newline="", encoding="utf-8") as f:
-        rows = list(csv.DictReader(f))
-    names = {n.lower(): n for n in (rows[0] if rows else {})}
-    file, label = (next((names[n] for n in known if n in names), None) for known in (PATH_NAMES, LABEL_NAMES))
-    if not file or not label:
-        raise ValueError("a column of paths and one of labels are needed")
-    out = [(r[file] if os.path.isabs(r[file]) else os.path.join(os.path.dirname(path), r[file]), r[label]) for r in rows]
-    if missing := [p for p, _ in out if not os.path.isfile(p)]:
-        raise FileNotFoundError(missing[0])
-    return out
+    """The rows of images.image_manifest, in order, as a list: for folders and lists of a few images."""
+    return sorted(map(tuple, image_manifest(spark, root).collect()))

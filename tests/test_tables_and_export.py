@@ -244,6 +244,47 @@ def test_images(spark, tmp_path):
         images.image_features(spark, root).count()
 
 
+def test_manifest_of_a_long_list(spark, tmp_path):
+    """100,000 listed paths, written in many ways, are read as a table and joined with Spark's listing."""
+    root = images.materialize_shapes(str(tmp_path / "pics"), 5)
+    ways = ["pics/{0}", "pics//./{0}", "pics/disc/../{0}", f"{root}/{{0}}", f"file:{root}/{{0}}", f"file://{root}/{{0}}"]
+    names = [f"{c}/{c}-{i:03d}.png" for c in ("disc", "tile") for i in range(5)]
+    with open(tmp_path / "list.csv", "w") as f:
+        f.write("n,File,Class\n" + "".join(f'{i},{ways[i % 6].format(names[i % 10])},"{"a,b" if i % 3 else ""}"\n' for i in range(100_000)))
+    found = images.image_manifest(spark, str(tmp_path / "list.csv"))
+    assert "LocalTableScan" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = {(r["image_path"], r["label"]): r["count"] for r in found.groupBy("image_path", "label").count().collect()}
+    assert sum(counts.values()) == 100_000 and {p for p, _ in counts} == {f"{root}/{n}" for n in names} and {c for _, c in counts} == {"a,b", "nan"}
+    few = found.dropDuplicates(["image_path"])
+    assert images.image_features(spark, few).count() == 10
+    with open(tmp_path / "list.csv", "a") as f:
+        f.write("1,pics/disc/gone.png,a\n")
+    with pytest.raises(FileNotFoundError, match="gone"):
+        images.image_manifest(spark, str(tmp_path / "list.csv"))
+    for text in ("x,Class\na,b\n", "path,label\n"):
+        (tmp_path / "list.csv").write_text(text)
+        with pytest.raises(ValueError):
+            images.image_manifest(spark, str(tmp_path / "list.csv"))
+    with pytest.raises(FileNotFoundError):
+        images.image_manifest(spark, str(tmp_path / "nothing"))
+
+
+def test_thumbnails(spark, tmp_path):
+    root = images.materialize_shapes(str(tmp_path / "pics"), 2)
+    small = images.thumbnails(spark, images.image_manifest(spark, root), 16).collect()
+    assert len(small) == 4 and {r["label"] for r in small} == {"disc", "tile"}
+    for r in small:
+        (tmp_path / "t" / r["label"]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / r["label"] / os.path.basename(r["image_path"])).write_bytes(r["png"])
+    again = spark.read.format("image").load(f"{tmp_path}/t/*/*").select("image.height", "image.width", "image.data", "image.origin").collect()
+    whole = {os.path.basename(r["origin"]): r for r in spark.read.format("image").load(f"{root}/*/*").select("image.height", "image.width", "image.data", "image.origin").collect()}
+    for r in again:
+        big = whole[os.path.basename(r["origin"])]
+        pixels = np.frombuffer(big["data"], np.uint8).reshape(big["height"], big["width"], 3)
+        assert (r["height"], r["width"]) == (16, 16)
+        assert (np.frombuffer(r["data"], np.uint8).reshape(16, 16, 3) == np.rint(images.resize(pixels, 16, 16))).all()
+
+
 def test_images_are_upright(spark, tmp_path):
     picture = np.random.default_rng(4).integers(0, 255, (40, 64, 3), np.uint8)
     ways = {
