@@ -30,8 +30,11 @@ class Marks:
     """Where the strings that end or order a format stand in a value: found once, so that no validator searches the rest
     of a value from each of its candidates."""
 
-    def __init__(self, data: bytes, places: dict[bytes, list[int]]):
-        self.data, self.places, self.zips, self.last = data, places, None, {}
+    def __init__(self, data: bytes, places: dict[bytes, list[int]], starts: dict[bytes, list[int]] | None = None):
+        self.data, self.places, self.starts, self.zips, self.last = data, places, starts or {}, None, {}
+        self.known: dict[str, dict] = {}
+        self.chunks: Chunks | None = None
+        self.sums = Checksums(data)
 
     def next(self, mark: bytes, start: int) -> int:
         """The first place of a mark at or after start, or -1. Of marks that the automaton doesn't know, the last answer
@@ -47,7 +50,7 @@ class Marks:
         return found
 
     def zip_ends(self) -> dict[int, int]:
-        """The last archive that begins at a place: place of its first local header to that of its end record."""
+        """Of the archives that begin at a place the last one: place of its first local header to that of its end record."""
         if self.zips is None:
             d, self.zips = self.data, {}
             for end in self.places[b"PK\x05\x06"]:
@@ -57,39 +60,160 @@ class Marks:
                 start = end - size - offset
                 whole = start >= 0 and end + 22 + comment <= len(d)
                 if whole and (not size or d[start + offset : start + offset + 4] == b"PK\x01\x02"):
-                    self.zips.setdefault(start, end)
+                    self.zips[start] = end
         return self.zips
 
+    def follow(self, name: str, start: int, step: Callable[[int], tuple[int | None, object]], join: Callable[[object, object], object]):
+        """What a chain of places that begins at start comes to, each place of a value looked at once, however many chains
+        run into it. step(place) gives the next place and a fact of this one, or None and the chain's end; join puts a
+        fact before what comes after it."""
+        known, path, at, here = self.known.setdefault(name, {}), [], start, None
+        while at not in known:
+            following, fact = step(at)
+            if following is None:
+                known[at] = fact
+                break
+            path.append((at, fact))
+            at = following
+        here = known[at]
+        for at, fact in reversed(path):
+            here = known[at] = join(fact, here)
+        return here
+
+
+class Checksums:
+    """CRC-32 of any stretch of a value. Long stretches that overlap come from sums of what lies before their ends, so
+    that all together take time that grows with the value."""
+
+    STRIDE = 4096
+
+    def __init__(self, data: bytes):
+        self.data, self.spent, self.before = data, 0, None
+
+    def of(self, start: int, end: int) -> int:
+        self.spent += end - start
+        if end - start <= 2 * self.STRIDE or self.spent <= 4 * len(self.data):
+            return zlib.crc32(memoryview(self.data)[start:end])
+        return self.upto(end) ^ shifted(self.upto(start), end - start)
+
+    def upto(self, end: int) -> int:
+        if self.before is None:
+            self.before = [0]
+            for at in range(0, len(self.data), self.STRIDE):
+                self.before.append(zlib.crc32(memoryview(self.data)[at : at + self.STRIDE], self.before[-1]))
+        k = end // self.STRIDE
+        return zlib.crc32(memoryview(self.data)[k * self.STRIDE : end], self.before[k])
+
+
+def times_modulo(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo that of CRC-32, coefficients from the highest bit down."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+#: x^(8 * 2^k)
+POWERS = [1 << 23]
+for _ in range(40):
+    POWERS.append(times_modulo(POWERS[-1], POWERS[-1]))
+
+
+def shifted(crc: int, n: int) -> int:
+    """What a checksum adds to that of n bytes more."""
+    for k in range(n.bit_length()):
+        if n >> k & 1:
+            crc = times_modulo(POWERS[k], crc)
+    return crc
+
+
+class Chunks:
+    """All chains of RIFF chunks of a value, as trees: a chunk's parent is its end, and that one's the next chunk, a filling
+    byte on where the chunk is odd. Each place is visited once; whether a chain passes an end, and where it first meets a
+    kind of chunk, are then looked up."""
+
+    KINDS = (b"fmt ", b"data", b"VP8 ", b"VP8L", b"VP8X")
+
+    def __init__(self, d: bytes, starts: list[int]):
+        after: dict[int, int | None] = {}
+        for at in starts:
+            while at not in after:
+                after[at] = None
+                if at + 8 > len(d):
+                    break
+                n = struct.unpack_from("<I", d, at + 4)[0]
+                if at + 8 + n > len(d):
+                    break
+                end = after[at] = self.end(at + 8 + n, n % 2)
+                at = after[end] = at + 8 + n + n % 2
+        below: dict[int, list[int]] = {}
+        for at, parent in after.items():
+            below.setdefault(parent, []).append(at)
+        self.first: dict[int, dict[bytes, int]] = {}
+        self.enter, self.leave, clock = {}, {}, 0
+        stack = [(at, False) for at in below.get(None, [])]
+        while stack:
+            at, done = stack.pop()
+            if done:
+                self.leave[at] = clock
+                continue
+            self.enter[at], clock = clock, clock + 1
+            above = self.first.get(after[at], {}) if after[at] is not None else {}
+            kind = d[at : at + 4] if at >= 0 and after[at] is not None else b""
+            self.first[at] = above | {kind: at} if kind in self.KINDS else above
+            stack.append((at, True))
+            stack += [(c, False) for c in below.get(at, [])]
+
+    @staticmethod
+    def end(place: int, odd: int) -> int:
+        return -2 * place - odd - 1
+
+    def ends(self, start: int, place: int) -> bool:
+        """Whether a chunk of the chain from start ends at a place, with or without a filling byte."""
+        keys = [k for k in (place, self.end(place, 0), self.end(place, 1)) if k in self.enter]
+        return any(self.enter[k] <= self.enter[start] < self.leave[k] for k in keys)
+
 
 def png(d: bytes, at: int, marks: Marks) -> Found | None:
-    """Chunks with right checksums from IHDR to IEND."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(d):
+    """Chunks with right checksums from IHDR to IEND, each checked once however many headers lead to it."""
+    if d[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+
+    def step(pos: int) -> tuple[int | None, object]:
+        if pos + 12 > len(d):
+            return None, None
         size, kind = struct.unpack_from(">I4s", d, pos)
         end = pos + 12 + size
-        if end > len(d) or first != (kind == b"IHDR"):
-            return None
-        if zlib.crc32(d[pos + 4 : end - 4]) != struct.unpack_from(">I", d, end - 4)[0]:
-            return None
-        if kind == b"IEND":
-            return (end, "image/png", at + 8, end - at - 8) if size == 0 else None
-        pos, first = end, False
-    return None
+        if end > len(d) or marks.sums.of(pos + 4, end - 4) != struct.unpack_from(">I", d, end - 4)[0]:
+            return None, None
+        return (None, (end, 0) if size == 0 else None) if kind == b"IEND" else (end, kind == b"IHDR")
+
+    # (end, headers): the chain from a place on
+    found = marks.follow("png", at + 8, step, lambda header, rest: rest and (rest[0], rest[1] + header))
+    return (found[0], "image/png", at + 8, found[0] - at - 8) if found and found[1] == 1 else None
+
+
+FRAMES = set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}
 
 
 def jpeg(d: bytes, at: int, marks: Marks) -> Found | None:
     """Marker segments with lengths up to a scan, with a frame header before it, then the end marker."""
-    pos, frame = at + 2, False
-    while pos + 4 <= len(d) and d[pos] == 0xFF:
+
+    def step(pos: int) -> tuple[int | None, object]:
+        if pos + 4 > len(d) or d[pos] != 0xFF:
+            return None, None
         marker, size = d[pos + 1], struct.unpack_from(">H", d, pos + 2)[0]
         if size < 2 or marker < 0xC0 or pos + 2 + size > len(d):
-            return None
-        frame |= 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC)
-        pos += 2 + size
-        if marker == 0xDA:
-            end = marks.next(b"\xff\xd9", pos) + 2
-            return (end, "image/jpeg", pos, end - pos) if frame and end > 1 else None
-    return None
+            return None, None
+        return (None, (pos + 2 + size, False)) if marker == 0xDA else (pos + 2 + size, marker in FRAMES)
+
+    scan = marks.follow("jpeg", at + 2, step, lambda frame, rest: rest and (rest[0], rest[1] or frame))
+    if not scan or not scan[1]:
+        return None
+    pos, end = scan[0], marks.next(b"\xff\xd9", scan[0]) + 2
+    return (end, "image/jpeg", pos, end - pos) if end > 1 else None
 
 
 def gif(d: bytes, at: int, marks: Marks) -> Found | None:
@@ -97,23 +221,26 @@ def gif(d: bytes, at: int, marks: Marks) -> Found | None:
     if at + 13 > len(d):
         return None
     flags = d[at + 10]
-    body = pos = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    images = 0
-    while pos < len(d):
-        kind = d[pos]
+    body = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+
+    def parts(pos: int) -> tuple[int | None, object]:
+        """Pieces of data with their lengths: to what follows the empty one."""
+        return (pos + d[pos] + 1, None) if pos < len(d) and d[pos] else (None, pos + 1)
+
+    def step(pos: int) -> tuple[int | None, object]:
+        kind = d[pos] if pos < len(d) else 0
         if kind == 0x3B:
-            return (pos + 1, "image/gif", body, pos - body) if images else None
+            return None, (pos, False)
         if kind == 0x2C and pos + 10 <= len(d):
-            images, flags = images + 1, d[pos + 9]
-            pos += 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
+            data = pos + 11 + (3 << (d[pos + 9] & 7) + 1 if d[pos + 9] & 0x80 else 0)
         elif kind == 0x21:
-            pos += 2
+            data = pos + 2
         else:
-            return None
-        while pos < len(d) and d[pos]:
-            pos += d[pos] + 1
-        pos += 1
-    return None
+            return None, None
+        return marks.follow("gif data", data, parts, lambda _, rest: rest), kind == 0x2C
+
+    end = marks.follow("gif", body, step, lambda image, rest: rest and (rest[0], rest[1] or image))
+    return (end[0] + 1, "image/gif", body, end[0] - body) if end and end[1] else None
 
 
 def bmp(d: bytes, at: int, marks: Marks) -> Found | None:
@@ -134,17 +261,14 @@ def riff(d: bytes, at: int, marks: Marks) -> Found | None:
     if at + 12 > len(d):
         return None
     size, form = struct.unpack_from("<I4s", d, at + 4)
-    end, pos, chunks = at + 8 + size, at + 12, {}
+    end, pos = at + 8 + size, at + 12
     if end > len(d) or form not in (b"WAVE", b"WEBP"):
         return None
-    while pos + 8 <= end:
-        kind, n = struct.unpack_from("<4sI", d, pos)
-        if pos + 8 + n > end:
-            return None
-        chunks.setdefault(kind, (pos + 8, n))
-        pos += 8 + n + n % 2
-    if pos < end:
+    if marks.chunks is None:
+        marks.chunks = Chunks(d, [p + 12 for p in marks.starts[b"RIFF"]])
+    if not marks.chunks.ends(pos, end):
         return None
+    chunks = {k: (p + 8, struct.unpack_from("<I", d, p + 4)[0]) for k, p in marks.chunks.first[pos].items() if p < end}
     if form == b"WEBP":
         body = next((chunks[k] for k in (b"VP8 ", b"VP8L", b"VP8X") if k in chunks), None)
         return (end, "image/webp", *body) if body else None
@@ -206,6 +330,13 @@ def gzip(d: bytes, at: int, marks: Marks) -> Found | None:
             body = end + 1
     if flags & 2:
         body += 2
+    if body < len(d) and not d[body] & 6:
+        found = stored(d, body, marks)
+        if found is not MIXED:
+            end, crc, size = found or (len(d), 0, 0)
+            if not found or d[end : end + 8] != struct.pack("<II", crc, size & 0xFFFFFFFF):
+                return None
+            return end + 8, "application/gzip", body, end - body
     inflate, pos, crc, size, left = zlib.decompressobj(-15), body, 0, 0, b""
     try:
         while not inflate.eof:
@@ -224,6 +355,30 @@ def gzip(d: bytes, at: int, marks: Marks) -> Found | None:
     return end + 8, "application/gzip", body, end - body
 
 
+MIXED = object()
+
+
+def stored(d: bytes, body: int, marks: Marks):
+    """Of a deflate stream of stored blocks alone: (end, checksum, length) of what it holds, None if it breaks off, MIXED if
+    a block of another kind comes. Blocks that many streams run into are read once."""
+
+    def step(pos: int) -> tuple[int | None, object]:
+        if pos + 5 > len(d):
+            return None, None
+        head, n, check = struct.unpack_from("<BHH", d, pos)
+        if head & 6:
+            return None, MIXED
+        if n ^ check != 0xFFFF or pos + 5 + n > len(d):
+            return None, None
+        fact = marks.sums.of(pos + 5, pos + 5 + n), n
+        return (None, (pos + 5 + n, *fact)) if head & 1 else (pos + 5 + n, fact)
+
+    def join(fact, rest):
+        return rest if rest is None or rest is MIXED else (rest[0], shifted(fact[0], rest[2]) ^ rest[1], fact[1] + rest[2])
+
+    return marks.follow("stored", body, step, join)
+
+
 def ogg(d: bytes, at: int, marks: Marks) -> Found | None:
     """Pages in a chain, the first one marked as a beginning."""
     pos, pages = at, 0
@@ -239,19 +394,28 @@ def ogg(d: bytes, at: int, marks: Marks) -> Found | None:
 def mp4(d: bytes, at: int, marks: Marks) -> Found | None:
     """Boxes in a chain from ftyp up to the next ftyp, among them moov or moof. A box states its size in 32 or 64 bits;
     size 0 runs to the end of the value."""
-    pos, kinds = at, set()
-    while pos + 8 <= len(d):
-        size, kind = struct.unpack_from(">I4s", d, pos)
+
+    def size_of(pos: int, first: bool) -> int:
+        if pos + 8 > len(d) or not d[pos + 4 : pos + 8].isalnum():
+            return -1
+        size = int.from_bytes(d[pos : pos + 4], "big")
         if size == 1 and pos + 16 <= len(d):
-            size = struct.unpack_from(">Q", d, pos + 8)[0]
+            size = int.from_bytes(d[pos + 8 : pos + 16], "big")
             size = size if size >= 16 else -1
-        elif size == 0 and kinds:
+        elif size == 0 and not first:
             size = len(d) - pos
-        if size < 8 or pos + size > len(d) or not kind.isalnum() or (kind == b"ftyp" and kinds):
-            break
-        kinds.add(kind)
-        pos += size
-    return (pos, "video/mp4", at, pos - at) if {b"moov", b"moof"} & kinds else None
+        return size if size >= 8 and pos + size <= len(d) else -1
+
+    def step(pos: int) -> tuple[int | None, object]:
+        size = size_of(pos, False)
+        kind = d[pos + 4 : pos + 8]
+        return (None, (pos, False)) if size < 0 or kind == b"ftyp" else (pos + size, kind in (b"moov", b"moof"))
+
+    size = size_of(at, True)
+    if size < 0:
+        return None
+    end, movie = marks.follow("mp4", at + size, step, lambda own, rest: (rest[0], own or rest[1]))
+    return (end, "video/mp4", at, end - at) if movie else None
 
 
 #: Magic string, its offset in the file, validator. Fixed values of the formats.
@@ -270,7 +434,7 @@ SIGNATURES: list[tuple[bytes, int, Callable[[bytes, int, Marks], Found | None]]]
     (b"ftyp", 4, mp4),
 ]
 #: Strings inside files whose places the same pass collects.
-INNER = (b"%%EOF", b"startxref", b"PK\x05\x06", b"%PDF-")
+INNER = (b"%%EOF", b"startxref", b"PK\x05\x06", b"%PDF-", b"\xff\xd9")
 LONGEST = max(len(m) for m in [*INNER, *(m for m, _, _ in SIGNATURES)])
 
 
@@ -298,7 +462,7 @@ class Sniffer:
                 if magic in places:
                     places[magic].append(at)
                 found += [(at - SIGNATURES[k][1], k) for k in which if at >= SIGNATURES[k][1]]
-        return found, Marks(data, places)
+        return found, Marks(data, places, {b"RIFF": [at for at, k in found if SIGNATURES[k][2] is riff]})
 
     def spans(self, data: bytes | None) -> tuple[int, list[dict]]:
         """The number of candidates, and the confirmed media in order of place, outer before inner."""
@@ -384,8 +548,8 @@ def text_media(df: DataFrame, text: str = "text") -> DataFrame:
     Adds n_bytes, payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, media_type,
     type_corrected, n_candidates and feature: the corrected type, place and length of the samples, and the media embedded
     in them. The text goes; other columns stay, but for those named like a new one. A null or empty text is 64 zero
-    bytes; equal texts get equal values; a text is held in one task as a whole, in time that grows with its length; an
-    empty table gives an empty one.
+    bytes; equal texts get equal values; a text is held in one task as a whole, in time that grows with its length (but for
+    compressed streams within compressed streams, each of which is inflated); an empty table gives an empty one.
     """
     stay = [c for c in df.columns if c != text and c.lower() not in TEXT_MEDIA]
     others = F.struct(*[F.col(f"`{c}`") for c in stay] or [F.lit(None).alias("none")]).alias("others")

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import json
+import random
 import struct
 import time
 import zipfile
@@ -50,6 +51,144 @@ def test_formats_are_confirmed_and_carved(spark):
     assert carved == [PNG, GIF]
 
 
+def riff(chunks, form=b"WAVE"):
+    body = form + b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) % 2) for k, v in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+FMT = (b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8))
+
+
+def plain_riff(d, at):
+    size, form = struct.unpack_from("<I4s", d, at + 4)
+    end, pos, seen = at + 8 + size, at + 12, {}
+    while pos + 8 <= end <= len(d):
+        kind, n = struct.unpack_from("<4sI", d, pos)
+        if pos + 8 + n > end:
+            return None
+        seen.setdefault(kind, (pos + 8, n))
+        pos += 8 + n + n % 2
+    if pos < end or end > len(d) or form != b"WAVE" or b"fmt " not in seen or b"data" not in seen or seen[b"fmt "][1] < 16:
+        return None
+    _, channels, rate, second, unit, bits = struct.unpack_from("<HHIIHH", d, seen[b"fmt "][0])
+    right = channels and rate and unit == channels * -(-bits // 8) and second == rate * unit and seen[b"data"][1] % unit == 0
+    return right and (end, *seen[b"data"])
+
+
+def plain_jpeg(d, at):
+    pos, frame = at + 2, False
+    while pos + 4 <= len(d) and d[pos] == 0xFF and d[pos + 1] >= 0xC0:
+        size = struct.unpack_from(">H", d, pos + 2)[0]
+        if size < 2 or pos + 2 + size > len(d):
+            return None
+        frame |= d[pos + 1] in media.FRAMES
+        pos += 2 + size
+        if d[pos - size - 1] == 0xDA:
+            end = d.find(b"\xff\xd9", pos)
+            return end >= 0 and frame and (end + 2, pos, end + 2 - pos)
+    return None
+
+
+def plain_gzip(d, at):
+    z = zlib.decompressobj(31)
+    try:
+        z.decompress(d[at:])
+    except zlib.error:
+        return None
+    return z.eof and len(d) - len(z.unused_data)
+
+
+def plain_mp4(d, at):
+    pos, kinds = at, []
+    while pos + 8 <= len(d):
+        size, kind = struct.unpack_from(">I4s", d, pos)
+        size = len(d) - pos if size == 0 and kinds else size
+        if size < 8 or pos + size > len(d) or not kind.isalnum() or (kind == b"ftyp" and kinds):
+            break
+        kinds.append(kind)
+        pos += size
+    return {b"moov", b"moof"} & set(kinds) and pos
+
+
+def test_nested_media_equal_a_plain_search():
+    """Files in files, cut, overlapping and with false lengths, against validators that walk each one by itself."""
+    r = random.Random(7)
+    segment = lambda marker, v: bytes([0xFF, marker]) + struct.pack(">H", len(v) + 2) + v
+    box = lambda kind, v: struct.pack(">I", len(v) + 8) + kind + v
+    block = lambda v, last: struct.pack("<BHH", last, len(v), len(v) ^ 0xFFFF) + v
+    found = dict.fromkeys(("audio/wav", "image/jpeg", "application/gzip", "video/mp4", "image/png"), 0)
+
+    def chunk(kind, v):
+        return struct.pack(">I", len(v)) + kind + v + struct.pack(">I", zlib.crc32(kind + v))
+
+    def one(depth):
+        inner = lambda: r.choice([b"", bytes(r.randrange(256) for _ in range(r.randrange(9))), one(depth - 1) if depth else b"x"])
+        kind = r.randrange(6)
+        if kind == 0:
+            return riff([FMT, *[(r.choice([b"LIST", b"data", b"junk"]), inner()) for _ in range(3)], (b"data", inner())])
+        if kind == 1:
+            return b"\xff\xd8" + b"".join(segment(r.choice([0xE0, 0xFE, 0xC0, 0xC4]), inner()) for _ in range(3)) + segment(0xDA, inner()) + inner() + b"\xff\xd9"
+        if kind == 2:
+            parts = [inner() for _ in range(3)]
+            whole = b"".join(parts)
+            body = b"".join(block(p, i == 2) for i, p in enumerate(parts)) if r.random() < 0.8 else zlib.compress(whole)[2:-4]
+            return b"\x1f\x8b\x08" + bytes(7) + body + struct.pack("<II", zlib.crc32(whole), len(whole))
+        if kind == 3:
+            return box(b"ftyp", inner()) + b"".join(box(r.choice([b"moov", b"mdat", b"moof"]), inner()) for _ in range(2))
+        if kind == 4:
+            return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", inner()) + chunk(b"tEXt", inner()) + chunk(b"IEND", b"")
+        return inner() + inner()
+
+    for _ in range(400):
+        d = bytearray(one(5) + one(3))
+        for _ in range(r.choice([0, 0, 1, 3])):
+            if d:
+                d[r.randrange(len(d))] = r.choice([0, 1, 255, 8])
+        d = bytes(d[: len(d) - r.choice([0, 0, 1, 5])])
+        got = {(x["type"], x["start"]): (x["start"] + x["length"], x["body_start"], x["body_length"]) for x in media.Sniffer().spans(d)[1]}
+        for at in range(len(d)):
+            if d[at : at + 4] == b"RIFF" and at + 12 <= len(d):
+                assert got.get(("audio/wav", at)) == (plain_riff(d, at) or None)
+            if d[at : at + 3] == b"\xff\xd8\xff":
+                assert got.get(("image/jpeg", at)) == (plain_jpeg(d, at) or None)
+            if d[at : at + 3] == b"\x1f\x8b\x08":
+                assert got.get(("application/gzip", at), (None,))[0] == (plain_gzip(d, at) or None)
+            if d[at + 4 : at + 8] == b"ftyp":
+                assert got.get(("video/mp4", at), (None,))[0] == (plain_mp4(d, at) or None)
+        for kind, _ in got:
+            found[kind] = found.get(kind, 0) + 1
+    assert all(n > 30 for n in found.values()), found
+
+
+def test_nested_headers_take_linear_time():
+    """2 MB of headers inside chunks, segments, blocks and boxes, each of which leads to the end or nearly so."""
+    n = 2 << 20
+    heads = {
+        "riff": b"".join(b"RIFF" + struct.pack("<I", n - 24 * i - 8) + b"WAVEjunk" + struct.pack("<I", 4 if i % 2 else 0) + (b"" if i % 2 == 0 else b"abcd") for i in range(n // 24)),
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x04" * (n // 6),
+        "gzip": (b"\x1f\x8b\x08" + bytes(7) + struct.pack("<BHH", 0, 10, 65525)) * (n // 15),
+        "png": (b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + bytes(13) + struct.pack(">I", zlib.crc32(b"IHDR" + bytes(13))) + struct.pack(">I4s", n // 2, b"IDAT")) * (n // 41),
+        "mp4": (struct.pack(">I", 16) + b"ftypmoov" + struct.pack(">I", 1 << 20)) * (n // 16),
+        "gif": (b"GIF89a" + bytes(7) + b"\x2c" + bytes(9) + b"\x02\x17") * (n // 25),
+    }
+    sniffer = media.Sniffer()
+    for name, d in heads.items():
+        took = []
+        for part in (d[: len(d) // 2], d):
+            start = time.process_time()
+            sniffer.spans(part)
+            took.append(time.process_time() - start)
+        assert took[1] < 20 and took[1] < 4 * took[0] + 1, (name, took)
+
+
+def test_checksums_of_stretches():
+    d = np.random.default_rng(0).integers(0, 256, 100_000, np.uint8).tobytes()
+    sums = media.Checksums(d)
+    sums.spent = 1 << 40
+    for a, b in ((0, 100_000), (1, 99_999), (4096, 20_480), (5, 20_000), (99_000, 100_000), (7, 7)):
+        assert sums.of(a, b) == zlib.crc32(d[a:b])
+
+
 def test_text_media(spark, docs):
     for r in media.text_media(docs.withColumn("lost", F.lit(1)).select("doc_id", "text", "lost")).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
         raw = (r["text"] or "").encode()
