@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
-import uuid
+import tempfile
 
 from pyspark.sql import SparkSession
 
-from assay.functions.scratch import shared_folder
+from assay.functions.files import Files
+from assay.functions.scratch import new_table, scratch_scope
 from assay.operators import review
 from assay.plans import audit, benchmark, export, provenance
 from assay.sources import images, sinks, store, tables
@@ -51,9 +52,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def unpacked(spark: SparkSession, archive: str) -> str:
+    """The top folder of an archive's images, in the shared folder."""
+    with tempfile.TemporaryDirectory() as here:
+        top = sinks.extract_zip(archive, here)
+        path = new_table(spark, "images")
+        Files(spark).put(top, path)
+    return path
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or session()
+    with scratch_scope(spark):  # whatever a command writes on its way goes with it
+        return run(args, spark)
+
+
+def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.command == "audit":
         export.refuse_overwrite([args.out], args.csv or args.images)
         options = {"n_splits": args.folds, "n_neighbors": args.neighbors, "seed": args.seed, "cross_check": args.cross_check}
@@ -65,7 +80,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             root = args.images
             if root.lower().endswith(".zip"):  # executors read the files as well
-                root = sinks.extract_zip(root, f"{shared_folder(spark).removeprefix('file:')}/images-{uuid.uuid4().hex}")
+                root = unpacked(spark, root)
             records = images.image_manifest(spark, root)
             found = audit.audit_images(images.image_features(spark, records), **options)
             source = provenance.image_source(images.read_images(spark, records))

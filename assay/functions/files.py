@@ -48,6 +48,11 @@ class Files:
         if fs.exists(target) or not fs.rename(p, target):
             raise FileExistsError(new)
 
+    def put(self, local: str, path: str) -> None:
+        """Copy a local file or folder to a path of any file system."""
+        fs, p = self._at(path)
+        fs.copyFromLocalFile(self.jvm.org.apache.hadoop.fs.Path(f"file://{local}"), p)
+
     def write_text(self, path: str, text: str) -> None:
         """Write beside the target, then rename: readers see the whole file or none, or the old one."""
         fs, p = self._at(path)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay import cli
+from assay.functions import scratch
 from assay.operators import labels, preparation, review, scoring
 from assay.plans import audit, export, provenance
 from assay.sources import images, sinks, store, tables
@@ -329,6 +330,32 @@ def test_audit_of_an_archive_of_images(spark, tmp_path):
     assert len(json.load(open(out))["rows"]) == spark.read.parquet(rows).count() == 8
 
 
+def test_scratch_tables_go_with_their_scope(spark, tmp_path):
+    folder = scratch.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scratch.scratch_scope(spark):
+        kept = scratch.settled(spark.range(5))
+        with scratch.scratch_scope(spark):
+            scratch.settled(spark.range(5))
+            assert len(set(os.listdir(folder)) - before) == 2
+        assert kept.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+    (tmp_path / "in.csv").write_text("x,label\n" + "".join(f"{i},{'ab'[i % 2]}\n" for i in range(12)))
+    cli.main(["audit", "--csv", str(tmp_path / "in.csv"), "--out", str(tmp_path / "r.json"), "--cross-check"], spark)
+    assert set(os.listdir(folder)) == before and json.load(open(tmp_path / "r.json"))["cross_check"]["available"]
+
+    class Cluster:  # a session whose machines share nothing
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_folder(Cluster)
+
+
 def test_large_tables_are_numbered_whole(spark):
     """Sorted tables of some MB, which adaptive plans cut by what a job reads."""
     wide = spark.range(60_000).select(
