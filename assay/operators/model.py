@@ -233,8 +233,11 @@ def table_preprocessor(kinds: dict[str, list[str]]) -> Preprocessor:
 
 @dataclass
 class Fold:
+    """shape: the number of rows, and the length of a vector."""
+
     fold: int
     rows: DataFrame
+    shape: tuple[int, int]
 
 
 def out_of_fold(
@@ -264,28 +267,29 @@ def out_of_fold(
             progress(f"fold {f} of {k}")
             transforms.append(preprocessor(df.where(F.col("oof_fold") != f)))
     keep = [*columns, "y", "oof_fold"]
+    # every step of the solver is a job: a small table in many partitions pays for their scheduling
+    n = df.count()
+    tasks = max(1, n // ROWS_A_PARTITION)
     if all(isinstance(t, Affine) for t in transforms):
-        rows = settled(df.select(*keep, array_to_vector(F.col("features").cast("array<double>")).alias("z1")))
+        rows = settled(df.select(*keep, array_to_vector(F.col("features").cast("array<double>")).alias("z1")).coalesce(tasks))
         spaces = [softmax.Space("z1", t.centre, t.scale) for t in transforms]
         widths = [len(t.centre) for t in transforms]
-        each = [Fold(f, t(rows.withColumn("features", vector_to_array("z1"))).select(*keep, "z")) for f, t in zip(numbers, transforms)]
+        seen = [t(rows.withColumn("features", vector_to_array("z1"))).select(*keep, "z") for t in transforms]
     else:
         wide = df.withColumns(getattr(transforms[0], "cut", {}))
         for f, t in zip(numbers, transforms):
             wide = t(wide).withColumnRenamed("z", f"z{f}")
         names = [f"z{f}" for f in numbers]
-        rows = settled(wide.select(*keep, *names))
+        rows = settled(wide.select(*keep, *names).coalesce(tasks))
         spaces = [softmax.Space(z) for z in names]
         sizes = vector_sizes(rows, names)
         widths = [sizes[z] for z in names]
-        each = [Fold(f, rows.select(*keep, F.col(z).alias("z"))) for f, z in zip(numbers, names)]
-    tasks = max(1, rows.count() // ROWS_A_PARTITION)
+        seen = [rows.select(*keep, F.col(z).alias("z")) for z in names]
     progress("models of all folds")
-    # every step of the solver is a job: a small table in many partitions pays for their scheduling
-    fitted = rows.select("y", "oof_fold", *dict.fromkeys(s.column for s in spaces)).coalesce(tasks).persist()
+    fitted = rows.select("y", "oof_fold", *dict.fromkeys(s.column for s in spaces)).persist()
     weights = softmax.fit(fitted, spaces, widths, n_classes, max_iter, tol, tasks)
     fitted.unpersist()
-    return softmax.predict(rows, spaces, weights, columns), each
+    return softmax.predict(rows, spaces, weights, columns), [Fold(f, z, (n, w)) for f, z, w in zip(numbers, seen, widths)]
 
 
 def vector_sizes(rows: DataFrame, names: list[str]) -> dict[str, int]:
