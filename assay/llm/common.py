@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.scratch import shared_folder
+from assay.functions.scratch import new_table
 
 #: A word in the sense of the contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,7 +32,7 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_folder(self.spark)}/assay-{uuid.uuid4().hex}"
+        path = new_table(self.spark, "assay")
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from assay.llm.common import map_column, materialise, slices
 
+#: Languages at most: eight masks a slot.
+MOST_LANGUAGES = 512
 PROBES = 3
 #: Characters whose trigrams are taken at a time.
 PIECE = 1 << 19
@@ -152,11 +154,14 @@ def fit(train: DataFrame, spark: SparkSession, ratio: float = 0.5, min_share: fl
 
     A language contains a trigram if its share among the language's trigrams is at least min_share (so that at
     most 1 / min_share trigrams of a language enter) and `ratio` times the largest share in any language.
-    What comes to the driver is one row a language and one row a slot, most_slots at most.
+    What comes to the driver, and is broadcast, is one row a language and one mask a slot and 64 languages: MOST_LANGUAGES
+    (more are an error) and most_slots at most.
     """
     counts = materialise(gram_counts(train.where("lang is not null and text is not null")), spark)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [(r["lang"], r["total"]) for r in totals.orderBy("lang").collect()]
+    langs = [(r["lang"], r["total"]) for r in totals.orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not langs:
         return Filter([], np.zeros((0, 1), np.uint64), 0)
     ids = spark.createDataFrame([(x, i, t) for i, (x, t) in enumerate(langs)], "lang string, id int, total long")

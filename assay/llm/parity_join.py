@@ -475,10 +475,13 @@ def one_of_each_group(df: DataFrame, spark: SparkSession, sim: Similarity | None
     twice = scratch.table(twice)
     if twice.isEmpty():
         return kept
-    nth = fresh(df, "nth")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    once = without(kept, twice, "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
-    return without(kept, twice, "left_anti").union(once)
+    # the least of the rows' hashes stays, of equal ones any; rows are numbered in a written table, so that no task holds
+    # all copies of one
+    uid, content = fresh(df, "uid"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    copies = scratch.table(without(kept, twice, "left_semi").withColumn(uid, F.monotonically_increasing_id()))
+    least = copies.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.min(F.struct(content.alias("h"), F.col(uid).alias("u"))).alias("best"))
+    first = small(scratch.table(least.select(F.col("best.u").alias(uid))))
+    return without(kept, twice, "left_anti").unionByName(copies.join(first, uid, "left_semi").drop(uid))
 
 
 def without(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:

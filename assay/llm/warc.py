@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.common import map_column
+from assay.llm.common import fresh, map_column
 
 #: Used where a page has no date; a run must not stamp its own time, or reruns would differ.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -316,8 +316,10 @@ _KINDS = {T.StringType(): pa.string(), T.BooleanType(): pa.bool_(), T.LongType()
 
 
 def with_responses(pages: DataFrame, url: str = "url", body: str = "html", date: str = NO_DATE) -> DataFrame:
-    """Add `record`, the response record of every page (null address or body: empty ones), and drop the body."""
-    source = pages.withColumn("__page", F.to_json(F.struct(F.col(url).alias("u"), F.col(body).alias("b"))))
+    """Add `record`, the response record of every page (null address or body: empty ones), and drop the body. Columns of
+    any other name stay."""
+    both = fresh(pages, "page")
+    source = pages.withColumn(both, F.to_json(F.struct(F.col(url).alias("u"), F.col(body).alias("b"))))
 
     def make():
         def kernel(values):
@@ -326,7 +328,7 @@ def with_responses(pages: DataFrame, url: str = "url", body: str = "html", date:
 
         return kernel
 
-    return map_column(source, "__page", make, [T.StructField("record", T.BinaryType())], drop=("__page", body))
+    return map_column(source, both, make, [T.StructField("record", T.BinaryType())], drop=(both, body))
 
 
 def derivatives(records: DataFrame, column: str = "record", drop: tuple[str, ...] = ()) -> DataFrame:

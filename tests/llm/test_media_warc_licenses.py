@@ -202,7 +202,8 @@ def test_text_media(spark, docs):
 def test_warc(spark):
     html = "<html><head><title>A &amp; B</title><script>var x='<p>';</script></head><body><!-- gone --><p>One</p><p>Two <a href='/l?a=1&amp;b=2'>link</a><br>three</body>"
     rows = [(1, "http://x/", html), (2, None, None), (3, "http://x/", ""), (3, "http://x/", ""), (4, "u", "<!-- " * 5000), (5, "u", "😀 café")]
-    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("title", F.lit("clash"))
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({"title": F.lit("clash"), "page": F.lit("own"), "__page": F.lit(7)})
+    assert {(r["page"], r["__page"]) for r in warc.with_responses(pages).select("page", "__page").collect()} == {("own", 7)}
     out = warc.derivatives(warc.with_responses(pages)).cache()
     one = out.where("page_id = 1").first()
     assert one["text"] == "A & B\nOne\nTwo link\nthree" and one["title"] == "A & B" and one["n_links"] == 1 and one["digest_ok"]

@@ -121,6 +121,15 @@ def test_odd_rows(spark, docs):
     assert parity_join.near_duplicates(docs.limit(0), spark).count() == 0
 
 
+def test_rows_that_repeat_id_and_text(spark):
+    """One row of those stays, with all its columns; ids that share no text stay, and copies under other ids go."""
+    rows = [(1, prose(1), f"s{i % 3}") for i in range(500)] + [(1, prose(2), "x"), (2, prose(1), "y"), (3, "", "z"), (3, "", "z"), (None, prose(3), "n"), (None, prose(3), "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string").repartition(3)
+    got = parity_join.one_of_each_group(df, spark).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "uid"}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, prose(1)), (1, prose(2)), (3, ""), (3, ""), (0, prose(3))])
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i, prose(i, 40 + i % 50) + f" item {i} of row {i * 17 % 101}", "en", f"s{i % 4}", 1) for i in range(240)]
     rows += [(500 + i, rows[i][1], "en", "s1", 1) for i in range(10)]  # exact copies
