@@ -284,6 +284,9 @@ def test_op10(spark, sf):
 def test_empty_tables(spark, sf, tmp_path):
     for name in ("documents", "labels", "pages"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    others = {"embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}
+    for name, schema in others.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
 
