@@ -103,8 +103,37 @@ def ambiguous_minority(spark: SparkSession, seed: int = 42) -> DataFrame:
     return synthetic_clusters(spark, {"left": 80, "minority": 24, "right": 80}, gap=1.5, seed=seed)
 
 
+def flowers(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """Three classes of 50 rows and four numbers, two of them neighbours that overlap."""
+    return synthetic_clusters(spark, {"early": 50, "middle": 50, "late": 50}, dims=4, gap=1.8, spread=0.8, seed=seed)
+
+
+def assays(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """Three classes and 13 numbers of unlike scales, from hundredths to hundreds."""
+    df = synthetic_clusters(spark, {"north": 60, "south": 70, "west": 48}, dims=13, gap=0.9, spread=0.8, seed=seed)
+    return df.withColumn("features", F.transform("features", lambda x, j: x * F.pow(F.lit(10.0), F.pmod(j, F.lit(5)) - 2)))
+
+
+def glyphs(spark: SparkSession, n_per_class: int = 36, seed: int = 42) -> DataFrame:
+    """Pictures of 8 x 8 pixels of ink from 0 to 16 in ten classes: each class has a shape of its own, each picture some
+    pixels too light, too dark or moved by one column."""
+    u = lambda *x: F.pmod(F.xxhash64(F.lit(seed), *x), F.lit(1 << 20)) / float(1 << 20)
+    df = spark.range(10 * n_per_class).withColumn("c", (F.col("id") % 10).cast("int"))
+    moved = F.when(u("id", F.lit("m")) < 0.2, 1).otherwise(0)
+
+    def pixel(j):
+        ink = F.when(u("c", F.pmod(j + F.col("moved"), F.lit(64)), F.lit("s")) < 0.4, 13.0).otherwise(1.0)
+        return F.round(F.least(F.greatest(ink + 7 * (u("id", j, F.lit("n")) - 0.5) * 2, F.lit(0.0)), F.lit(16.0)))
+
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), pixel)
+    return df.withColumn("moved", moved).select(F.col("id").alias("source_index"), pixels.alias("features"), F.col("c").cast("string").alias("label"))
+
+
 #: name -> (kind, loader): tables that come with the engine.
-BUILTIN = {"synthetic_text": ("table", synthetic_text), "ambiguous_minority": ("matrix", ambiguous_minority)}
+BUILTIN = {
+    "synthetic_text": ("table", synthetic_text), "ambiguous_minority": ("matrix", ambiguous_minority), "flowers": ("matrix", flowers),
+    "assays": ("matrix", assays), "glyphs": ("matrix", glyphs),
+}
 
 
 def load_builtin(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
