@@ -110,6 +110,8 @@ def vocabulary(train: DataFrame, column: str, size: int = TERMS) -> DataFrame:
 def fold_vocabularies(df: DataFrame, column: str, left_out: list[int], size: int = TERMS) -> list[list]:
     """The vocabulary of the training rows of every fold. Texts are cut once: a fold's counts are those of all rows less
     its own, and each vocabulary is a top-k of the written table of terms."""
+    if len(left_out) == 1:  # one aggregate, and no table of terms
+        return [vocabulary(df.where(F.col("oof_fold") != left_out[0]), column, size).collect()]
     own = term_counts(df, column)
     less = [F.sum(F.when(F.col("oof_fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in left_out for c in ("n", "df")]
     table = settled(own.groupBy("term").agg(*less))
