@@ -21,33 +21,57 @@ def sized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def source_targets(sizes: DataFrame) -> DataFrame:
-    """For rows (source, size): s, source_size, n_docs, target and quota (whole words) of every source.
+def numbered(per: DataFrame, scratch: Scratch) -> DataFrame:
+    """Add nth, the 0-based place of a source by code points, null last: a sort by range, whose parts are written and put
+    after one another, so that no task holds all sources. What is added up over the parts is a row a part."""
+    rows = per.orderBy(F.col("source").asc_nulls_last()).withColumn("__id", F.monotonically_increasing_id())
+    rows = scratch.table(rows).withColumn("__part", F.shiftright("__id", 33))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    nth = F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__first")
+    return rows.join(F.broadcast(starts), "__part").withColumn("nth", nth).drop("__id", "__part", "__first")
+
+
+def fill_level(per: DataFrame) -> tuple[int, int, float]:
+    """Number of sources, their words, and the words a unit of weight that the sources get which don't stop.
+
+    In every round the sources whose limit is at most their share stop, and what they leave raises the share of the
+    others, until no more stop. Either the weight that is left or the excess falls by a constant factor a round, so
+    rounds are few; each is one aggregate.
+    """
+    ratio, level, stopped = F.col("most") / F.col("weight"), 0.0, -1
+    while True:
+        stops = ratio <= level if stopped >= 0 else F.lit(False)
+        r = per.agg(
+            F.count("*").alias("n"), F.sum("source_size").alias("words"), F.count(F.when(stops, 1)).alias("stopped"),
+            F.sum(F.when(stops, F.col("most"))).alias("given"), F.sum(F.when(~stops, F.col("weight"))).alias("weight"),
+        ).first()
+        if r["stopped"] == stopped or not r["weight"]:
+            return r["n"], r["words"] or 0, level
+        level, stopped = (r["words"] - (r["given"] or 0)) / r["weight"], r["stopped"]
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """For rows (source, size): source_size, n_docs, target and quota (whole words) of every source; the number of
+    sources and of words.
 
     Targets share the total by weight. A source stops at REPEATS times its size, and what it leaves is shared
-    by weight among the rest: with sources in order of size / weight, those that stop come first, and each
-    stops if its limit is below its share of what all before it have left.
+    by weight among the rest.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
-    per = per.withColumn("weight", weight.cast("double")).withColumn("most", (F.col("source_size") * REPEATS).cast("double"))
-    filled = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, every = filled.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    left_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / left_weight).withColumn("place", F.row_number().over(filled))
-    # the level of the first source that doesn't stop holds for all after it
-    final = F.min_by("level", F.when(F.col("most") / F.col("weight") > F.col("level"), F.col("place"))).over(every)
-    target = F.least(F.col("most"), F.col("weight") * F.coalesce(final, F.col("level")))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("nth") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    per = numbered(per, scratch).withColumns({"weight": weight, "most": F.col("source_size") * REPEATS})
+    n_sources, words, level = fill_level(per)
+    target = F.least(F.col("most").cast("double"), F.col("weight") * F.lit(level))
     per = per.withColumn("target", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(target))
-    quota = F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)
-    return per.select("source", "source_size", "n_docs", "target", quota.alias("quota"))
+    quota = F.least(F.round("target").cast("long"), F.col("most"))
+    return per.select("source", "source_size", "n_docs", "target", quota.alias("quota")), n_sources, words
 
 
-def block_count(total_words: Column, blocks: int) -> Column:
+def block_count(total_words: int, blocks: int) -> Column:
     """Blocks of a source: in proportion to its words, at least 1, at most one a document."""
-    share = F.ceil(F.col("source_size") * blocks / F.greatest(total_words, F.lit(1)))
+    share = F.ceil(F.col("source_size") * blocks / max(total_words, 1))
     return F.greatest(F.least(share, F.col("n_docs")), F.lit(1)).cast("long")
 
 
@@ -121,11 +145,9 @@ def plan_mix(sizes: DataFrame, scratch: Scratch, shard_words: int, blocks: int,
     tree deals the block quotas of all sources to the shards. Each shard then draws as many blocks of a source as it was
     dealt, the next ones of the permutation, so that no two shards share one.
     """
-    targets = source_targets(sizes)
-    total = F.sum("source_size").over(Window.partitionBy())
-    n_sources, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    targets, n_sources, words = source_targets(sizes, scratch)
     shards = max(LEAST_SHARDS, -(-words // shard_words))
-    targets = scratch.table(targets.withColumn("n_blocks", block_count(total, shards * blocks)))
+    targets = scratch.table(targets.withColumn("n_blocks", block_count(words, shards * blocks)))
     # a table of sources is broadcast only where it is small; Spark's own threshold decides otherwise
     targets = F.broadcast(targets) if n_sources <= 100_000 else targets
     per_block = placed(sizes, targets).groupBy("source", "block", "quota").agg(F.sum("size").alias("words"))

@@ -1,6 +1,7 @@
 """Quality rules and the source mix against plain Python, language masks and the classifier on held-out rows."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assay.llm import langmask, mixing, ngram_rules, pu_quality
+from assay.llm.common import Scratch
 from tests.llm.conftest import DOCS, prose
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,6 +140,25 @@ def test_mix_with_clashing_names(spark, docs):
     assert mixing.draw(clash.limit(0), spark).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Sizes from one word to millions, equal ones, empty ones and a null source; names beyond the basic plane."""
+    draws = random.Random(5)
+    sizes = {f"{draws.choice(['s', 'S', chr(0xE9), chr(0x1F600), chr(0xFFFD)])}{i}": int(1.03 ** draws.randrange(500)) * (i % 9 > 0) for i in range(1500)}
+    sizes[None] = 12_345
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()] * 2, "source string, size long").repartition(6)
+    per, n_sources, words = mixing.source_targets(df, Scratch(spark))
+    want = targets({s: 2 * n for s, n in sizes.items()})
+    got = {r["source"]: r for r in per.collect()}
+    assert n_sources == len(got) == len(sizes) and words == 2 * sum(sizes.values())
+    for s, r in got.items():
+        assert math.isclose(r["target"], want[s], rel_tol=1e-9, abs_tol=1e-9) and r["n_docs"] == 2
+        assert r["source_size"] == 2 * sizes[s] and abs(r["quota"] - want[s]) <= 0.5 + 1e-6 and r["quota"] <= 3 * r["source_size"]
+    assert math.isclose(sum(r["target"] for r in got.values()), words, rel_tol=1e-9)
+    for none in (df.limit(0), df.withColumn("size", F.lit(0).cast("long"))):
+        per, _, words = mixing.source_targets(none, Scratch(spark))
+        assert words == 0 and per.where("target <> 0 or quota <> 0").isEmpty()
+
+
 def test_shard_quotas_are_exact(spark):
     drawn = spark.range(500).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 == 0, None).otherwise("b").alias("source"))
     q = mixing.shard_quotas(drawn, 6, 1).collect()
